@@ -85,7 +85,7 @@ def accuracy(pred: DataFrame) -> DataFrame:
     return pred.groupBy(*KEYS).agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"))
 
 
-def classification_report(pc: DataFrame) -> DataFrame:
+def classification_report(pc: DataFrame, digits: int | None = 2) -> DataFrame:
     """Long report table -- one row per class, then accuracy, macro avg
     (over all K labels, as the report is built with explicit labels) and
     weighted avg; values rounded to 2 digits."""
@@ -105,7 +105,8 @@ def classification_report(pc: DataFrame) -> DataFrame:
     wei = tot.select(*KEYS, F.lit(1002).alias("ord"), F.lit("weighted avg").alias("row"),
                      F.col("wp").alias("precision"), F.col("wr").alias("recall"), F.col("wf").alias("f1_score"), "support")
     out = cls_rows.unionByName(acc).unionByName(mac).unionByName(wei)
-    return out.select(*KEYS, "ord", "row", *[F.round(c, 2).alias(c) for c in ("precision", "recall", "f1_score")],
+    rnd = (lambda c: F.round(c, digits).alias(c)) if digits is not None else F.col
+    return out.select(*KEYS, "ord", "row", *[rnd(c) for c in ("precision", "recall", "f1_score")],
                       F.col("support").cast("long"))
 
 

@@ -143,3 +143,113 @@ def model_ctes(ds: str, model: str) -> str:
 def with_(*ctes: str) -> str:
     body = ",".join(c.strip().lstrip(",") for c in ctes)
     return "WITH " + body + "\n"
+
+
+# ---------------------------------------------------------------- leaderboard
+def leaderboard_ctes() -> str:
+    """All CTEs up to ``lb_rec`` (flat result records with modeled costs),
+    ``lb_pc`` (per-class metrics), ``lb_cm`` (dense confusion counts)."""
+    from classyard.operators.models.registry import REGISTRY, SQL_EXACT
+    from classyard.plans.leaderboard import DATASETS, INFER_FACTOR, TRAIN_PASSES, UNIT
+    parts = []
+    for ds in DATASETS:
+        parts.append(prep_ctes(ds))
+        for m in SQL_EXACT:
+            parts.append(model_ctes(ds, m))
+    preds = " UNION ALL ".join(f"SELECT '{ds}' AS dataset, '{m}' AS model, row_id, y, p FROM {ds}_{m}_pred"
+                               for ds in DATASETS for m in SQL_EXACT)
+    cls = " UNION ALL ".join(f"SELECT '{ds}' AS dataset, label, class FROM {ds}_cls" for ds in DATASETS)
+    sizes = " UNION ALL ".join(
+        f"SELECT '{ds}' AS dataset, count_if(split = 'train') AS n_train, count_if(split = 'test') AS n_test, "
+        f"{len(feats(ds))} AS d, (SELECT count(*) FROM {ds}_cls) AS k FROM {ds}_prep" for ds in DATASETS)
+    benign = " UNION ALL ".join(
+        f"SELECT '{ds}' AS dataset, label AS benign_label FROM {ds}_cls WHERE class = '{DATASETS_BENIGN[ds]}'"
+        for ds in DATASETS)
+    reg = ", ".join(
+        "('{k}', '{n}', '{f}', {tp}, '{fac}')".format(k=m, n=REGISTRY[m].name.replace("'", "''"),
+                                                     f=REGISTRY[m].family, tp=TRAIN_PASSES[m], fac=INFER_FACTOR[m])
+        for m in SQL_EXACT)
+    lb = f"""
+lb_pred AS ({preds}),
+lb_cls AS ({cls}),
+lb_size AS ({sizes}),
+lb_benign AS ({benign}),
+lb_reg(key, name, family, passes, fac) AS (VALUES {reg}),
+lb_cnt AS (SELECT dataset, model, y, p, count(*) AS n FROM lb_pred GROUP BY dataset, model, y, p),
+lb_models AS (SELECT DISTINCT dataset, model FROM lb_pred),
+lb_cm AS (SELECT m.dataset, m.model, a.label AS y, b.label AS p, coalesce(c.n, 0) AS n
+          FROM lb_models m JOIN lb_cls a ON a.dataset = m.dataset JOIN lb_cls b ON b.dataset = m.dataset
+          LEFT JOIN lb_cnt c ON c.dataset = m.dataset AND c.model = m.model AND c.y = a.label AND c.p = b.label),
+lb_pc0 AS (SELECT c.dataset, c.model, k.label, k.class,
+                  sum(CASE WHEN c.y = k.label THEN n ELSE 0 END) AS support,
+                  sum(CASE WHEN c.p = k.label THEN n ELSE 0 END) AS predicted,
+                  sum(CASE WHEN c.y = k.label AND c.p = k.label THEN n ELSE 0 END) AS tp
+           FROM lb_cm c JOIN lb_cls k ON k.dataset = c.dataset GROUP BY c.dataset, c.model, k.label, k.class),
+lb_pc AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+                    CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+                    CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2.0 * tp / (support + predicted) END AS f1
+          FROM lb_pc0),
+lb_sum AS (SELECT dataset, model,
+                  sum(tp) / sum(support) AS accuracy,
+                  sum(CASE WHEN support > 0 OR predicted > 0 THEN precision ELSE 0 END) / count_if(support > 0 OR predicted > 0) AS precision_macro,
+                  sum(CASE WHEN support > 0 OR predicted > 0 THEN recall ELSE 0 END) / count_if(support > 0 OR predicted > 0) AS recall_macro,
+                  sum(CASE WHEN support > 0 OR predicted > 0 THEN f1 ELSE 0 END) / count_if(support > 0 OR predicted > 0) AS f1_macro,
+                  sum(precision * support) / sum(support) AS precision_weighted,
+                  sum(recall * support) / sum(support) AS recall_weighted,
+                  sum(f1 * support) / sum(support) AS f1_weighted
+           FROM lb_pc GROUP BY dataset, model),
+lb_rec AS (SELECT s.*, s.model AS key, r.name, r.family, 'ok' AS status, CAST(NULL AS INTEGER) AS subsample_cap,
+                  z.n_train * z.d * r.passes * {UNIT} AS train_time_sec,
+                  z.n_test * z.d * (CASE WHEN r.fac = 'k' THEN z.k ELSE z.n_train END) * {UNIT} AS inference_time_sec,
+                  z.n_test * z.d * (CASE WHEN r.fac = 'k' THEN z.k ELSE z.n_train END) * {UNIT} / z.n_test * 1000.0 AS inference_time_per_sample_ms,
+                  z.n_train AS n_train_samples, z.n_test AS n_test_samples, z.d AS n_features
+           FROM lb_sum s JOIN lb_reg r ON r.key = s.model JOIN lb_size z ON z.dataset = s.dataset)"""
+    return ",".join(p.strip().lstrip(",") for p in parts) + "," + lb
+
+
+DATASETS_BENIGN = {k: v["benign"] for k, v in DATASETS.items()}
+
+
+def _mm(c: str, invert: bool = False) -> str:
+    lo, hi = f"min({c}) OVER (PARTITION BY dataset)", f"max({c}) OVER (PARTITION BY dataset)"
+    n = f"(({c} - {lo}) / (CASE WHEN {hi} - {lo} = 0 THEN 1.0 ELSE {hi} - {lo} END))"
+    return f"(1 - {n})" if invert else n
+
+
+def analytics_ctes() -> str:
+    """leaderboard + rarest class, per-dataset scores and the combined table."""
+    from classyard.operators.analytics import (COST_WEIGHT, QUALITY_WEIGHT, W_F1_MACRO, W_F1_WEIGHTED,
+                                               W_INFER, W_RARE_CLASS, W_TRAIN)
+    from classyard.plans.leaderboard import LEFT, RIGHT
+    q = f"{W_F1_MACRO} * {_mm('f1_macro')} + {W_F1_WEIGHTED} * {_mm('f1_weighted')} + {W_RARE_CLASS} * {_mm('rare_class_f1')}"
+    c = f"{W_INFER} * {_mm('inference_time_per_sample_ms', True)} + {W_TRAIN} * {_mm('train_time_sec', True)}"
+    return leaderboard_ctes() + f""",
+lb_rare AS (SELECT dataset, class AS rare_class FROM (SELECT dataset, class,
+            row_number() OVER (PARTITION BY dataset ORDER BY support, label) AS rk FROM lb_pc) WHERE rk = 1),
+lb_sc0 AS (SELECT r.*, ra.rare_class, pc.f1 AS rare_class_f1 FROM lb_rec r JOIN lb_rare ra ON ra.dataset = r.dataset
+           JOIN lb_pc pc ON pc.dataset = r.dataset AND pc.model = r.key AND pc.class = ra.rare_class),
+lb_sc1 AS (SELECT *, {q} AS q, {c} AS c FROM lb_sc0),
+lb_scores AS (SELECT dataset, key, name, family, f1_macro, f1_weighted, accuracy, rare_class, rare_class_f1,
+                     train_time_sec, inference_time_per_sample_ms AS infer_ms,
+                     round(q * 100, 2) AS quality_score, round(c * 100, 2) AS cost_score,
+                     round(({QUALITY_WEIGHT} * q + {COST_WEIGHT} * c) * 100, 2) AS composite_score FROM lb_sc1),
+lb_comb0 AS (SELECT a.key, a.name, a.family,
+                    round((a.composite_score + b.composite_score) / 2, 2) AS avg_composite,
+                    round((a.quality_score + b.quality_score) / 2, 2) AS avg_quality,
+                    round((a.cost_score + b.cost_score) / 2, 2) AS avg_cost,
+                    round(abs(a.composite_score - b.composite_score), 2) AS consistency_gap,
+                    a.composite_score AS left_composite, b.composite_score AS right_composite,
+                    a.infer_ms AS left_infer_ms, b.infer_ms AS right_infer_ms,
+                    a.train_time_sec AS left_train_sec, b.train_time_sec AS right_train_sec,
+                    a.f1_macro AS left_f1_macro, b.f1_macro AS right_f1_macro
+             FROM (SELECT * FROM lb_scores WHERE dataset = '{LEFT}') a JOIN (SELECT * FROM lb_scores WHERE dataset = '{RIGHT}') b ON a.key = b.key),
+lb_comb AS (SELECT *, row_number() OVER (ORDER BY avg_composite DESC, key) AS rank FROM lb_comb0),
+lb_cut AS (SELECT *, max(CASE WHEN i = floor(n * 0.25) THEN avg_quality END) OVER () AS cut,
+                     max(CASE WHEN i = floor(n * 0.5) THEN avg_quality END) OVER () AS half_cut
+           FROM (SELECT *, row_number() OVER (ORDER BY avg_quality DESC, key) - 1 AS i, count(*) OVER () AS n FROM lb_comb))"""
+
+
+def family_group_sql(col: str = "family") -> str:
+    from classyard.operators.analytics import FAMILY_GROUP
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILY_GROUP.items())
+    return f"(CASE {col} {whens} ELSE 'exotic' END)"

@@ -11,33 +11,9 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classyard.operators.models.base import Ctx
-from classyard.operators.models.registry import REGISTRY, SQL_EXACT
-from classyard.operators.prep import Prepared, prepare
+from classyard.operators.models.registry import SQL_EXACT
 from classyard.plans import oracle as O
-from classyard.sources import standins
-
-_PREP: dict = {}
-_PRED: dict = {}
-
-
-def prepared(spark: SparkSession, sf_dir: str, ds: str) -> Prepared:
-    key = (id(spark), sf_dir, ds)
-    if key not in _PREP:
-        rd = standins.load(spark, sf_dir, ds)
-        _PREP[key] = prepare(rd.name, rd.raw, rd.features, rd.benign)
-    return _PREP[key]
-
-
-def predictions(spark: SparkSession, sf_dir: str, ds: str, model: str) -> DataFrame:
-    """(row_id, y, p) of one registry model on one stand-in, checkpointed once."""
-    key = (id(spark), sf_dir, ds, model)
-    if key not in _PRED:
-        prep = prepared(spark, sf_dir, ds)
-        fitted = REGISTRY[model].build().fit(prep.train(), Ctx(prep.features, prep.k))
-        _PRED[key] = fitted.predict(prep.test()).checkpoint(eager=True)
-    return _PRED[key]
-
+from classyard.plans.queries_base import predictions, prepared
 
 def _r(c: str, d: int = 6):
     return F.round(F.col(c), d).alias(c)
@@ -84,3 +60,110 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# ------------------------------------------------------------------ evaluation
+def _lb():
+    from classyard.plans import leaderboard as L
+    return L
+
+
+def _wa(body: str) -> str:
+    return "WITH " + O.analytics_ctes() + "\n" + body
+
+
+def _evq(name, sql):
+    return register(name, _wa(sql))
+
+
+@_evq("e2_confusion", "SELECT dataset, model, CAST(y AS BIGINT) AS y, CAST(p AS BIGINT) AS p, CAST(n AS BIGINT) AS n FROM lb_cm")
+def _e2(spark, sf):
+    return _lb().lb_eval(spark, sf)["cm"].select("dataset", "model", *_big("y", "p", "n"))
+
+
+@_evq("e3_per_class", "SELECT dataset, model, CAST(label AS BIGINT) AS label, class, round(precision, 6) AS precision, "
+      "round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM lb_pc")
+def _e3(spark, sf):
+    pc = _lb().lb_eval(spark, sf)["per_class"]
+    return pc.select("dataset", "model", *_big("label"), "class", _r("precision"), _r("recall"), _r("f1"), *_big("support"))
+
+
+_SUMCOLS = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_weighted", "recall_weighted", "f1_weighted"]
+
+
+@_evq("e1_e4_e5_summary", "SELECT dataset, model, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SUMCOLS) + " FROM lb_sum")
+def _e145(spark, sf):
+    return _lb().lb_eval(spark, sf)["summary"].select("dataset", "model", *[_r(c) for c in _SUMCOLS])
+
+
+@_evq("e6_report", """SELECT dataset, model, CAST(ord AS BIGINT) AS ord, row, round(precision, 6) AS precision,
+  round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM (
+  SELECT dataset, model, label AS ord, class AS row, precision, recall, f1 AS f1_score, support FROM lb_pc
+  UNION ALL SELECT dataset, model, 1000, 'accuracy', NULL, NULL, sum(tp) / sum(support), sum(support) FROM lb_pc GROUP BY dataset, model
+  UNION ALL SELECT dataset, model, 1001, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM lb_pc GROUP BY dataset, model
+  UNION ALL SELECT dataset, model, 1002, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+            sum(f1 * support) / sum(support), sum(support) FROM lb_pc GROUP BY dataset, model)""")
+def _e6(spark, sf):
+    from classyard.operators.evaluate import classification_report
+    rep = classification_report(_lb().lb_eval(spark, sf)["per_class"], digits=None)
+    return rep.select("dataset", "model", *_big("ord"), "row", _r("precision"), _r("recall"), _r("f1_score"), *_big("support"))
+
+
+_BINCOLS = ["accuracy", "precision_malicious", "recall_malicious", "f1_malicious", "false_positive_rate", "false_negative_rate"]
+_BINSQL = """lb_bin0 AS (SELECT c.dataset, c.model,
+   sum(CASE WHEN c.y <> b.benign_label AND c.p <> b.benign_label THEN n ELSE 0 END) AS tp,
+   sum(CASE WHEN c.y = b.benign_label AND c.p = b.benign_label THEN n ELSE 0 END) AS tn,
+   sum(CASE WHEN c.y = b.benign_label AND c.p <> b.benign_label THEN n ELSE 0 END) AS fp,
+   sum(CASE WHEN c.y <> b.benign_label AND c.p = b.benign_label THEN n ELSE 0 END) AS fn
+   FROM lb_cm c JOIN lb_benign b ON b.dataset = c.dataset GROUP BY c.dataset, c.model),
+ lb_bin1 AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS pr,
+   CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS rc FROM lb_bin0),
+ lb_bin AS (SELECT dataset, model, tp AS tp_malicious_caught, tn AS tn_benign_passed, fp AS fp_benign_flagged_as_attack,
+   fn AS fn_attack_missed_as_benign,
+   CASE WHEN tp + tn + fp + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + tn + fp + fn) END AS accuracy,
+   pr AS precision_malicious, rc AS recall_malicious,
+   CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END AS f1_malicious,
+   CASE WHEN fp + tn = 0 THEN 0.0 ELSE fp / (fp + tn) END AS false_positive_rate,
+   CASE WHEN fn + tp = 0 THEN 0.0 ELSE fn / (fn + tp) END AS false_negative_rate FROM lb_bin1)"""
+
+
+def _wb(body: str) -> str:
+    return "WITH " + O.analytics_ctes() + ",\n" + _BINSQL + "\n" + body
+
+
+def _binary(spark, sf):
+    from classyard.operators.evaluate import binary_collapse
+    L = _lb()
+    return binary_collapse(L.lb_eval(spark, sf)["cm"], L.lb_benign(spark, sf))
+
+
+@register("e9_binary", _wb("SELECT dataset, model, CAST(tp_malicious_caught AS BIGINT) AS tp_malicious_caught, "
+                           "CAST(tn_benign_passed AS BIGINT) AS tn_benign_passed, CAST(fp_benign_flagged_as_attack AS BIGINT) AS fp_benign_flagged_as_attack, "
+                           "CAST(fn_attack_missed_as_benign AS BIGINT) AS fn_attack_missed_as_benign, "
+                           + ", ".join(f"round({c}, 6) AS {c}" for c in _BINCOLS) + " FROM lb_bin"))
+def _e9(spark, sf):
+    b = _binary(spark, sf)
+    return b.select("dataset", "model", *_big("tp_malicious_caught", "tn_benign_passed", "fp_benign_flagged_as_attack",
+                                              "fn_attack_missed_as_benign"), *[_r(c) for c in _BINCOLS])
+
+
+@register("e10_binary_rank", _wb("""SELECT dataset, model, round(f1_malicious, 6) AS f1_malicious,
+  row_number() OVER (PARTITION BY dataset ORDER BY f1_malicious DESC, model) AS rank,
+  CAST(row_number() OVER (PARTITION BY dataset ORDER BY f1_malicious DESC, model) = 1 AS BIGINT) AS is_best,
+  CAST(row_number() OVER (PARTITION BY dataset ORDER BY f1_malicious ASC, model) = 1 AS BIGINT) AS is_worst FROM lb_bin"""))
+def _e10(spark, sf):
+    from classyard.operators.evaluate import binary_ranking
+    r = binary_ranking(_binary(spark, sf))
+    return r.select("dataset", "model", _r("f1_malicious"), *_big("rank"), F.col("is_best").cast("bigint").alias("is_best"),
+                    F.col("is_worst").cast("bigint").alias("is_worst"))
+
+
+_RUNCOLS = ["train_time_sec", "inference_time_sec", "inference_time_per_sample_ms"]
+
+
+@_evq("e7_e8_run_records", "SELECT dataset, key, status, " + ", ".join(f"round({c}, 9) AS {c}" for c in _RUNCOLS)
+      + ", CAST(n_train_samples AS BIGINT) AS n_train_samples, CAST(n_test_samples AS BIGINT) AS n_test_samples, "
+        "CAST(n_features AS BIGINT) AS n_features FROM lb_rec")
+def _e78(spark, sf):
+    r = _lb().lb_records(spark, sf)
+    return r.select("dataset", "key", "status", *[_r(c, 9) for c in _RUNCOLS], *_big("n_train_samples", "n_test_samples", "n_features"))
