@@ -167,3 +167,174 @@ _RUNCOLS = ["train_time_sec", "inference_time_sec", "inference_time_per_sample_m
 def _e78(spark, sf):
     r = _lb().lb_records(spark, sf)
     return r.select("dataset", "key", "status", *[_r(c, 9) for c in _RUNCOLS], *_big("n_train_samples", "n_test_samples", "n_features"))
+
+
+# ------------------------------------------------------------------ analytics
+def _A():
+    from classyard.operators import analytics as A
+    return A
+
+
+def _rec(spark, sf):
+    return _lb().lb_records(spark, sf)
+
+
+def _comb(spark, sf):
+    L = _lb()
+    return _A().combine(_A().dataset_scores(_rec(spark, sf)), L.LEFT, L.RIGHT)
+
+
+@_evq("a1_rarest_class", "SELECT dataset, rare_class FROM lb_rare")
+def _a1(spark, sf):
+    return _A().rarest_class(_rec(spark, sf))
+
+
+@_evq("a2_rare_class_f1", "SELECT dataset, key, rare_class, round(rare_class_f1, 6) AS rare_class_f1 FROM lb_sc0")
+def _a2(spark, sf):
+    return _A().rare_class_f1(_rec(spark, sf)).select("dataset", "key", "rare_class", _r("rare_class_f1"))
+
+
+@_evq("a3_a6_scores", "SELECT dataset, key, quality_score, cost_score, composite_score FROM lb_scores")
+def _a36(spark, sf):
+    return _A().dataset_scores(_rec(spark, sf)).select("dataset", "key", "quality_score", "cost_score", "composite_score")
+
+
+@_evq("a7_combined", "SELECT key, name, family, avg_composite, avg_quality, avg_cost, consistency_gap, rank FROM lb_comb")
+def _a7(spark, sf):
+    return _comb(spark, sf).select("key", "name", "family", "avg_composite", "avg_quality", "avg_cost",
+                                   "consistency_gap", *_big("rank"))
+
+
+@_evq("a8_dataset_header", """SELECT h.dataset, (SELECT string_agg(class, ',' ORDER BY label) FROM lb_cls c WHERE c.dataset = h.dataset) AS classes,
+  CAST(n_train_samples AS BIGINT) AS n_train_samples, CAST(n_test_samples AS BIGINT) AS n_test_samples,
+  CAST(n_features AS BIGINT) AS n_features, CAST(n_models_attempted AS BIGINT) AS n_models_attempted,
+  CAST(n_models_ok AS BIGINT) AS n_models_ok, CAST(n_models_failed AS BIGINT) AS n_models_failed, families FROM (
+  SELECT dataset, max(n_train_samples) AS n_train_samples, max(n_test_samples) AS n_test_samples, max(n_features) AS n_features,
+         count(*) AS n_models_attempted, count_if(status = 'ok') AS n_models_ok, count_if(status = 'failed') AS n_models_failed,
+         string_agg(DISTINCT family, ',' ORDER BY family) AS families FROM lb_rec GROUP BY dataset) h""")
+def _a8(spark, sf):
+    return _A().dataset_header(_rec(spark, sf)).select(
+        "dataset", "classes", *_big("n_train_samples", "n_test_samples", "n_features", "n_models_attempted",
+                                    "n_models_ok", "n_models_failed"), "families")
+
+
+@_evq("a9_leaderboard", "SELECT dataset, key, round(f1_macro, 6) AS f1_macro, row_number() OVER (PARTITION BY dataset ORDER BY f1_macro DESC, key) AS rank FROM lb_rec")
+def _a9(spark, sf):
+    return _A().leaderboard(_rec(spark, sf)).select("dataset", "key", _r("f1_macro"), *_big("rank"))
+
+
+@_evq("a10_top_f1", "SELECT * FROM (SELECT dataset, key, row_number() OVER (PARTITION BY dataset ORDER BY f1_macro DESC, key) AS rank FROM lb_rec) WHERE rank <= 3")
+def _a10(spark, sf):
+    return _A().top_k(_rec(spark, sf), "f1_macro", 3).select("dataset", "key", *_big("rank"))
+
+
+@_evq("a10_fastest_train", "SELECT * FROM (SELECT dataset, key, row_number() OVER (PARTITION BY dataset ORDER BY train_time_sec ASC, key) AS rank FROM lb_rec) WHERE rank <= 3")
+def _a10b(spark, sf):
+    return _A().top_k(_rec(spark, sf), "train_time_sec", 3, ascending=True).select("dataset", "key", *_big("rank"))
+
+
+@_evq("a11_best_fast", "SELECT dataset, key, round(train_time_sec, 9) AS train_time_sec FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY train_time_sec, key) AS rk FROM lb_rec WHERE f1_macro >= 0.8) WHERE rk = 1")
+def _a11(spark, sf):
+    return _A().best_fast(_rec(spark, sf)).select("dataset", "key", _r("train_time_sec", 9))
+
+
+@_evq("a12_a13_family_rollup", f"""SELECT dataset, family, count, best_key, round(best_f1_macro, 6) AS best_f1_macro,
+  round(avg_f1_macro, 6) AS avg_f1_macro, {O.family_group_sql()} AS "group",
+  row_number() OVER (PARTITION BY dataset ORDER BY best_f1_macro DESC, family) AS rank FROM (
+  SELECT dataset, family, count(*) AS count, arg_max(key, f1_macro) AS best_key, max(f1_macro) AS best_f1_macro, avg(f1_macro) AS avg_f1_macro
+  FROM lb_rec GROUP BY dataset, family)""")
+def _a12(spark, sf):
+    r = _A().family_rollup(_rec(spark, sf))
+    return r.select("dataset", "family", *_big("count"), "best_key", _r("best_f1_macro"), _r("avg_f1_macro"), "group", *_big("rank"))
+
+
+@_evq("a14_speed_quality_points", f"SELECT dataset, key, round(greatest(train_time_sec, 0.001), 9) AS x, round(log10(greatest(train_time_sec, 0.001)), 6) AS log10_x, round(f1_macro, 6) AS y, {O.family_group_sql()} AS \"group\" FROM lb_rec")
+def _a14(spark, sf):
+    return _A().speed_quality_points(_rec(spark, sf)).select("dataset", "key", _r("x", 9), _r("log10_x"), _r("y"), "group")
+
+
+@_evq("a15_class_f1_matrix", """SELECT pc.dataset, pc.model AS key, CAST(lb.rank AS BIGINT) AS row_order, pc.class, round(pc.f1, 6) AS f1
+  FROM lb_pc pc JOIN (SELECT dataset, key, row_number() OVER (PARTITION BY dataset ORDER BY f1_macro DESC, key) AS rank FROM lb_rec) lb
+  ON lb.dataset = pc.dataset AND lb.key = pc.model""")
+def _a15(spark, sf):
+    return _A().class_f1_matrix(_rec(spark, sf)).select("dataset", "key", *_big("row_order"), "class", _r("f1"))
+
+
+@_evq("a16_row_normalised_cm", """SELECT dataset, model AS key, CAST(y AS BIGINT) AS y, CAST(p AS BIGINT) AS p, CAST(n AS BIGINT) AS n,
+  round(CASE WHEN sum(n) OVER (PARTITION BY dataset, model, y) = 0 THEN 0.0 ELSE n / sum(n) OVER (PARTITION BY dataset, model, y) END, 6) AS share FROM lb_cm""")
+def _a16(spark, sf):
+    return _A().row_normalised_cm(_rec(spark, sf)).select("dataset", "key", *_big("y", "p", "n"), _r("share"))
+
+
+@_evq("a17_dynamic_sort", "SELECT dataset, key, row_number() OVER (PARTITION BY dataset ORDER BY inference_time_per_sample_ms DESC NULLS LAST, key) AS position FROM lb_rec")
+def _a17(spark, sf):
+    return _A().dynamic_sort(_rec(spark, sf), "inference_time_per_sample_ms", ascending=False).select("dataset", "key", *_big("position"))
+
+
+@_evq("a18_failed_report", "SELECT dataset, count_if(status = 'failed') AS n_failed, count(*) AS n_attempted, round(count_if(status = 'failed') / count(*), 6) AS failed_share FROM lb_rec GROUP BY dataset")
+def _a18(spark, sf):
+    return _A().failed_report(_rec(spark, sf)).select("dataset", *_big("n_failed", "n_attempted"), _r("failed_share"))
+
+
+@register("a19_binary_summary", _wb("""SELECT dataset, arg_max(model, (f1_malicious, model)) AS best_model, arg_min(model, (f1_malicious, model)) AS worst_model,
+  round(max(f1_malicious), 6) AS best_f1_malicious, round(min(f1_malicious), 6) AS worst_f1_malicious,
+  round(avg(false_negative_rate), 6) AS avg_fnr, count(*) AS n_models FROM lb_bin GROUP BY dataset"""))
+def _a19(spark, sf):
+    s = _A().binary_summary(_binary(spark, sf))
+    return s.select("dataset", "best_model", "worst_model", _r("best_f1_malicious"), _r("worst_f1_malicious"), _r("avg_fnr"), *_big("n_models"))
+
+
+def _scale_sql():
+    from classyard.operators.analytics import SCALE_ROWS, TARGET_ROWS
+    vals = ", ".join(f"('{k}', '{m}')" for k, m in SCALE_ROWS)
+    return f"""SELECT b.dataset, b.key, b.mode,
+  CASE WHEN r.train_time_sec IS NOT NULL THEN CAST(coalesce(r.subsample_cap, z.n_train) AS DOUBLE) END AS n_used,
+  round(CASE WHEN r.train_time_sec IS NULL THEN NULL WHEN b.mode = 'memory_quadratic' THEN z.n_train * z.n_train * 8.0
+       WHEN b.mode = 'inference_linear' THEN r.inference_time_per_sample_ms ELSE r.train_time_sec END, 6) AS current,
+  round(CASE WHEN r.train_time_sec IS NULL THEN NULL
+       WHEN b.mode = 'time_linear' THEN r.train_time_sec * ({TARGET_ROWS}.0 / z.n_train)
+       WHEN b.mode = 'time_quadratic' THEN r.train_time_sec * ({TARGET_ROWS}.0 / z.n_train) * ({TARGET_ROWS}.0 / z.n_train)
+       WHEN b.mode = 'time_cubic' THEN r.train_time_sec * ({TARGET_ROWS}.0 / z.n_train) * ({TARGET_ROWS}.0 / z.n_train) * ({TARGET_ROWS}.0 / z.n_train)
+       WHEN b.mode = 'memory_quadratic' THEN z.n_train * z.n_train * 8.0 * ({TARGET_ROWS}.0 / z.n_train) * ({TARGET_ROWS}.0 / z.n_train)
+       WHEN b.mode = 'inference_linear' THEN r.inference_time_per_sample_ms * ({TARGET_ROWS}.0 / z.n_train) END, 6) AS projected
+  FROM (SELECT z.dataset, v.key, v.mode FROM lb_size z, (VALUES {vals}) v(key, mode)) b
+  JOIN lb_size z ON z.dataset = b.dataset LEFT JOIN lb_rec r ON r.dataset = b.dataset AND r.key = b.key"""
+
+
+@_evq("a21_scaling_projection", _scale_sql())
+def _a21(spark, sf):
+    L = _lb()
+    sizes = L.lb_sizes(spark, sf)
+    nt = spark.createDataFrame([(d, z["n_train"]) for d, z in sizes.items()], "dataset string, n_train long")
+    s = _A().scaling_projection(_rec(spark, sf), nt)
+    return s.select("dataset", "key", "mode", "n_used", _r("current"), _r("projected"))
+
+
+@_evq("a22_quality_tier", "SELECT key, avg_quality, cut FROM lb_cut WHERE avg_quality >= cut")
+def _a22(spark, sf):
+    return _A().quality_tier(_comb(spark, sf)).select("key", "avg_quality", "cut")
+
+
+@_evq("a23_a25_scenarios", f"""SELECT 'fastest_inference' AS scenario, (SELECT key FROM lb_cut WHERE avg_quality >= cut ORDER BY left_infer_ms + right_infer_ms, rank, key LIMIT 1) AS key
+  UNION ALL SELECT 'fastest_training', (SELECT key FROM lb_cut WHERE avg_quality >= cut ORDER BY left_train_sec + right_train_sec, rank, key LIMIT 1)
+  UNION ALL SELECT 'most_consistent', (SELECT key FROM lb_comb WHERE rank <= 20 ORDER BY consistency_gap, rank, key LIMIT 1)
+  UNION ALL SELECT 'interpretable', (SELECT key FROM lb_comb WHERE {O.family_group_sql()} = 'interpretable' OR key = 'decision_tree' ORDER BY avg_composite DESC, rank, key LIMIT 1)""")
+def _a2325(spark, sf):
+    return _A().scenarios(_comb(spark, sf))
+
+
+@_evq("a26_consistency_tables", """SELECT key, left_composite, right_composite, CAST(avg_quality >= half_cut AS BIGINT) AS top_half,
+  round(greatest(left_infer_ms + right_infer_ms, 0.0005), 9) AS latency, round(log10(greatest(left_infer_ms + right_infer_ms, 0.0005)), 6) AS log10_latency FROM lb_cut""")
+def _a26(spark, sf):
+    t = _A().consistency_tables(_comb(spark, sf))
+    return t.select("key", "left_composite", "right_composite", F.col("top_half").cast("bigint").alias("top_half"),
+                    _r("latency", 9), _r("log10_latency"))
+
+
+@_evq("a27_comparison_table", """SELECT key, name, family, avg_composite, avg_quality, avg_cost, consistency_gap,
+  round(left_f1_macro, 6) AS left_f1_macro, round(right_f1_macro, 6) AS right_f1_macro, round(left_infer_ms, 9) AS left_infer_ms,
+  row_number() OVER (ORDER BY consistency_gap ASC NULLS LAST, key) AS position FROM lb_comb""")
+def _a27(spark, sf):
+    t = _A().comparison_table(_comb(spark, sf), "consistency_gap", ascending=True)
+    return t.select("key", "name", "family", "avg_composite", "avg_quality", "avg_cost", "consistency_gap",
+                    _r("left_f1_macro"), _r("right_f1_macro"), _r("left_infer_ms", 9), *_big("position"))
