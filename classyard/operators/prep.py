@@ -126,7 +126,7 @@ def apply_minmax(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataF
 
 
 # ---------------------------------------------------------------- F11
-def test_quotas(df: DataFrame, label: str = "label", num: int = 3, den: int = 10) -> DataFrame:
+def split_quotas(df: DataFrame, label: str = "label", num: int = 3, den: int = 10) -> DataFrame:
     """Per-class test quota for a num/den test fraction.
 
     n_test = ceil(n * num / den); class c gets floor(n_test * n_c / n) and the
@@ -153,7 +153,7 @@ def stratified_split(df: DataFrame, label: str = "label", seed: int = SEED,
     selection itself is ``rank_cut`` which never ranks a whole class.
     """
     keyed = df.withColumn("__key", hash_key(seed, "row_id"))
-    flagged = rank_cut(keyed, [label], "__key", "row_id", test_quotas(keyed, label, num, den),
+    flagged = rank_cut(keyed, [label], "__key", "row_id", split_quotas(keyed, label, num, den),
                        out="__test")
     return (flagged.withColumn("split", F.when(F.col("__test"), "test").otherwise("train"))
             .drop("__key", "__test"))
@@ -164,7 +164,7 @@ def cap_rows(df: DataFrame, cap: int | None, seed: int = SEED) -> DataFrame:
     """fixed-seed uniform sample of ``cap`` rows without replacement; no-op if n <= cap."""
     if not cap:
         return df
-    keyed = df.withColumn("__g", F.lit(0)).withColumn("__key", hash_key(seed, "cap", "row_id"))
+    keyed = df.withColumn("__g", F.lit(0)).withColumn("__key", hash_key(seed, "'cap'", "row_id"))
     quota = df.sparkSession.createDataFrame([(0, int(cap))], "__g int, quota long")
     return (rank_cut(keyed, ["__g"], "__key", "row_id", quota, out="__keep")
             .where("__keep").drop("__g", "__key", "__keep"))

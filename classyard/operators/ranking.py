@@ -37,9 +37,10 @@ def rank_cut(df: DataFrame, groups: list[str], key: str, tiebreak: str,
     cum = (counts.join(quotas.select(*groups, F.col(quota_col).alias("__q")), groups)
            .withColumn("__cum", F.sum("__n").over(w))
            .withColumn("__tot", F.sum("__n").over(Window.partitionBy(*groups))))
-    cut = (cum.where(F.col("__cum") >= F.col("__q"))
-           .groupBy(*groups)
-           .agg(F.min(F.struct(b, (F.col("__q") - (F.col("__cum") - F.col("__n"))).alias("need"))).alias("__c"),
+    reach = F.when(F.col("__cum") >= F.col("__q"),
+                   F.struct(b, (F.col("__q") - (F.col("__cum") - F.col("__n"))).alias("need")))
+    cut = (cum.groupBy(*groups)
+           .agg(F.min(reach).alias("__c"),
                 F.first("__q").alias("__q"), F.first("__tot").alias("__tot"))
            .select(*groups, F.col(f"__c.{b}").alias("__cut"), F.col("__c.need").alias("__need"),
                    (F.col("__q") >= F.col("__tot")).alias("__all"), (F.col("__q") <= 0).alias("__none")))
