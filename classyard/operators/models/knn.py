@@ -33,6 +33,24 @@ def _blocks(n: int) -> int:
     return max(1, math.ceil(n / BLOCK_ROWS))
 
 
+def _topk_idx(d2: np.ndarray, kk: int) -> np.ndarray:
+    """Column indices of the kk smallest values per row, ties by column order.
+
+    argpartition is O(n) per row; rows where the k-th value is tied with an
+    unselected entry (duplicate points) are redone with a stable sort, so the
+    result equals a full stable argsort.
+    """
+    if kk >= d2.shape[1]:
+        return np.argsort(d2, axis=1, kind="stable")[:, :kk]
+    idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
+    vals = np.take_along_axis(d2, idx, 1)
+    kth = vals.max(axis=1, keepdims=True)
+    bad = (d2 == kth).sum(axis=1) != (vals == kth).sum(axis=1)
+    if bad.any():
+        idx[bad] = np.argsort(d2[bad], axis=1, kind="stable")[:, :kk]
+    return idx
+
+
 def _partial_topk(k: int, features: list[str]):
     def fn(te: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
         if te.empty or tr.empty:
@@ -52,7 +70,7 @@ def _partial_topk(k: int, features: list[str]):
                 diff = blk[:, j:j + 1] - xr[None, :, j]
                 d2 += diff * diff
             d2 = np.round(d2, ROUND)
-            idx = np.argsort(d2, axis=1, kind="stable")[:, :kk]   # stable: equal d2 keep row-id order
+            idx = _topk_idx(d2, kk)
             rows = np.repeat(np.arange(len(blk)), kk)
             outs.append(pd.DataFrame({
                 "row_id": te["row_id"].to_numpy(np.int64)[s:s + step][rows],
