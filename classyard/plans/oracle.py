@@ -253,3 +253,44 @@ def family_group_sql(col: str = "family") -> str:
     from classyard.operators.analytics import FAMILY_GROUP
     whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILY_GROUP.items())
     return f"(CASE {col} {whens} ELSE 'exotic' END)"
+
+
+# ---------------------------------------------------------------- importance
+def binary_train_cte(ds: str, raw: bool = False) -> str:
+    """Train rows with the benign-vs-malicious target; ``raw``: unscaled features."""
+    fs = feats(ds)
+    b = DATASETS[ds]["benign"]
+    name, src = (f"{ds}_btr_raw", f"{ds}_split") if raw else (f"{ds}_btr", f"{ds}_prep")
+    return (f"{name} AS (SELECT p.row_id, CASE WHEN c.class = '{b}' THEN 0 ELSE 1 END AS y, "
+            + ", ".join(f"p.{f}" for f in fs) + f" FROM {src} p JOIN {ds}_cls c ON c.label = p.label WHERE p.split = 'train')")
+
+
+def anova_ctes(ds: str) -> str:
+    fs = feats(ds)
+    lg = " UNION ALL ".join(f"SELECT {i} AS fi, y, {f} AS x FROM {ds}_btr" for i, f in enumerate(fs))
+    return f""",
+{ds}_av_g AS (SELECT fi, y, count(*) AS n, sum(x) AS s, sum(x * x) AS ss FROM ({lg}) GROUP BY fi, y),
+{ds}_av_t AS (SELECT fi, sum(n) AS nn, sum(s) AS s, sum(ss) AS ss, count(*) AS k, sum(s * s / n) AS b FROM {ds}_av_g GROUP BY fi),
+{ds}_anova AS (SELECT fi, CASE WHEN ss - b > 0 THEN ((b - s * s / nn) / (k - 1)) / ((ss - b) / (nn - k)) ELSE 0.0 END AS score FROM {ds}_av_t)"""
+
+
+def mi_ctes(ds: str, bins: int = 16) -> str:
+    fs = feats(ds)
+    mm = ", ".join(f"min({f}) AS lo_{i}, max({f}) AS hi_{i}" for i, f in enumerate(fs))
+    lg = " UNION ALL ".join(
+        f"SELECT {i} AS fi, y, CASE WHEN hi_{i} = lo_{i} THEN 0 ELSE least(floor(({f} - lo_{i}) / (hi_{i} - lo_{i}) * {bins}), {bins - 1}) END AS b "
+        f"FROM {ds}_btr_raw, {ds}_mm" for i, f in enumerate(fs))
+    return f""",
+{ds}_mm AS (SELECT {mm} FROM {ds}_btr_raw),
+{ds}_mi_c AS (SELECT fi, b, y, count(*) AS n FROM ({lg}) GROUP BY fi, b, y),
+{ds}_mi_c2 AS (SELECT *, sum(n) OVER (PARTITION BY fi) AS nn, sum(n) OVER (PARTITION BY fi, b) AS nb,
+               sum(n) OVER (PARTITION BY fi, y) AS ny FROM {ds}_mi_c),
+{ds}_mi AS (SELECT fi, sum((n / nn) * ln((CAST(n AS DOUBLE) * nn) / (CAST(nb AS DOUBLE) * ny))) AS score FROM {ds}_mi_c2 GROUP BY fi)"""
+
+
+def topk_sql(ds: str, scores: str, k: int = 15) -> str:
+    fs = feats(ds)
+    names = " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(fs))
+    return (f"SELECT feature, round(importance, 6) AS importance, rank FROM (SELECT CASE fi {names} END AS feature, importance, "
+            f"row_number() OVER (ORDER BY importance DESC, fi DESC) AS rank FROM (SELECT fi, CASE WHEN sum(score) OVER () > 0 "
+            f"THEN score / sum(score) OVER () ELSE score END AS importance FROM {scores})) WHERE rank <= {k}")

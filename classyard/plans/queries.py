@@ -11,7 +11,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classyard.operators.models.registry import SQL_EXACT
+from classyard.operators.models.registry import REGISTRY, SQL_EXACT
 from classyard.plans import oracle as O
 from classyard.plans.queries_base import predictions, prepared
 
@@ -338,3 +338,54 @@ def _a27(spark, sf):
     t = _A().comparison_table(_comb(spark, sf), "consistency_gap", ascending=True)
     return t.select("key", "name", "family", "avg_composite", "avg_quality", "avg_cost", "consistency_gap",
                     _r("left_f1_macro"), _r("right_f1_macro"), _r("left_infer_ms", 9), *_big("position"))
+
+
+# ------------------------------------------------------------------ importance
+def _btrain(spark, sf, ds, raw=False):
+    """Train rows of a stand-in with the benign-vs-malicious target."""
+    from classyard.operators.prep import benign_relabel
+    from classyard.plans.queries_base import prepared_raw
+    p = prepared_raw(spark, sf, ds) if raw else prepared(spark, sf, ds)
+    return benign_relabel(p.train(), p.benign_label), p.features
+
+
+def _imp_sql(ds, body_ctes, body):
+    return ("WITH " + O.prep_ctes(ds) + ",\n" + O.binary_train_cte(ds) + ",\n"
+            + O.binary_train_cte(ds, raw=True) + body_ctes + "\n" + body)
+
+
+for _ds in ["lang"]:
+    def _i7(spark, sf, ds=_ds):
+        from classyard.operators import importance as I
+        tr, fs = _btrain(spark, sf, ds)
+        return I.top_k(I.anova_f(tr, fs), fs).select("feature", _r("importance"), *_big("rank"))
+
+    def _i6(spark, sf, ds=_ds):
+        from classyard.operators import importance as I
+        tr, fs = _btrain(spark, sf, ds, raw=True)
+        return I.top_k(I.mutual_info_binned(tr, fs), fs).select("feature", _r("importance"), *_big("rank"))
+
+    def _i9(spark, sf, ds=_ds):
+        from classyard.operators import importance as I
+        tr, fs = _btrain(spark, sf, ds)
+        rtr, _ = _btrain(spark, sf, ds, raw=True)
+        ov = I.overlap(I.top_k(I.mutual_info_binned(rtr, fs), fs), I.top_k(I.anova_f(tr, fs), fs))
+        return ov.agg(F.count(F.lit(1)).cast("bigint").alias("shared_top5"))
+
+    register(f"i7_i5_anova_top15_{_ds}", _imp_sql(_ds, O.anova_ctes(_ds), O.topk_sql(_ds, f"{_ds}_anova")))(_i7)
+    register(f"i6_i5_mutual_info_top15_{_ds}", _imp_sql(_ds, O.mi_ctes(_ds), O.topk_sql(_ds, f"{_ds}_mi")))(_i6)
+    register(f"i9_top5_overlap_{_ds}", _imp_sql(
+        _ds, O.anova_ctes(_ds) + O.mi_ctes(_ds),
+        f"SELECT CAST(count(*) AS BIGINT) AS shared_top5 FROM (SELECT feature FROM ({O.topk_sql(_ds, f'{_ds}_mi', 5)}) "
+        f"INTERSECT SELECT feature FROM ({O.topk_sql(_ds, f'{_ds}_anova', 5)}))"))(_i9)
+
+
+@register("i1_permutation_importance_lang")
+def _i1(spark, sf):
+    """I1 for the nearest-centroid model on lang (rows check: randomised)."""
+    from classyard.operators import importance as I
+    p = prepared(spark, sf, "lang")
+    from classyard.operators.models.base import Ctx
+    fm = REGISTRY["nearest_centroid"].build().fit(p.train(), Ctx(p.features, p.k))
+    return I.top_k(I.permutation_importance(fm, p.test(), p.features, p.k), p.features).select(
+        "feature", _r("importance"), *_big("rank"))

@@ -31,3 +31,16 @@ def predictions(spark: SparkSession, sf_dir: str, ds: str, model: str) -> DataFr
     return _PRED[key]
 
 
+
+
+_RAW: dict = {}
+
+
+def prepared_raw(spark: SparkSession, sf_dir: str, ds: str) -> Prepared:
+    """Same split as ``prepared`` (md5-ordered, data-independent of scaling) but
+    unscaled features -- for scale-invariant statistics such as binned MI."""
+    key = (id(spark), sf_dir, ds)
+    if key not in _RAW:
+        rd = standins.load(spark, sf_dir, ds)
+        _RAW[key] = prepare(rd.name, rd.raw, rd.features, rd.benign, scale=False)
+    return _RAW[key]
