@@ -389,3 +389,116 @@ def _i1(spark, sf):
     fm = REGISTRY["nearest_centroid"].build().fit(p.train(), Ctx(p.features, p.k))
     return I.top_k(I.permutation_importance(fm, p.test(), p.features, p.k), p.features).select(
         "feature", _r("importance"), *_big("rank"))
+
+
+# ------------------------------------------------------------------ F / P / S operators
+@register("f1_f2_f3_parsers_events", """SELECT event_id,
+  coalesce(CASE WHEN concat('0x', hex(user_id)) LIKE '0x%' THEN TRY_CAST(concat('0x', hex(user_id)) AS BIGINT) END, 0) AS flags,
+  coalesce(TRY_CAST(trunc(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS BIGINT), 0) AS k_int,
+  CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS is_click,
+  CAST(CASE WHEN CAST(value AS VARCHAR) IS NULL THEN 0 ELSE floor(length(hex(event_id)) / 2) END AS BIGINT) AS payload_bytes
+  FROM events""")
+def _f123(spark, sf):
+    from classyard.functions.exprs import equals_indicator, hex_or_number_to_long, hex_payload_bytes
+    from classyard.sources.tables import read_table
+    ev = read_table(spark, sf, "events")
+    return ev.select("event_id",
+                     hex_or_number_to_long(F.concat(F.lit("0x"), F.hex("user_id"))).alias("flags"),
+                     hex_or_number_to_long(F.get_json_object("props", "$.k")).alias("k_int"),
+                     equals_indicator("event_type", "click").cast("int").alias("is_click"),
+                     F.when(F.col("value").isNull(), F.lit(0)).otherwise(hex_payload_bytes(F.hex("event_id"))).cast("bigint").alias("payload_bytes"))
+
+
+@register("f7_one_hot_lineitem", """SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS row_id,
+  CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS f_ls_F, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS f_ls_O FROM lineitem""")
+def _f7(spark, sf):
+    from classyard.operators.prep import one_hot
+    from classyard.sources.tables import read_table
+    li = read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), "l_linestatus")
+    return one_hot(li, "l_linestatus", ["F", "O"], "f_ls")
+
+
+@register("f12_row_cap_lineitem", f"""SELECT row_id FROM (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS row_id FROM lineitem)
+  ORDER BY md5(concat('{42}', '|', 'cap', '|', CAST(row_id AS VARCHAR))), row_id LIMIT 1000""")
+def _f12(spark, sf):
+    from classyard.operators.prep import cap_rows
+    from classyard.sources.tables import read_table
+    li = read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("row_id"))
+    return cap_rows(li, 1000)
+
+
+@register("f13_class_weights_evt", "WITH " + O.prep_ctes("evt") + """
+SELECT CAST(label AS BIGINT) AS label, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 9) AS weight
+FROM (SELECT label, count(*) AS n_c FROM evt_prep WHERE split = 'train' GROUP BY label)""")
+def _f13(spark, sf):
+    from classyard.operators.prep import balanced_weights
+    p = prepared(spark, sf, "evt")
+    w = balanced_weights(p.train().select("label"))
+    return w.groupBy("label").agg(F.first("weight").alias("weight")).select(*_big("label"), _r("weight", 9))
+
+
+@register("f14_benign_relabel_lang", "WITH " + O.prep_ctes("lang") + """
+SELECT CAST(p.row_id AS BIGINT) AS row_id, CASE WHEN c.class = 'en' THEN 0 ELSE 1 END AS malicious FROM lang_prep p JOIN lang_cls c ON c.label = p.label""")
+def _f14(spark, sf):
+    from classyard.operators.prep import benign_relabel
+    p = prepared(spark, sf, "lang")
+    return benign_relabel(p.df, p.benign_label, out="malicious").select(*_big("row_id"), F.col("malicious").cast("int"))
+
+
+@register("p2_undersample_evt", "WITH " + O.prep_ctes("evt") + f""",
+tr AS (SELECT row_id, label FROM evt_prep WHERE split = 'train'),
+m AS (SELECT min(n) AS m FROM (SELECT label, count(*) AS n FROM tr GROUP BY label)),
+rep AS (SELECT r.replicate, tr.* FROM tr, (VALUES (0), (1), (2)) r(replicate))
+SELECT CAST(replicate AS BIGINT) AS replicate, CAST(row_id AS BIGINT) AS row_id, CAST(label AS BIGINT) AS label FROM (
+  SELECT rep.*, row_number() OVER (PARTITION BY replicate, label ORDER BY md5(concat('{42}', '|', CAST(replicate AS VARCHAR), '|', CAST(row_id AS VARCHAR))), row_id) AS rk
+  FROM rep) , m WHERE rk <= m.m""")
+def _p2(spark, sf):
+    from classyard.operators.samplers import undersample
+    p = prepared(spark, sf, "evt")
+    return undersample(p.train().select("row_id", "label"), 3).select(*_big("replicate", "row_id", "label"))
+
+
+@register("p1_bootstrap_evt")
+def _p1(spark, sf):
+    """P1 multiplicities for 3 replicates (rows check: per-replicate totals ~ n)."""
+    from classyard.operators.samplers import bootstrap
+    p = prepared(spark, sf, "evt")
+    return bootstrap(p.train().select("row_id", "label"), 3).select(*_big("replicate", "row_id", "w"))
+
+
+@register("p3_balanced_bootstrap_evt")
+def _p3(spark, sf):
+    from classyard.operators.samplers import balanced_bootstrap
+    p = prepared(spark, sf, "evt")
+    return balanced_bootstrap(p.train().select("row_id", "label"), 3).select(*_big("replicate", "row_id", "label", "w"))
+
+
+@register("s2_concat_sources", """SELECT event_type, count(*) AS n FROM (
+  SELECT event_id, event_type FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, event_type FROM events WHERE event_type <> 'view')
+  GROUP BY event_type""")
+def _s2(spark, sf):
+    from classyard.sources.tables import concat_sources, read_table
+    ev = read_table(spark, sf, "events").select("event_id", "event_type")
+    u = concat_sources(ev.where("event_type = 'view'"), ev.where("event_type <> 'view'"))
+    return u.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_evq("s3_s4_result_roundtrip", "SELECT dataset, key, round(f1_macro, 6) AS f1_macro, round(accuracy, 6) AS accuracy FROM lb_rec")
+def _s34(spark, sf):
+    import uuid
+    from classyard.session import checkpoint_dir
+    from classyard.sources.results import read_results, write_results
+    path = f"{checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    write_results(_lb().lb_records(spark, sf), path)
+    return read_results(spark, path).select("dataset", "key", _r("f1_macro"), _r("accuracy"))
+
+
+@register("s5_merge_documents")
+def _s5(spark, sf):
+    """Importance table + binary view folded into one JSON document per dataset (rows check)."""
+    from classyard.operators import importance as I
+    from classyard.sources.results import merge_documents
+    tr, fs = _btrain(spark, sf, "lang")
+    imp = I.top_k(I.anova_f(tr, fs), fs).select(F.lit("lang").alias("dataset"), F.lit("anova_f").alias("method"),
+                                                "rank", "feature", "importance")
+    return merge_documents(imp, _binary(spark, sf))
