@@ -33,6 +33,12 @@ class _SparkFitted(Fitted):
         out = self.model.transform(_assemble(df.select("row_id", "label", *self.feats), self.feats))
         return out.select("row_id", F.col("label").alias("y"), F.col("prediction").cast("int").alias("p"))
 
+    def proba(self, df):
+        """(row_id, y, prob array<double>) from the model's probability vector."""
+        from pyspark.ml.functions import vector_to_array
+        out = self.model.transform(_assemble(df.select("row_id", "label", *self.feats), self.feats))
+        return out.select("row_id", F.col("label").alias("y"), vector_to_array("probability").alias("prob"))
+
 
 class SparkML(Estimator):
     def __init__(self, make, balanced: bool = True, reg_from_c: float | None = None, size_fn=None, **params):
@@ -120,7 +126,11 @@ class AdaBoostSAMME(Estimator):
         df = df.withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True)
         stumps = []
         for r in range(self.n_rounds):
-            m = DecisionTreeClassifier(maxDepth=1, maxBins=255, labelCol="label", weightCol="w", seed=42).fit(df)
+            fit_df = df
+            if getattr(self, "resample", False):     # RUSBoost: fresh class-balanced under-sample per round
+                from classyard.operators.samplers import undersample
+                fit_df = undersample(df, 1, ctx.seed + r).drop("replicate")
+            m = DecisionTreeClassifier(maxDepth=1, maxBins=255, labelCol="label", weightCol="w", seed=42).fit(fit_df)
             pr = m.transform(df).withColumn("miss", (F.col("prediction").cast("int") != F.col("label")).cast("double"))
             agg = pr.agg(F.sum(F.col("w") * F.col("miss")).alias("e"), F.sum("w").alias("s")).first()
             err = (agg["e"] or 0.0) / (agg["s"] or 1.0)

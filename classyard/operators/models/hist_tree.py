@@ -272,7 +272,14 @@ class _HGFitted(Fitted):
         self.forest, self.edges, self.feats, self.K, self.lr = forest, edges, feats, K, lr
         self.size = f"{len(forest) * K} trees"
 
+    def proba(self, df):
+        """(row_id, y, prob array<double>): softmax of the boosted margins."""
+        return self._run(df, proba=True)
+
     def predict(self, df):
+        return self._run(df, proba=False)
+
+    def _run(self, df, proba):
         forest, K, lr = self.forest, self.K, self.lr
         bcols = [f"b_{i}" for i in range(len(self.feats))]
         b = binned(df.select("row_id", "label", *self.feats), self.feats, self.edges)
@@ -287,6 +294,12 @@ class _HGFitted(Fitted):
                     for t in range(K):
                         node = _route(B, trees[t])
                         m[:, t] += lr * trees[t]["leaf_a"][node]
-                yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(np.int64), "y": pdf["label"].to_numpy(np.int32),
-                                    "p": np.argmax(m, axis=1).astype(np.int32)})
-        return b.mapInPandas(run, "row_id long, y int, p int")
+                base = {"row_id": pdf["row_id"].to_numpy(np.int64), "y": pdf["label"].to_numpy(np.int32)}
+                if proba:
+                    z = np.exp(m - m.max(axis=1, keepdims=True))
+                    base["prob"] = list(z / z.sum(axis=1, keepdims=True))
+                else:
+                    base["p"] = np.argmax(m, axis=1).astype(np.int32)
+                yield pd.DataFrame(base)
+        schema = "row_id long, y int, prob array<double>" if proba else "row_id long, y int, p int"
+        return b.mapInPandas(run, schema)

@@ -106,8 +106,8 @@ def neighbours(train: DataFrame, test: DataFrame, features: list[str], k: int,
     schema = (f"{extra_group} long, " if extra_group else "") + NB_SCHEMA
     fn = _partial_topk(k, features)
     if extra_group:
-        def fn_g(te_pdf, tr_pdf, _fn=fn):
-            out = _fn(te_pdf, tr_pdf)
+        def fn_g(te_pdf, tr_pdf):
+            out = fn(te_pdf, tr_pdf)
             val = te_pdf[extra_group].iloc[0] if len(te_pdf) else (tr_pdf[extra_group].iloc[0] if len(tr_pdf) else 0)
             out.insert(0, extra_group, np.int64(val))
             return out
