@@ -34,6 +34,9 @@ def _dloss(kind: str, z: np.ndarray):
     elif kind == "hinge":
         l = np.maximum(0, 1 - z)
         g = np.where(z < 1, -1.0, 0.0)
+    elif kind == "log":
+        l = np.logaddexp(0, -z)
+        g = -1.0 / (1.0 + np.exp(np.clip(z, -50, 50)))
     elif kind == "perceptron":
         l = np.maximum(0, -z)
         g = np.where(z <= 0, -1.0, 0.0)
@@ -42,21 +45,33 @@ def _dloss(kind: str, z: np.ndarray):
     return l, g
 
 
-def grad_pass(df: DataFrame, feats: list[str], K: int, W: np.ndarray, kind: str, cw: np.ndarray):
-    """Sum over rows of w_i * loss and its gradient for all K OvR problems."""
-    d = len(feats)
+def grad_pass(df: DataFrame, feats: list[str], K: int, W: np.ndarray, kind: str, cw: np.ndarray,
+              phi=None, pairs: list[tuple[int, int]] | None = None):
+    """Sum over rows of w_i * loss and its gradient for all tasks at once.
+
+    Tasks are the K one-vs-rest problems, or -- with ``pairs`` -- one
+    problem per class pair (a: +1, b: -1, other rows weight 0).  ``phi``
+    maps features inside the task (random features / Nystroem)."""
+    d = W.shape[1] - 1
+    T = W.shape[0]
 
     def run(it):
-        acc = np.zeros((K, d + 2))
+        acc = np.zeros((T, d + 2))
         for pdf in it:
             if pdf.empty:
                 continue
             x = pdf[feats].to_numpy(np.float64)
+            if phi is not None:
+                x = phi(x)
             y = pdf["label"].to_numpy(np.int64)
             sw = cw[y]
-            Y = 2 * np.eye(K)[y] - 1                      # +-1 per class
+            if pairs is None:
+                Y = 2 * np.eye(K)[y] - 1                  # +-1 per class
+            else:
+                Y = np.stack([np.where(y == a, 1.0, np.where(y == b, -1.0, 0.0)) for a, b in pairs], axis=1)
             z = Y * (x @ W[:, :d].T + W[:, d])
             l, g = _dloss(kind, z)
+            l = l * (Y != 0)
             gy = g * Y * sw[:, None]
             acc[:, :d] += gy.T @ x
             acc[:, d] += gy.sum(0)
@@ -66,7 +81,7 @@ def grad_pass(df: DataFrame, feats: list[str], K: int, W: np.ndarray, kind: str,
 
     red = (df.select("label", *feats).mapInPandas(run, OUT)
            .groupBy("c", "j").agg(F.sum("v").alias("v")).collect())
-    acc = np.zeros((K, d + 2))
+    acc = np.zeros((T, d + 2))
     for r in red:
         acc[r["c"], r["j"]] = r["v"]
     return acc[:, d + 1], acc[:, :d + 1]
@@ -117,27 +132,46 @@ class SmoothOvR(Estimator):
     'sum' -> C sum w_i L + 1/2 ||W||^2 (liblinear style, bias penalised).
     """
 
-    def __init__(self, loss: str, alpha: float = 1e-4, C: float = 1.0, objective: str = "mean", max_iter: int = 100):
+    def __init__(self, loss: str, alpha: float = 1e-4, C: float = 1.0, objective: str = "mean", max_iter: int = 100,
+                 phi_factory=None, ovo: bool = False, balanced_weights: bool = True, **extra):
         self.loss, self.alpha, self.C, self.objective, self.max_iter = loss, alpha, C, objective, max_iter
-        self.params = dict(loss=loss, alpha=alpha, C=C, class_weight="balanced", max_iter=max_iter)
+        self.phi_factory, self.ovo, self.bal = phi_factory, ovo, balanced_weights
+        self.params = dict(loss=loss, alpha=alpha, C=C, class_weight="balanced" if balanced_weights else None,
+                           max_iter=max_iter, multi_class="ovo" if ovo else "ovr", **extra)
 
     def fit(self, train, ctx: Ctx):
-        K, d = ctx.k, len(ctx.features)
-        cw = balanced(class_counts(train, K))
+        K = ctx.k
+        cnt = class_counts(train, K)
+        cw = balanced(cnt) if self.bal else np.ones(K)
         df = train.select("label", *ctx.features).persist()
-        wsum = float(np.sum(cw * class_counts(train, K)))
+        wsum = float(np.sum(cw * cnt))
+        phi = self.phi_factory(train, ctx) if self.phi_factory else None
+        d = phi(np.zeros((1, len(ctx.features)))).shape[1] if phi is not None else len(ctx.features)
+        pairs = [(a, b) for a in range(K) for b in range(a + 1, K)] if self.ovo else None
+        T = len(pairs) if pairs else K
 
         def fg(v):
-            W = v.reshape(K, d + 1)
-            l, g = grad_pass(df, ctx.features, K, W, self.loss, cw)
+            W = v.reshape(T, d + 1)
+            l, g = grad_pass(df, ctx.features, K, W, self.loss, cw, phi=phi, pairs=pairs)
             if self.objective == "mean":
                 reg = W.copy(); reg[:, d] = 0
                 return l.sum() / wsum + 0.5 * self.alpha * (reg ** 2).sum(), (g / wsum + self.alpha * reg).ravel()
             return self.C * l.sum() + 0.5 * (W ** 2).sum(), (self.C * g + W).ravel()
-        v = lbfgs(fg, np.zeros(K * (d + 1)), self.max_iter)
+        v = lbfgs(fg, np.zeros(T * (d + 1)), self.max_iter)
         df.unpersist()
-        W = v.reshape(K, d + 1)
-        return _NP(ctx.features, lambda x: x @ W[:, :d].T + W[:, d], f"{K * d} weights")
+        W = v.reshape(T, d + 1)
+
+        def score(x):
+            z = phi(x) if phi is not None else x
+            dec = z @ W[:, :d].T + W[:, d]
+            if pairs is None:
+                return dec
+            votes = np.zeros((len(x), K))
+            for t, (a, b) in enumerate(pairs):       # one-vs-one: each pair votes
+                votes[:, a] += dec[:, t] > 0
+                votes[:, b] += dec[:, t] <= 0
+            return votes
+        return _NP(ctx.features, score, f"{T * d} weights")
 
 
 class BatchMistakeDriven(Estimator):
