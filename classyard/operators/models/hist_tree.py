@@ -88,17 +88,23 @@ def _grads(margins: np.ndarray, y: np.ndarray, k: int, second_order: bool, hess_
 class HistGBM(Estimator):
     def __init__(self, n_rounds=200, lr=0.1, depth=6, max_bins=255, lam=1.0, min_child_weight=1.0,
                  min_child_samples=0, policy="depthwise", max_leaves=None, second_order=True,
-                 hess_scale=2.0, goss=None, dart_rate=None, ckpt_every=10, **extra):
+                 hess_scale=2.0, goss=None, dart_rate=None, ckpt_every=10, random_threshold=False,
+                 max_features=None, forest=False, cyclic=False, **extra):
         self.n_rounds, self.lr, self.depth, self.max_bins = n_rounds, lr, depth, max_bins
         self.lam, self.mcw, self.mcs = lam, min_child_weight, min_child_samples
         self.policy, self.max_leaves, self.second_order = policy, max_leaves, second_order
         self.hess_scale, self.goss, self.dart_rate, self.ckpt_every = hess_scale, goss, dart_rate, ckpt_every
+        self.random_threshold, self.max_features, self.forest, self.cyclic = random_threshold, max_features, forest, cyclic
         self.params = dict(n_estimators=n_rounds, learning_rate=lr, max_depth=depth, max_bins=max_bins,
                            reg_lambda=lam, grow_policy=policy, max_leaves=max_leaves, **extra)
         if goss:
             self.params["goss"] = goss
         if dart_rate is not None:
             self.params["rate_drop"] = dart_rate
+        if forest:
+            self.params.update(forest=True, random_threshold=random_threshold, max_features=max_features)
+        if cyclic:
+            self.params["cyclic_features"] = True
 
     # ---------------------------------------------------------------- fit
     def fit(self, train, ctx: Ctx):
@@ -112,8 +118,13 @@ class HistGBM(Estimator):
         bcols = [f"b_{i}" for i in range(d)]
         forest = []
         max_nodes = 2 ** (self.depth + 1)
-        for r in range(self.n_rounds):
-            trees = [_arrays(dict(feat={}, thr={}, depth=0, leaf={}), max_nodes) for _ in range(K)]
+        self._d = d
+        # forest mode: all n_rounds x K trees grow together from zero margins
+        rounds, T = (1, self.n_rounds * K) if self.forest else (self.n_rounds, K)
+        self._T = T
+        for r in range(rounds):
+            self._round = r
+            trees = [_arrays(dict(feat={}, thr={}, depth=0, leaf={}), max_nodes) for _ in range(T)]
             totals: dict = {}
             self._leaves = {}
             gscale = self._goss_threshold(state, K, r) if self.goss else None
@@ -138,9 +149,11 @@ class HistGBM(Estimator):
             for tr in trees:
                 _arrays(tr, max_nodes)
             forest.append(trees)
-            state = self._update(state, trees, K, bcols, r)
+            if not self.forest:
+                state = self._update(state, trees, K, bcols, r)
         self.size = f"{len(forest) * K} trees"
-        return _HGFitted(forest, edges, feats, K, self.lr)
+        lr = 1.0 / self.n_rounds if self.forest else self.lr
+        return _HGFitted(forest, edges, feats, K, lr)
 
     def _goss_threshold(self, state, K, r):
         a, b = self.goss
@@ -174,9 +187,9 @@ class HistGBM(Estimator):
                     keep_small = u < b / max(1e-12, 1 - a)
                     w = np.where(ag >= q, 1.0, np.where(keep_small, (1 - a) / b, 0.0))
                 out = []
-                for t in range(K):
+                for t in range(len(trees_b)):
                     node = _route(B, trees_b[t])
-                    gw, hw = g[:, t] * w, h[:, t] * w
+                    gw, hw = g[:, t % K] * w, h[:, t % K] * w
                     live = w > 0
                     if totals_only:
                         keys, inv = np.unique(node[live], return_inverse=True)
@@ -214,8 +227,22 @@ class HistGBM(Estimator):
         c = c.persist()
         tot = {(r["t"], r["node"]): (r["G"], r["H"]) for r in
                c.where(F.col("f") == 0).groupBy("t", "node").agg(F.first("G").alias("G"), F.first("H").alias("H")).collect()}
-        cand = c.where(ok).select("t", "node", "f", "bin", F.round(gain, 12).alias("gain"), "GL", "HL",
-                                  GR.alias("GR"), HR.alias("HR"))
+        cand = c.where(ok)
+        seed = 42 + 1000 * getattr(self, "_round", 0)
+        if self.random_threshold:
+            # one random threshold per (tree, node, feature) within the node's observed bins
+            lo, hi = F.min("bin").over(wt), F.max("bin").over(wt)
+            u = F.pmod(F.xxhash64(F.lit(seed), "t", "node", "f"), F.lit(1000003)) / 1000003.0
+            cand = (cand.withColumn("__lo", lo).withColumn("__hi", hi)
+                    .where(F.col("bin") == F.col("__lo") + F.floor(u * (F.col("__hi") - F.col("__lo")))))
+        if self.max_features == "sqrt":
+            share = max(1.0, float(np.sqrt(self._d))) / self._d
+            uf = F.pmod(F.xxhash64(F.lit(seed + 7), "t", "node", "f"), F.lit(1000003)) / 1000003.0
+            cand = cand.where(uf < share)
+        if self.cyclic:
+            cand = cand.where(F.col("f") == getattr(self, "_round", 0) % self._d)
+        cand = cand.select("t", "node", "f", "bin", F.round(gain, 12).alias("gain"), "GL", "HL",
+                           GR.alias("GR"), HR.alias("HR"))
         if self.policy == "oblivious":
             best = (cand.groupBy("t", "f", "bin").agg(F.sum("gain").alias("gain"))
                     .groupBy("t").agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("bin")).alias("nb"))).alias("s"))
@@ -232,7 +259,7 @@ class HistGBM(Estimator):
             rows = best.collect()   # <= K x 2^level rows
             if self.policy == "leaves" and self.max_leaves:
                 keep = []
-                for t in range(K):
+                for t in range(self._T):
                     budget = self.max_leaves - self._leaves.get(t, 1)
                     tr = sorted([r for r in rows if r["t"] == t], key=lambda r: (-r["gain"], r["node"]))[:max(0, budget)]
                     self._leaves[t] = self._leaves.get(t, 1) + len(tr)
@@ -291,9 +318,9 @@ class _HGFitted(Fitted):
                 B = pdf[bcols].to_numpy(np.int64)
                 m = np.zeros((len(B), K))
                 for trees in forest:
-                    for t in range(K):
+                    for t in range(len(trees)):
                         node = _route(B, trees[t])
-                        m[:, t] += lr * trees[t]["leaf_a"][node]
+                        m[:, t % K] += lr * trees[t]["leaf_a"][node]
                 base = {"row_id": pdf["row_id"].to_numpy(np.int64), "y": pdf["label"].to_numpy(np.int32)}
                 if proba:
                     z = np.exp(m - m.max(axis=1, keepdims=True))
