@@ -502,3 +502,32 @@ def _s5(spark, sf):
     imp = I.top_k(I.anova_f(tr, fs), fs).select(F.lit("lang").alias("dataset"), F.lit("anova_f").alias("method"),
                                                 "rank", "feature", "importance")
     return merge_documents(imp, _binary(spark, sf))
+
+
+# ------------------------------------------------------------------ rows-checked models
+# Randomised / iterative estimators have no exact SQL form: the driver gets a
+# rows-only check, our tests pin them against NumPy and invariants.
+ROWS_MODELS = ["ridge", "lda", "qda", "elm", "rbf_sampler_ridge", "decision_tree", "random_forest", "bagging_dt",
+               "perceptron", "passive_aggressive", "nystroem_sgd", "gaussian_process", "label_spreading",
+               "som_classifier", "bagging_knn", "logreg"]
+
+for _m in ROWS_MODELS:
+    def _rows(spark, sf, m=_m):
+        from classyard.operators.prep import cap_rows
+        from classyard.operators.models.base import Ctx
+        p = prepared(spark, sf, "lang")
+        spec = REGISTRY[m]
+        tr = cap_rows(p.train(), spec.subsample_cap) if spec.subsample_cap else p.train()
+        fm = spec.build().fit(tr, Ctx(p.features, p.k))
+        return fm.predict(p.test()).select(*_big("row_id", "y", "p"))
+    register(f"{_m}_lang")(_rows)
+
+
+@register("hist_boosting_core_5rounds_lang")
+def _hbc(spark, sf):
+    """The histogram boosting core (xgboost-style depth 6) with 5 rounds."""
+    from classyard.operators.models import hist_tree
+    from classyard.operators.models.base import Ctx
+    p = prepared(spark, sf, "lang")
+    fm = hist_tree.HistGBM(n_rounds=5, lr=0.1, depth=6).fit(p.train(), Ctx(p.features, p.k))
+    return fm.predict(p.test()).select(*_big("row_id", "y", "p"))
