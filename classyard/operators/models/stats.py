@@ -65,7 +65,7 @@ class NearestCentroid(Estimator):
                          for f, m in zip(ctx.features, cent[c])]
                 out.append(reduce(lambda a, t: a + t, terms))
             return out
-        fm = _Scores(scores, f"{cent.size} centroid values", lowest=True)
+        fm = _Scores(scores, f"{cent.size} centroid values", lowest=True)  # scores(): squared distances
         fm.centroids = cent
         return fm
 

@@ -531,3 +531,10 @@ def _hbc(spark, sf):
     p = prepared(spark, sf, "lang")
     fm = hist_tree.HistGBM(n_rounds=5, lr=0.1, depth=6).fit(p.train(), Ctx(p.features, p.k))
     return fm.predict(p.test()).select(*_big("row_id", "y", "p"))
+
+
+@register("streaming_windowed_confusion_evt")
+def _stream(spark, sf):
+    """Structured Streaming: fitted model scoring the events stream (rows check)."""
+    from classyard.streaming.score import windowed_confusion
+    return windowed_confusion(spark, sf).select("window_start", *_big("y", "p", "n"))
