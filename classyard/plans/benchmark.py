@@ -7,6 +7,7 @@ that raises becomes a ``failed`` record (E8) instead of stopping the run.
 """
 from __future__ import annotations
 
+import sys
 import time
 import traceback
 
@@ -51,6 +52,7 @@ def run_models(spark: SparkSession, prep: Prepared, specs: list[ModelSpec],
             p.count()
             t_inf = time.time() - t0
             preds.append(p)
+            print(f"[run] {prep.name} {spec.key} fit={t_fit:.2f}s infer={t_inf:.2f}s", file=sys.stderr, flush=True)
             runs.append({**base, "status": "ok", "hyperparams": hp, "train_time_sec": t_fit,
                          "inference_time_sec": t_inf, "n_train_samples": n_tr,
                          "model_size": getattr(fitted, "size", "n/a"), "error": None})
