@@ -14,8 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classyard.operators.models.base import Ctx, Estimator, Fitted, argmax, argmin, linear_scores
+from classyard.operators.models.moments import numpy_scorer
 from classyard.operators.prep import apply_minmax, fit_minmax
 
+# Above this many (class x feature) terms the score expression outgrows one
+# generated Java method and Spark would fall back to interpreted evaluation;
+# such models score with an Arrow-batched NumPy function instead, written to
+# perform the same left-to-right float operations as the column expression.
+CODEGEN_TERMS = 256
+
+
+def _seq_sum(terms):
+    acc = None
+    for t in terms:
+        acc = t if acc is None else acc + t
+    return acc
+
 
 def class_moments(train: DataFrame, ctx: Ctx, var: bool = False, binar: bool = False):
     """count, mean (and population variance) per class -> numpy arrays (K x d)."""
@@ -39,13 +53,17 @@ def class_moments(train: DataFrame, ctx: Ctx, var: bool = False, binar: bool = F
 
 
 class _Scores(Fitted):
-    def __init__(self, scores_fn, size, lowest=False):
+    def __init__(self, scores_fn, size, lowest=False, np_fn=None, feats=None, terms=0):
         self._fn, self.size, self._lowest = scores_fn, size, lowest
+        self._np, self._feats, self._terms = np_fn, feats, terms
 
     def scores(self):
         return self._fn()
 
     def predict(self, df):
+        if self._np is not None and self._terms > CODEGEN_TERMS:
+            fn = self._np
+            return numpy_scorer(df, self._feats, (lambda x: -fn(x)) if self._lowest else fn)
         sc = self._fn()
         pick = argmin(sc) if self._lowest else argmax(sc)
         return df.select("row_id", F.col("label").alias("y"), pick.alias("p"))
@@ -65,7 +83,13 @@ class NearestCentroid(Estimator):
                          for f, m in zip(ctx.features, cent[c])]
                 out.append(reduce(lambda a, t: a + t, terms))
             return out
-        fm = _Scores(scores, f"{cent.size} centroid values", lowest=True)  # scores(): squared distances
+        def np_scores(x):
+            out = np.empty((len(x), ctx.k))
+            for c in range(ctx.k):
+                out[:, c] = _seq_sum([(x[:, i] - cent[c, i]) * (x[:, i] - cent[c, i]) for i in range(x.shape[1])])
+            return out
+        fm = _Scores(scores, f"{cent.size} centroid values", lowest=True, np_fn=np_scores,
+                     feats=ctx.features, terms=ctx.k * len(ctx.features))  # scores(): squared distances
         fm.centroids = cent
         return fm
 
@@ -96,7 +120,17 @@ class GaussianNB(Estimator):
                          / F.lit(float(2.0 * var[c, i])) for i, f in enumerate(ctx.features)]
                 out.append(F.lit(const) - reduce(lambda a, t: a + t, terms))
             return out
-        return _Scores(scores, "n/a")
+
+        def np_scores(x):
+            out = np.full((len(x), ctx.k), -np.inf)
+            for c in range(ctx.k):
+                if n[c] == 0:
+                    continue
+                const = prior[c] - 0.5 * float(np.sum(np.log(2.0 * math.pi * var[c])))
+                out[:, c] = const - _seq_sum([(x[:, i] - mu[c, i]) * (x[:, i] - mu[c, i]) / float(2.0 * var[c, i])
+                                              for i in range(x.shape[1])])
+            return out
+        return _Scores(scores, "n/a", np_fn=np_scores, feats=ctx.features, terms=ctx.k * len(ctx.features))
 
 
 class BernoulliNB(Estimator):
@@ -123,7 +157,14 @@ class BernoulliNB(Estimator):
                 base = F.lit(float(b[c])) if np.isfinite(b[c]) else F.lit(float("-inf"))
                 out.append(reduce(lambda x, t: x + t, terms) + base)
             return out
-        return _Scores(scores, "n/a")
+
+        def np_scores(x):
+            out = np.empty((len(x), ctx.k))
+            for c in range(ctx.k):
+                base = float(b[c]) if np.isfinite(b[c]) else float("-inf")
+                out[:, c] = _seq_sum([np.where(x[:, i] > 0, float(W[c, i]), 0.0) for i in range(x.shape[1])]) + base
+            return out
+        return _Scores(scores, "n/a", np_fn=np_scores, feats=ctx.features, terms=ctx.k * len(ctx.features))
 
 
 class ComplementNB(Estimator):
@@ -148,6 +189,15 @@ class ComplementNB(Estimator):
 
             def predict(self, df):
                 s = apply_minmax(df.select("row_id", "label", *feats), mm)
+                if ctx.k * len(feats) > CODEGEN_TERMS:
+                    def np_scores(x):
+                        out = np.empty((len(x), ctx.k))
+                        for c in range(ctx.k):
+                            terms = [x[:, i] * float(w) for i, w in enumerate(W[c]) if w != 0.0]
+                            v = _seq_sum(terms) if terms else np.zeros(len(x))
+                            out[:, c] = v + float(b[c]) if b is not None else v
+                        return out
+                    return numpy_scorer(s, feats, np_scores)
                 return s.select("row_id", F.col("label").alias("y"),
                                 argmax(linear_scores(feats, W, b)).alias("p"))
         return _F()

@@ -15,6 +15,8 @@ from classyard.functions.hashing import SEED
 DATASETS = {
     "lang": dict(benign="en"),
     "evt": dict(benign="view"),
+    "emb": dict(benign="0"),
+    "tox": dict(benign="q1_t0"),
 }
 
 
@@ -23,17 +25,30 @@ def feats(ds: str) -> list[str]:
         return [f"f_{i:02d}" for i in range(len(LETTERS))]
     if ds == "evt":
         return ["f_value", "f_k", "f_hour", "f_dow"]
+    if ds == "emb":
+        return [f"f_{i:02d}" for i in range(64)]
+    if ds == "tox":
+        return [f"f_{i:02d}" for i in range(len(LETTERS))] + ["f_nchars"]
     raise KeyError(ds)
 
 
+def _letter_cols() -> str:
+    t = "lower(text)"
+    return ", ".join(
+        f"CASE WHEN length({t}) = 0 THEN 0.0 ELSE "
+        f"(length({t}) - length(replace({t}, '{ch}', ''))) / length({t}) END AS f_{i:02d}"
+        for i, ch in enumerate(LETTERS))
+
+
 def raw_sql(ds: str) -> str:
     if ds == "lang":
-        t = "lower(text)"
-        cols = ", ".join(
-            f"CASE WHEN length({t}) = 0 THEN 0.0 ELSE "
-            f"(length({t}) - length(replace({t}, '{ch}', ''))) / length({t}) END AS f_{i:02d}"
-            for i, ch in enumerate(LETTERS))
-        return f"SELECT doc_id AS row_id, lang AS cls, {cols} FROM documents"
+        return f"SELECT doc_id AS row_id, lang AS cls, {_letter_cols()} FROM documents"
+    if ds == "tox":
+        return (f"SELECT d.doc_id AS row_id, concat('q', CAST(l.quality AS VARCHAR), '_t', CAST(l.toxic AS VARCHAR)) AS cls, "
+                f"{_letter_cols()}, CAST(d.n_chars AS DOUBLE) AS f_nchars FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+    if ds == "emb":
+        cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f_{i:02d}" for i in range(64))
+        return f"SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS cls, {cols} FROM embeddings"
     if ds == "evt":
         return ("SELECT event_id AS row_id, event_type AS cls, coalesce(value, 0.0) AS f_value, "
                 "coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS f_k, "

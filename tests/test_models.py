@@ -55,3 +55,17 @@ def test_nearest_centroid_and_gnb_vs_numpy(spark):
     jll = prior[None] - 0.5 * np.log(2 * np.pi * var).sum(1)[None] - (((X[:, None, :] - cent[None]) ** 2) / (2 * var[None])).sum(-1)
     got = stats.GaussianNB().fit(df, ctx).predict(df).toPandas().sort_values("row_id")
     assert (got.p.to_numpy() == np.argmax(jll, 1)).all()
+
+
+def test_numpy_and_expression_scoring_agree(spark, monkeypatch):
+    from classyard.operators.models import stats as S
+    df, _ = fixture(spark, seed=9)
+    feats = ["f0", "f1", "f2"]
+    ctx = Ctx(feats, 3)
+    for est in (S.NearestCentroid(), S.GaussianNB(), S.BernoulliNB(), S.ComplementNB()):
+        fm = est.fit(df, ctx)
+        a = fm.predict(df).toPandas().sort_values("row_id").p.to_numpy()
+        monkeypatch.setattr(S, "CODEGEN_TERMS", 0)
+        b = fm.predict(df).toPandas().sort_values("row_id").p.to_numpy()
+        monkeypatch.setattr(S, "CODEGEN_TERMS", 256)
+        assert (a == b).all(), type(est).__name__
