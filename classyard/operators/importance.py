@@ -117,3 +117,32 @@ def native_importance(model_fitted) -> np.ndarray | None:
     if hasattr(m, "coefficientMatrix"):
         return np.abs(m.coefficientMatrix.toArray()).mean(axis=0)
     return None
+
+
+def family_panel(spark, prep, keys: list[str], n_repeats: int = 5, sample: int = 2000,
+                 caps: dict | None = None) -> "DataFrame":
+    """I8: for each representative model -- fit (with its own cap), native
+    importance (I2/I3) where the model has one, permutation importance (I1)
+    -- as one long table (model, method, rank, feature, importance)."""
+    from classyard.operators.models.base import Ctx
+    from classyard.operators.models.registry import REGISTRY
+    from classyard.operators.prep import cap_rows
+    caps = caps or {}
+    feats = prep.features
+    out = None
+    for key in keys:
+        spec = REGISTRY[key]
+        cap = caps.get(key, spec.subsample_cap)
+        tr = cap_rows(prep.train(), cap) if cap else prep.train()
+        fm = spec.build().fit(tr, Ctx(feats, prep.k))
+        parts = []
+        nat = native_importance(fm)
+        if nat is not None:
+            sc = spark.createDataFrame([(i, float(v)) for i, v in enumerate(nat)], "fi int, score double")
+            parts.append(top_k(sc, feats).withColumn("method", F.lit("native")))
+        perm = permutation_importance(fm, prep.test(), feats, prep.k, n_repeats, sample)
+        parts.append(top_k(perm, feats).withColumn("method", F.lit("permutation")))
+        for p in parts:
+            p = p.select(F.lit(key).alias("model"), "method", "rank", "feature", "importance")
+            out = p if out is None else out.unionByName(p)
+    return out

@@ -538,3 +538,13 @@ def _stream(spark, sf):
     """Structured Streaming: fitted model scoring the events stream (rows check)."""
     from classyard.streaming.score import windowed_confusion
     return windowed_confusion(spark, sf).select("window_start", *_big("y", "p", "n"))
+
+
+@register("i8_family_panel_lang")
+def _i8(spark, sf):
+    """I8: native + permutation importance for representative families (rows check)."""
+    from classyard.operators import importance as I
+    p = prepared(spark, sf, "lang")
+    panel = I.family_panel(spark, p, ["random_forest", "logreg", "knn5", "nearest_centroid"],
+                           caps={"knn5": 15_000})
+    return panel.select("model", "method", *_big("rank"), "feature", _r("importance"))

@@ -69,3 +69,16 @@ def test_numpy_and_expression_scoring_agree(spark, monkeypatch):
         b = fm.predict(df).toPandas().sort_values("row_id").p.to_numpy()
         monkeypatch.setattr(S, "CODEGEN_TERMS", 256)
         assert (a == b).all(), type(est).__name__
+
+
+def test_split_and_model_deterministic_across_partitionings(spark):
+    from classyard.operators.prep import stratified_split
+    from classyard.operators.models import stats as S
+    df, _ = fixture(spark, n=300, seed=11)
+    a = {r["row_id"]: r["split"] for r in stratified_split(df).collect()}
+    b = {r["row_id"]: r["split"] for r in stratified_split(df.repartition(7)).collect()}
+    assert a == b
+    feats = ["f0", "f1", "f2"]
+    p1 = S.NearestCentroid().fit(df, Ctx(feats, 3)).predict(df).toPandas().sort_values("row_id").p.to_numpy()
+    p2 = S.NearestCentroid().fit(df.repartition(5), Ctx(feats, 3)).predict(df.repartition(3)).toPandas().sort_values("row_id").p.to_numpy()
+    assert (p1 == p2).all()
