@@ -71,8 +71,8 @@ class VotingSoft(Estimator):
 
 
 class Stacking(Estimator):
-    """Out-of-fold probabilities of the base models (hashed stratified
-    folds) feed a balanced logistic regression."""
+    """Out-of-fold probabilities of the base models (hashed folds) feed a
+    balanced logistic regression."""
 
     def __init__(self, folds: int = 5, n_trees: int = 150, n_rounds: int = 150):
         self.folds = folds
@@ -84,8 +84,11 @@ class Stacking(Estimator):
 
     def fit(self, train, ctx: Ctx):
         k, nb = ctx.k, len(self.base)
-        w = Window.partitionBy("label").orderBy(hash_key(ctx.seed, "'fold'", "row_id"), "row_id")
-        tr = train.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(self.folds))).persist()
+        # hashed folds: independent of partitioning, stratified in expectation, and no
+        # class-wide window (a class may hold a third of all rows)
+        fold = F.pmod(F.conv(F.substring(hash_key(ctx.seed, "'fold'", "row_id"), 1, 8), 16, 10).cast("long"),
+                      F.lit(self.folds))
+        tr = train.withColumn("fold", fold).persist()
         meta_cols = [f"m{b}_{c}" for b in range(nb) for c in range(k)]
 
         def stack(frames):
