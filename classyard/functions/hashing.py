@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["hash_key", "hash_uniform", "hash_bucket", "hash_poisson", "SEED"]
+__all__ = ["hash_key", "hash_uniform", "hash_bucket", "hash_poisson", "hash_id", "SEED"]
 
 SEED = 42
 
@@ -58,3 +58,10 @@ def hash_poisson(u: Column, lam: float = 1.0, kmax: int = 12) -> Column:
     for k in reversed(range(kmax)):
         expr = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(expr)
     return expr.cast("int")
+
+
+def hash_id(*cols: str) -> Column:
+    """Stable 60-bit row id from a composite key (md5 of 'c1|c2|...'), for
+    tables without a single-column key."""
+    s = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")

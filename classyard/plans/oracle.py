@@ -17,8 +17,16 @@ DATASETS = {
     "evt": dict(benign="view"),
     "emb": dict(benign="0"),
     "tox": dict(benign="q1_t0"),
+    "qual": dict(benign="1"),
+    "line": dict(benign="N"),
 }
 
+LINE_ID_SQL = ("CAST(concat('0x', substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), "
+               "CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), 1, 15)) AS BIGINT)")
+
+# exact all-pairs kNN in SQL is only run where the pair count is small
+KNN_ORACLE = {"lang", "evt", "emb", "tox", "qual"}
+
 
 def feats(ds: str) -> list[str]:
     if ds == "lang":
@@ -27,8 +35,10 @@ def feats(ds: str) -> list[str]:
         return ["f_value", "f_k", "f_hour", "f_dow"]
     if ds == "emb":
         return [f"f_{i:02d}" for i in range(64)]
-    if ds == "tox":
+    if ds in ("tox", "qual"):
         return [f"f_{i:02d}" for i in range(len(LETTERS))] + ["f_nchars"]
+    if ds == "line":
+        return ["f_qty", "f_price", "f_disc", "f_tax", "f_ls_F", "f_ls_O"]
     raise KeyError(ds)
 
 
@@ -46,6 +56,14 @@ def raw_sql(ds: str) -> str:
     if ds == "tox":
         return (f"SELECT d.doc_id AS row_id, concat('q', CAST(l.quality AS VARCHAR), '_t', CAST(l.toxic AS VARCHAR)) AS cls, "
                 f"{_letter_cols()}, CAST(d.n_chars AS DOUBLE) AS f_nchars FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+    if ds == "qual":
+        return (f"SELECT d.doc_id AS row_id, CAST(l.quality AS VARCHAR) AS cls, {_letter_cols()}, "
+                f"CAST(d.n_chars AS DOUBLE) AS f_nchars FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+    if ds == "line":
+        return (f"SELECT {LINE_ID_SQL} AS row_id, l_returnflag AS cls, l_quantity AS f_qty, "
+                "l_extendedprice AS f_price, l_discount AS f_disc, l_tax AS f_tax, "
+                "CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS f_ls_F, "
+                "CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS f_ls_O FROM lineitem")
     if ds == "emb":
         cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f_{i:02d}" for i in range(64))
         return f"SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS cls, {cols} FROM embeddings"

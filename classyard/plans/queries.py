@@ -47,6 +47,8 @@ for _ds in O.DATASETS:
 # ------------------------------------------------------------------ models
 for _ds in O.DATASETS:
     for _m in SQL_EXACT:
+        if _m.startswith("knn") and _ds not in O.KNN_ORACLE:
+            continue
         def _pred(spark, sf, ds=_ds, m=_m):
             return predictions(spark, sf, ds, m).select(*_big("row_id", "y", "p"))
         register(f"{_m}_{_ds}",
@@ -409,21 +411,25 @@ def _f123(spark, sf):
                      F.when(F.col("value").isNull(), F.lit(0)).otherwise(hex_payload_bytes(F.hex("event_id"))).cast("bigint").alias("payload_bytes"))
 
 
-@register("f7_one_hot_lineitem", """SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS row_id,
+@register("f7_one_hot_lineitem", f"""SELECT {O.LINE_ID_SQL} AS row_id,
   CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS f_ls_F, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS f_ls_O FROM lineitem""")
 def _f7(spark, sf):
     from classyard.operators.prep import one_hot
     from classyard.sources.tables import read_table
-    li = read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), "l_linestatus")
+    from classyard.functions.hashing import hash_id
+    from classyard.sources.standins import LINE_KEY
+    li = read_table(spark, sf, "lineitem").select(hash_id(*LINE_KEY).alias("row_id"), "l_linestatus")
     return one_hot(li, "l_linestatus", ["F", "O"], "f_ls")
 
 
-@register("f12_row_cap_lineitem", f"""SELECT row_id FROM (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS row_id FROM lineitem)
+@register("f12_row_cap_lineitem", f"""SELECT row_id FROM (SELECT {O.LINE_ID_SQL} AS row_id FROM lineitem)
   ORDER BY md5(concat('{42}', '|', 'cap', '|', CAST(row_id AS VARCHAR))), row_id LIMIT 1000""")
 def _f12(spark, sf):
     from classyard.operators.prep import cap_rows
     from classyard.sources.tables import read_table
-    li = read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("row_id"))
+    from classyard.functions.hashing import hash_id
+    from classyard.sources.standins import LINE_KEY
+    li = read_table(spark, sf, "lineitem").select(hash_id(*LINE_KEY).alias("row_id"))
     return cap_rows(li, 1000)
 
 

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from classyard.functions.exprs import LETTERS, letter_share_columns
+from classyard.functions.hashing import hash_id
+
+# lineitem has no single-column key; (orderkey, partkey, suppkey, linenumber) is unique
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 from classyard.sources.tables import read_table
 
 
@@ -76,7 +80,7 @@ def line(spark: SparkSession, sf_dir: str) -> RawDataset:
     li = read_table(spark, sf_dir, "lineitem")
     feats = ["f_qty", "f_price", "f_disc", "f_tax", "f_ls_F", "f_ls_O"]
     raw = li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+        hash_id(*LINE_KEY).alias("row_id"),
         F.col("l_returnflag").alias("cls"),
         F.col("l_quantity").alias("f_qty"), F.col("l_extendedprice").alias("f_price"),
         F.col("l_discount").alias("f_disc"), F.col("l_tax").alias("f_tax"),
