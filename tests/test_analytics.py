@@ -69,3 +69,26 @@ def test_dynamic_sort_nulls_last(spark):
     s = A.dynamic_sort(rec.where("dataset = 'b'"), "f1_macro", ascending=True).orderBy("position").collect()
     assert s[-1]["key"] == "m7"          # failed run (null metric) sorts last
     assert s[0]["key"] == "m6"
+
+
+def test_failing_model_becomes_failed_record(spark):
+    """An estimator that raises yields a failed record; the run goes on."""
+    from classyard.operators.models.base import Estimator, ModelSpec
+    from classyard.operators.models.registry import REGISTRY
+    from classyard.operators.prep import prepare
+    from classyard.plans.benchmark import result_records, run_models
+    from classyard.sources import standins
+
+    class Boom(Estimator):
+        def fit(self, train, ctx):
+            raise RuntimeError("x" * 800)
+
+    rd = standins.evt(spark, "/root/testdata/sf0.001")
+    prep = prepare(rd.name, rd.raw, rd.features, rd.benign)
+    specs = [ModelSpec("boom", "Boom", "exotic", "", Boom), REGISTRY["nearest_centroid"]]
+    pred, runs = run_models(spark, prep, specs)
+    classes = prep.class_table(spark).selectExpr("'evt' AS dataset", "label", "class")
+    rec = {r["key"]: r for r in result_records(pred, runs, classes).collect()}
+    assert rec["boom"]["status"] == "failed" and len(rec["boom"]["error"]) == 500
+    assert rec["boom"]["f1_macro"] is None
+    assert rec["nearest_centroid"]["status"] == "ok" and rec["nearest_centroid"]["n_test_samples"] > 0
