@@ -225,8 +225,7 @@ class HistGBM(Estimator):
         gain = (F.col("GL") ** 2 / (F.col("HL") + lam) + GR ** 2 / (HR + lam) - F.col("G") ** 2 / (F.col("H") + lam))
         ok = (F.col("HL") >= mcw) & (HR >= mcw) & (F.col("NL") >= mcs) & (NR >= mcs) & (NR > 0) & (F.col("NL") > 0)
         c = c.persist()
-        tot = {(r["t"], r["node"]): (r["G"], r["H"]) for r in
-               c.where(F.col("f") == 0).groupBy("t", "node").agg(F.first("G").alias("G"), F.first("H").alias("H")).collect()}
+        node_tot = c.where(F.col("f") == 0).groupBy("t", "node").agg(F.first("G").alias("G"), F.first("H").alias("H"))
         cand = c.where(ok)
         seed = 42 + 1000 * getattr(self, "_round", 0)
         if self.random_threshold:
@@ -250,13 +249,17 @@ class HistGBM(Estimator):
                     .where(F.col("gain") > 0))
             rows = (cand.join(best.select("t", "f", "bin"), ["t", "f", "bin"])
                     .select("t", "node", "f", "bin", "GL", "HL", "GR", "HR").collect())
+            tot = {(r["t"], r["node"]): (r["G"], r["H"]) for r in node_tot.collect()}
         else:
             best = (cand.groupBy("t", "node")
                     .agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("bin")).alias("nb"),
                                         "GL", "HL", "GR", "HR")).alias("s"))
                     .select("t", "node", "s.gain", (-F.col("s.nf")).alias("f"), (-F.col("s.nb")).alias("bin"),
                             "s.GL", "s.HL", "s.GR", "s.HR").where(F.col("gain") > 0))
-            rows = best.collect()   # <= K x 2^level rows
+            # one collect per level: node totals with the best split (if any) of each node
+            both = node_tot.join(best, ["t", "node"], "left").collect()   # <= trees x 2^level rows
+            tot = {(r["t"], r["node"]): (r["G"], r["H"]) for r in both}
+            rows = [r for r in both if r["gain"] is not None]
             if self.policy == "leaves" and self.max_leaves:
                 keep = []
                 for t in range(self._T):
