@@ -554,3 +554,15 @@ def _i8(spark, sf):
     panel = I.family_panel(spark, p, ["random_forest", "logreg", "knn5", "nearest_centroid"],
                            caps={"knn5": 15_000})
     return panel.select("model", "method", *_big("rank"), "feature", _r("importance"))
+
+
+for _name, _kw in [("leafwise", dict(depth=10, policy="leaves", max_leaves=31, min_child_samples=20, hess_scale=1.0, lam=0.0)),
+                   ("oblivious", dict(depth=6, policy="oblivious", lam=3.0, hess_scale=1.0))]:
+    def _hbc_p(spark, sf, kw=_kw):
+        """The histogram boosting core with a leaf-budget / oblivious growth policy, 5 rounds."""
+        from classyard.operators.models import hist_tree
+        from classyard.operators.models.base import Ctx
+        p = prepared(spark, sf, "lang")
+        fm = hist_tree.HistGBM(n_rounds=5, lr=0.1, **kw).fit(p.train(), Ctx(p.features, p.k))
+        return fm.predict(p.test()).select(*_big("row_id", "y", "p"))
+    register(f"hist_boosting_{_name}_5rounds_lang")(_hbc_p)
