@@ -85,10 +85,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, shards: in
         from pyspark import TaskContext
         enc, row = encoder(tokenizer, True), TaskContext.get().partitionId() * 7919
         for b in batches:
-            docs_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in text_slices(texts):
+            docs_ = b.column(0).to_pylist()
+            for lo, hi, texts in text_slices(b.column(1)):
                 cols: list[list] = [[] for _ in range(6)]
-                for d, ids in zip(docs_[lo:hi], enc.encode(texts[lo:hi], end_id)):
+                for d, ids in zip(docs_[lo:hi], enc.encode(texts, end_id)):
                     for a in range(0, len(ids), window):
                         part = ids[a:a + window]
                         row += 1

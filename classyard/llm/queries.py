@@ -16,8 +16,23 @@ def op6_pack_bfd(spark, sf_dir):
     return packed_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_fuse_dedup(spark, sf_dir):
+    from classyard.llm.fuse_dedup import dedup_digests
+    return dedup_digests(read(spark, sf_dir, "documents"))
+
+
+def op4_flow_mix(spark, sf_dir):
+    from classyard.llm.mix_flow import mix_digests
+    return mix_digests(read(spark, sf_dir, "documents"))
+
+
+def op10_weak_quality(spark, sf_dir):
+    from classyard.llm.weak_quality import judge
+    return judge(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    fns = [op1_rans_tokens, op6_pack_bfd]
+    fns = [op1_rans_tokens, op3_fuse_dedup, op4_flow_mix, op6_pack_bfd, op10_weak_quality]
     return {f.__name__: f for f in fns}
 
 

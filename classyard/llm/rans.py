@@ -166,9 +166,8 @@ def tokenise(docs: DataFrame, path: str, keep_blank: bool, end_id: int) -> DataF
     def run(batches):
         enc = encoder(path, keep_blank)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in text_slices(texts):
-                ids = [x.tobytes() for x in enc.encode(texts[lo:hi], end_id)]
+            for lo, hi, texts in text_slices(b.column(1)):
+                ids = [x.tobytes() for x in enc.encode(texts, end_id)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(ids, pa.binary())], ["doc_id", "ids"])
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(run, IDS_SCHEMA)
 

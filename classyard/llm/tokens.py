@@ -14,8 +14,8 @@ the library's own encoding of whole texts).
   line break between two non-white characters one on both sides.  Texts with
   other white space (runs, tabs, leading or trailing blanks) are cut only at
   single blanks between non-white characters.
-* Both: a full stop or comma between an ASCII letter and white space is a
-  piece of its own.
+* Both: a run of ASCII signs between a Latin letter and white space is a piece
+  of its own.
 """
 from __future__ import annotations
 
@@ -25,7 +25,8 @@ import re
 import numpy as np
 
 _SINGLE_BLANK = re.compile(r"(?<=\S)(?= \S)")
-_STOP = re.compile(r"[.,](?<=[A-Za-z][.,])(?=[ \n])")
+# a run of ASCII signs between a letter and a blank
+_STOP = re.compile(r"[!-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ][!-/:-@\[-`{-~])[!-/:-@\[-`{-~]*(?=[ \n])")
 
 
 def _regular(text: str) -> bool:
@@ -34,6 +35,14 @@ def _regular(text: str) -> bool:
     return t.isprintable() and "  " not in t and t[0] != " " and t[-1] != " "
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level models use for each byte: bytes
+    that print stand for themselves, the others follow from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 class _Codes(dict):
     """chunk -> code; a chunk never seen before gets the next code."""
 
@@ -49,7 +58,7 @@ class _Codes(dict):
 class ChunkEncoder:
     """Encoder of texts into uint16 id arrays with a bounded memo of chunks."""
 
-    def __init__(self, path: str, keep_blank: bool, memo: int = 1_000_000):
+    def __init__(self, path: str, keep_blank: bool, memo: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -57,15 +66,36 @@ class ChunkEncoder:
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("vocabulary does not fit 16-bit ids")
         self.keep_blank, self.memo = keep_blank, memo
-        # between chunks that are encoded in one go; its own id is found again
-        self.joint = "\n" if keep_blank else " \x02 "
-        self.joint_id = self.tok.encode(self.joint, add_special_tokens=False).ids[-1]
+        # Chunks of Latin letters are one pre-token each whatever the pattern:
+        # they go to the library's model many at a time, between joints.
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+        self.letters = _byte_letters()
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        self.joint = self.letters[10] if keep_blank else "!"
+        self.joint_id = self.tok.model.tokenize(self.joint)[0].id
         self._reset()
 
     def _reset(self):
         self.codes = _Codes()
         self.ids = np.empty(1 << 16, np.uint16)
         self.offsets = np.zeros(1 << 14, np.int64)   # chunk c: ids[offsets[c]:offsets[c+1]]
+        self.used = np.zeros(0, np.int64)
+
+    def _prune(self):
+        """Forget the chunks that were used least, at least half of them."""
+        used = self.used[:len(self.codes)]
+        least = max(3, int(np.partition(used, len(used) // 2)[len(used) // 2]) + 1)
+        keep = np.flatnonzero(used >= least)
+        names = list(self.codes)
+        codes = _Codes()
+        for k, c in enumerate(keep.tolist()):
+            codes[names[c]] = k
+        lo, n = self.offsets[keep], self.offsets[keep + 1] - self.offsets[keep]
+        stop = np.cumsum(n)
+        self.ids = np.concatenate([self.ids[np.repeat(lo - (stop - n), n) + np.arange(int(n.sum()))], np.zeros(1 << 16, np.uint16)])
+        self.offsets = np.concatenate([[0], stop, np.zeros(1 << 14, np.int64)]).astype(np.int64)
+        self.used, self.codes = used[keep] // 2, codes
 
     def _chunks(self, text: str) -> list[str]:
         if not self.keep_blank:
@@ -76,17 +106,30 @@ class ChunkEncoder:
             return _SINGLE_BLANK.split(text)
         return _STOP.sub("\x00\\g<0>", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
+    def _single(self, chunk: str) -> str | None:
+        """The model's spelling of a chunk of Latin letters, else None."""
+        word = chunk[1:] if self.keep_blank and chunk[:1] == " " else chunk
+        if not word.isalpha() or max(word) >= "Ā":
+            return None
+        if not self.keep_blank:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return word if len(word) and chunk[0] != " " else self.letters[32] + word
+
     def _encode_each(self, chunks: list[str]) -> list[np.ndarray]:
-        plain = [k for k, c in enumerate(chunks) if c and not re.search(r"[\n\x02]|[^\S ]|\s$", c)]
+        words = [self._single(c) for c in chunks]
+        at = [k for k, w in enumerate(words) if w is not None]
         out: list = [None] * len(chunks)
-        if plain:
-            enc = self.tok.encode_batch_fast([self.joint.join([chunks[k] for k in plain])], add_special_tokens=False)
-            ids = np.array(enc[0].ids, np.int64)
+        if at:
+            text = f" {self.joint} ".join([words[k] for k in at])
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             cut = np.flatnonzero(ids == self.joint_id)
-            if len(cut) == len(plain) - 1:
-                for k, part in zip(plain, np.split(ids, cut)):
-                    out[k] = part[1:] if k != plain[0] else part
-        rest = [k for k, x in enumerate(out) if x is None]
+            assert len(cut) == len(at) - 1
+            lo, hi = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(ids)]])
+            for k, a, b in zip(at, lo, hi):
+                out[k] = ids[a:b]
+        rest = [k for k, w in enumerate(words) if w is None]
         if rest:
             for k, e in zip(rest, self.tok.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False)):
                 out[k] = np.array(e.ids, np.int64)
@@ -109,7 +152,7 @@ class ChunkEncoder:
     def encode(self, texts, end_id: int) -> list[np.ndarray]:
         """One uint16 array per text, ``end_id`` appended; null is empty."""
         if len(self.codes) > self.memo:
-            self._reset()
+            self._prune()
         n_chunks, flat = [], []
         for t in texts:
             cs = self._chunks(t) if t else []
@@ -118,6 +161,9 @@ class ChunkEncoder:
         code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
         if self.codes.new:
             self._learn()
+        if len(self.used) < len(self.codes):
+            self.used = np.concatenate([self.used, np.zeros(len(self.codes) - len(self.used), np.int64)])
+        self.used += np.bincount(code, minlength=len(self.used))
         lo = self.offsets[code]
         n = self.offsets[code + 1] - lo
         stop = np.concatenate([[0], np.cumsum(n)])
@@ -138,13 +184,14 @@ def encoder(path: str, keep_blank: bool) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def text_slices(texts, max_chars: int = 2_000_000):
-    """Cut a column into runs of rows of bounded total length."""
-    lo, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= max_chars:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def text_slices(column, max_bytes: int = 1_000_000):
+    """Runs of rows of bounded total length of an Arrow string column, each as
+    (first row, row behind the last, texts)."""
+    import pyarrow.compute as pc
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(size):
+        done = int(size[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, done + max_bytes, side="right")))
+        yield lo, hi, column[lo:hi].to_pylist()
+        lo = hi
