@@ -21,6 +21,11 @@ from classyard.llm.common import split_words, stored
 
 WINDOW = 5
 ROUNDS = 60
+#: What is believed of a rule before any document is seen, as so many documents
+#: of all: shares of its votes on good and on bad documents (MAP estimates).
+BELIEF = 0.05
+ON_GOOD = {-1: 0.01, 0: 0.09, 1: 0.90}
+ON_BAD = {-1: 0.50, 0: 0.10, 1: 0.40}
 NUMBERS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -60,12 +65,14 @@ def numbers(docs: DataFrame) -> DataFrame:
                 repeated_words(w).alias("n_repeat_words"))).alias("w"),
                 _count_kept(text, r"[^#*$%&|<>]+").alias("n_symbols"),
                 let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"),
-                _count_kept(text, r"[^A-Z]+").alias("n_upper"), _count_kept(text, r"[^!?]+").alias("n_shout"))
+                _count_kept(text, r"[^A-Z]+").alias("n_upper"), _count_kept(text, r"[^!?]+").alias("n_shout"),
+                _count_kept(text, r"[^\p{L}]+").alias("n_letters"))
             .select("doc_id", *[F.col(c).cast("long").alias(c) for c in
                                 ("w.n_words", "w.word_chars", "n_symbols")],
                     F.col("l.dup").cast("long").alias("n_dup_lines"), F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"),
-                    F.col("l.n").cast("long").alias("n_lines"), F.col("n_upper").cast("long"), F.col("n_shout").cast("long"))
-            .toDF("doc_id", *NUMBERS, "n_lines", "n_upper", "n_shout"))
+                    F.col("l.n").cast("long").alias("n_lines"), F.col("n_upper").cast("long"), F.col("n_shout").cast("long"),
+                    F.col("n_letters").cast("long"))
+            .toDF("doc_id", *NUMBERS, "n_lines", "n_upper", "n_shout", "n_letters"))
 
 
 def _vote(value: Column, good: Column, bad: Column) -> Column:
@@ -77,7 +84,8 @@ def rules() -> dict[str, Column]:
     n, chars = F.col("n_words"), F.col("word_chars")
     each = {
         "length": (n, 40, 20, True), "word_length": (chars / n, None, None, None),
-        "symbols": (F.col("n_symbols") / n, 0.03, 0.10, False), "dup_lines": (F.col("n_dup_lines") / F.col("n_lines"), 0.10, 0.30, False),
+        "symbols": (F.col("n_symbols") / n, 0.03, 0.10, False), "symbol_share": (F.col("n_symbols") / chars, 0.01, 0.04, False),
+        "letters": (F.col("n_letters") / chars, 0.92, 0.85, True), "dup_lines": (F.col("n_dup_lines") / F.col("n_lines"), 0.10, 0.30, False),
         "repeats": (F.col("n_repeat_words") / n, 0.05, 0.15, False), "upper": (F.col("n_upper") / chars, 0.15, 0.30, False),
         "shouting": (F.col("n_shout") / n, 0.10, 0.25, False),
     }
@@ -99,12 +107,13 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tu
         return 0.0, []
     k = len(patterns[0][0])
     good = {p: {0: 0.95, 1: 0.25}.get(sum(v < 0 for v in p), 0.05) for p, _ in patterns}
+    weight = BELIEF * total
     for _ in range(rounds):
         share = sum(c * good[p] for p, c in patterns)
-        prior = math.log((share + 1) / (total - share + 1))
+        prior = math.log((share + 0.9 * weight) / (total - share + 0.1 * weight))
         odds = []
         for j in range(k):
-            yes, no = {v: 1.0 for v in (-1, 0, 1)}, {v: 1.0 for v in (-1, 0, 1)}
+            yes, no = {v: weight * ON_GOOD[v] for v in ON_GOOD}, {v: weight * ON_BAD[v] for v in ON_BAD}
             for p, c in patterns:
                 yes[p[j]] += c * good[p]
                 no[p[j]] += c * (1 - good[p])
