@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from classyard.llm.rans import as_bytes, as_crc32
 from classyard.llm.tokens import encoder, text_slices
 
 WINDOW = 1024
 SHARD_DOCS = 1024     # documents per shard, on average
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, shard long"
-PACKED_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
 class OpenWindows:
@@ -108,8 +108,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, shards: in
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(run, PIECE_SCHEMA)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
-    """Every piece with its ids (uint16), sequence_id and offset in it."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
+         what=as_bytes, field: str = "ids binary") -> DataFrame:
+    """Every piece with its sequence_id, its offset there and ``field``, which
+    is ``what`` of its ids (the ids themselves, if nothing else is said)."""
+    name, kind = field.split()
     shards = max(1, -(-docs.count() // SHARD_DOCS))
 
     def run(table: pa.Table) -> pa.Table:
@@ -124,9 +127,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW)
         shard = table["shard"][0].as_py() if len(order) else 0
         seq = np.concatenate([np.arange(n_full), n_full + np.array(w, np.int64)]).astype(np.int64) + (shard << 32)
         out = table.take(pa.array(order)).drop_columns(["shard"])
+        ids = [what(np.frombuffer(x.as_buffer(), np.uint16)) for x in out["ids"]]
+        k = out.schema.get_field_index("ids")
+        out = out.set_column(k, name, pa.array(ids, pa.binary() if kind == "binary" else pa.int64()))
         return (out.append_column("sequence_id", pa.array(seq))
                 .append_column("offset", pa.array(np.concatenate([np.zeros(n_full, np.int64), np.array(off, np.int64)]))))
-    return pieces(docs, tokenizer, end_id, window, shards).groupBy("shard").applyInArrow(run, PACKED_SCHEMA)
+    return pieces(docs, tokenizer, end_id, window, shards).groupBy("shard").applyInArrow(
+        run, f"doc_id long, start long, length long, doc_tokens long, {field}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame, pad_id: int = 0, window: int = WINDOW) -> DataFrame:
@@ -144,6 +151,5 @@ def sequences(packed: DataFrame, pad_id: int = 0, window: int = WINDOW) -> DataF
 
 def packed_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Pieces with the crc32 of their ids instead of the ids."""
-    from classyard.llm.rans import with_crc32
-    out = with_crc32(pack(docs, tokenizer), PACKED_SCHEMA.replace("ids binary", "ids_crc32 long"))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return (pack(docs, tokenizer, what=as_crc32, field="ids_crc32 long")
+            .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))

@@ -26,13 +26,23 @@ def op4_flow_mix(spark, sf_dir):
     return mix_digests(read(spark, sf_dir, "documents"))
 
 
+def op2_url_logreg(spark, sf_dir):
+    from classyard.llm.url_filter import judge
+    return judge(read(spark, sf_dir, "pages"))
+
+
+def op9_ordinal_toxicity(spark, sf_dir):
+    from classyard.llm.toxicity import judge
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_weak_quality(spark, sf_dir):
     from classyard.llm.weak_quality import judge
     return judge(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    fns = [op1_rans_tokens, op3_fuse_dedup, op4_flow_mix, op6_pack_bfd, op10_weak_quality]
+    fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op6_pack_bfd, op9_ordinal_toxicity, op10_weak_quality]
     return {f.__name__: f for f in fns}
 
 

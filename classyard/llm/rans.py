@@ -32,7 +32,7 @@ from classyard.llm.common import scratch_path, stored
 from classyard.llm.tokens import encoder, text_slices
 
 SCALE = 20                    # frequencies sum to 2**SCALE
-LANES, STEPS = 1024, 256      # ids per segment: LANES * STEPS
+LANES, STEPS = 4096, 128      # ids per segment: LANES * STEPS
 BLOCK_IDS = 1 << 20           # a block is closed by the document that reaches this
 LOW = 1 << 31                 # coder states lie in [LOW, LOW << 32)
 HEAD = struct.Struct("<4sHHIIqqIII")
@@ -40,7 +40,6 @@ MAGIC, VERSION = b"rANS", 1
 
 IDS_SCHEMA = "doc_id long, ids binary"
 BLOCK_SCHEMA = "part int, block int, start long, n_ids long, payload binary"
-DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
 class Table:
@@ -172,16 +171,29 @@ def tokenise(docs: DataFrame, path: str, keep_blank: bool, end_id: int) -> DataF
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(run, IDS_SCHEMA)
 
 
+def all_ids(column: pa.Array) -> np.ndarray:
+    """The ids of all rows of a binary column, one after another."""
+    _, offsets, values = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(values, np.uint8)[at[0]:at[-1]].view(np.uint16) if len(column) and at[-1] > at[0] else np.empty(0, np.uint16)
+
+
+def as_bytes(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2").tobytes()
+
+
+def as_crc32(ids: np.ndarray) -> int:
+    """crc32 of the ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
 def count_ids(ids: DataFrame, size: int = 1 << 16) -> np.ndarray:
     """Counts of all ids.  Tasks send (id, count) pairs; the driver receives at
     most one row per vocabulary entry."""
     def run(batches):
         n = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                n += np.bincount(np.frombuffer(x.as_buffer(), np.uint16), minlength=size) if len(x.as_buffer()) > size else 0
-            small = [x.as_py() for x in b.column(0) if len(x.as_buffer()) <= size]
-            n += np.bincount(np.frombuffer(b"".join(small), np.uint16), minlength=size)
+            n += np.bincount(all_ids(b.column(0)), minlength=size)
         s = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(n[s], pa.int64())], ["symbol", "n"])
     got = ids.select("ids").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
@@ -230,10 +242,12 @@ def write_token_file(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1,
     return counts
 
 
-def read_token_file(spark, path: str, counts: np.ndarray) -> DataFrame:
+def read_token_file(spark, path: str, counts: np.ndarray, what=as_bytes, field: str = "ids binary") -> DataFrame:
     """One row per document of a token file: doc_id, start (ids of all
-    documents before it), n_tokens and its ids (uint16).  The driver sums one
-    number per part of the file."""
+    documents before it), n_tokens and ``field``, which is ``what`` of its ids
+    (the ids themselves, if nothing else is said).  The driver sums one number
+    per part of the file."""
+    name, kind = field.split()
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     sums = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     before, offsets = 0, {}
@@ -251,19 +265,9 @@ def read_token_file(spark, path: str, counts: np.ndarray) -> DataFrame:
                 first = offsets[part] + start + np.cumsum(lens) - lens
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, pa.int64()), pa.array(first), pa.array(lens),
-                     pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-    return blocks.select("part", "start", "payload").mapInArrow(run, DOC_SCHEMA)
-
-
-def with_crc32(df: DataFrame, schema: str) -> DataFrame:
-    """Replace the uint16 column ``ids`` by the crc32 of the ids as uint32."""
-    def run(batches):
-        for b in batches:
-            k = b.schema.get_field_index("ids")
-            crc = [zlib.crc32(np.frombuffer(x.as_py(), np.uint16).astype("<u4").tobytes()) for x in b.column(k)]
-            cols = [b.column(i) if i != k else pa.array(crc, pa.int64()) for i in range(b.num_columns)]
-            yield pa.RecordBatch.from_arrays(cols, [n if n != "ids" else "ids_crc32" for n in b.schema.names])
-    return df.mapInArrow(run, schema)
+                     pa.array([what(p) for p in parts], pa.binary() if kind == "binary" else pa.int64())],
+                    ["doc_id", "start", "n_tokens", name])
+    return blocks.select("part", "start", "payload").mapInArrow(run, f"doc_id long, start long, n_tokens long, {field}")
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
@@ -271,5 +275,4 @@ def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame
     read back: doc_id, start, n_tokens, ids_crc32."""
     out = scratch_path(docs.sparkSession, "tokens")
     counts = write_token_file(docs, out, tokenizer, end_id)
-    return with_crc32(read_token_file(docs.sparkSession, out, counts),
-                      "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_file(docs.sparkSession, out, counts, as_crc32, "ids_crc32 long")

@@ -26,7 +26,7 @@ import numpy as np
 
 _SINGLE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 # a run of ASCII signs between a letter and a blank
-_STOP = re.compile(r"[!-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ][!-/:-@\[-`{-~])[!-/:-@\[-`{-~]*(?=[ \n])")
+_STOP = re.compile(r"[!-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ][!-/:-@\[-`{-~])[!-/:-@\[-`{-~]*(?=[ \n]|$)")
 
 
 def _regular(text: str) -> bool:
@@ -58,7 +58,7 @@ class _Codes(dict):
 class ChunkEncoder:
     """Encoder of texts into uint16 id arrays with a bounded memo of chunks."""
 
-    def __init__(self, path: str, keep_blank: bool, memo: int = 350_000):
+    def __init__(self, path: str, keep_blank: bool, memo: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
