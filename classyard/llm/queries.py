@@ -10,6 +10,11 @@ def op1_rans_tokens(spark, sf_dir):
     return token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_prob_minhash(spark, sf_dir):
+    from classyard.llm.prob_minhash import near_classes
+    return near_classes(read(spark, sf_dir, "documents"))
+
+
 def op6_pack_bfd(spark, sf_dir):
     import public_tokenizers
     from classyard.llm.pack_bfd import packed_digests
@@ -42,7 +47,7 @@ def op10_weak_quality(spark, sf_dir):
 
 
 def queries() -> dict:
-    fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op6_pack_bfd, op9_ordinal_toxicity, op10_weak_quality]
+    fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op5_prob_minhash, op6_pack_bfd, op9_ordinal_toxicity, op10_weak_quality]
     return {f.__name__: f for f in fns}
 
 
