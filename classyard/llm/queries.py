@@ -36,6 +36,11 @@ def op2_url_logreg(spark, sf_dir):
     return judge(read(spark, sf_dir, "pages"))
 
 
+def op8_suffix_runs(spark, sf_dir):
+    from classyard.llm.suffix_dedup import dedup_digests
+    return dedup_digests(read(spark, sf_dir, "documents"))
+
+
 def op9_ordinal_toxicity(spark, sf_dir):
     from classyard.llm.toxicity import judge
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -47,7 +52,7 @@ def op10_weak_quality(spark, sf_dir):
 
 
 def queries() -> dict:
-    fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op5_prob_minhash, op6_pack_bfd, op9_ordinal_toxicity, op10_weak_quality]
+    fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op5_prob_minhash, op6_pack_bfd, op8_suffix_runs, op9_ordinal_toxicity, op10_weak_quality]
     return {f.__name__: f for f in fns}
 
 
