@@ -36,6 +36,11 @@ def op2_url_logreg(spark, sf_dir):
     return judge(read(spark, sf_dir, "pages"))
 
 
+def op7_tool_links(spark, sf_dir):
+    from classyard.llm.tool_chat import chat_links
+    return chat_links(read(spark, sf_dir, "conversations"))
+
+
 def op8_suffix_runs(spark, sf_dir):
     from classyard.llm.suffix_dedup import dedup_digests
     return dedup_digests(read(spark, sf_dir, "documents"))
@@ -52,9 +57,10 @@ def op10_weak_quality(spark, sf_dir):
 
 
 def queries() -> dict:
-    fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op5_prob_minhash, op6_pack_bfd, op8_suffix_runs, op9_ordinal_toxicity, op10_weak_quality]
+    fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op5_prob_minhash, op6_pack_bfd, op7_tool_links, op8_suffix_runs, op9_ordinal_toxicity, op10_weak_quality]
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from classyard.llm.tool_chat import ORACLE_SQL
+    return {"op7_tool_links": ORACLE_SQL}
