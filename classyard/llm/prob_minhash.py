@@ -12,10 +12,11 @@ similarity).  Classes are the connected components of the verified links.
 
 Documents with equal multisets are one node from the start (64-bit
 fingerprints).  Within a bucket of a band every member is first compared with
-one centre only.  Where members of a bucket then remain in different components,
-buckets of up to SMALL nodes try the pairs between the components (linear in
-their members); larger ones compare all members with further centres, drawn anew
-each round, until rounds find no new link.
+one centre only, the member that meets most others in all its buckets.  Where
+members of a bucket then remain in different components, buckets of up to SMALL
+nodes try the pairs between the components, larger ones compare all members with
+the best one outside the first centre's component; this goes on, linear in the
+members, until a round finds no new link.
 
 Texts with one to four words have one shingle of all of them; null or blank
 texts have none and are classes of their own.  Repeated rows are members of
@@ -39,8 +40,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 6            # finds a pair of similarity 0.8 with probability 0.9998
 PLACES = BANDS * ROWS
-SMALL = 64                     # members of a bucket whose open pairs are all tried
-IDLE_ROUNDS = 3                # rounds with new centres that must find nothing
+SMALL = 12                     # members of a bucket whose open pairs are all tried
 
 _ID_BITS = 44                  # of a shingle's hash
 
@@ -156,76 +156,69 @@ def sketched(docs: DataFrame) -> DataFrame:
                   .mapInArrow(run, schema), "near-rows")
 
 
-def _shingle_table(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, ids, counts) of one document of each of the nodes."""
-    one = (rows.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
-
-    def run(batches):
-        for b in batches:
-            for lo, hi, texts in text_slices(b.column(1)):
-                doc, ids, count = shingles(texts)
-                cut = np.searchsorted(doc, np.arange(1, hi - lo))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], pa.array([x.astype("<u8").tobytes() for x in np.split(ids, cut)], pa.binary()),
-                     pa.array([x.astype("<u4").tobytes() for x in np.split(count, cut)], pa.binary())], ["node", "ids", "counts"])
-    return stored(rows.select("row", F.col("doc.text").cast("string").alias("text")).join(stored(one, "near-one"), "row")
-                  .select("node", "text").mapInArrow(run, "node long, ids binary, counts binary"), "near-shingles")
-
-
-def verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are similar enough, stored."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    table = _shingle_table(rows, nodes)
-
+def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are similar enough, stored.
+    ``texts``: (node, text) of one document of each node."""
     def run(batches):
         for b in batches:
-            keep = []
-            for r in range(b.num_rows):
-                x = [np.frombuffer(b.column(k)[r].as_buffer(), kind) for k, kind in ((2, "<u8"), (3, "<u4"), (4, "<u8"), (5, "<u4"))]
-                # no pair is more similar than its smaller set allows
-                keep.append(min(len(x[0]), len(x[2])) > 0 and probability_jaccard(*x) >= similarity - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    side = lambda x: table.select(F.col("node").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("counts").alias(f"counts_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ids_a", "counts_a", "ids_b", "counts_b")
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                text = {}
+                for node, t in ((0, 2), (1, 3)):
+                    names, where = np.unique(part.column(node).to_numpy(), return_index=True)
+                    text.update(zip(names.tolist(), part.column(t).take(pa.array(where)).to_pylist()))
+                order = {node: k for k, node in enumerate(text)}
+                doc, ids, count = shingles(list(text.values()))
+                cut = np.searchsorted(doc, np.arange(len(text) + 1))
+                keep = []
+                for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    i, j = (slice(cut[order[z]], cut[order[z] + 1]) for z in (x, y))
+                    keep.append(probability_jaccard(ids[i], count[i], ids[j], count[j]) >= similarity - 1e-9)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return stored(joined.mapInArrow(run, "a long, b long"), "near-links")
 
 
 def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) of the nodes that are linked to another one."""
     members = rows.where("node is not null").select("node", F.explode("bands").alias("key"))
-    buckets = stored(members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
-                     .where("centre < last").select("key", "centre"), "near-buckets")
-    inside = stored(members.join(buckets, "key").groupBy("key", "node", "centre").agg(F.count(F.lit(1)).alias("n")).drop("n"), "near-inside")
-    tried = stored(inside.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    links = verified(rows, tried, similarity)
+    buckets = (members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+               .where("least < most").select("key"))
+    inside = stored(members.join(stored(buckets, "near-buckets"), "key").distinct(), "near-inside")
+    size = stored(inside.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
+    # how many nodes a node meets: an original meets more than its edited copies
+    hub = inside.join(size, "key").groupBy("node").agg(F.sum(F.col("n") - 1).alias("meets"))
+    first = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).join(hub, "node")
+    texts = stored(rows.select("row", F.col("doc.text").cast("string").alias("text"))
+                   .join(stored(first, "near-first"), "row").select("node", "meets", "text"), "near-texts")
+    inside = stored(inside.join(size, "key").join(texts.select("node", "meets"), "node"), "near-members")
+    centre = inside.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    tried = stored(inside.join(centre, "key").where("node <> centre")
+                   .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "near-pairs")
+    links = verified(texts, tried, similarity)
     label = components(links)
-    idle, turn = 0, 0
-    while idle < IDLE_ROUNDS:
-        turn += 1
+    while True:
         # buckets whose members are not all of one component
-        open_ = inside.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = stored(open_.groupBy("key").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"),
-            F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label")).alias("c"))
-            .where("lo < hi").select("key", "n", "c"), "near-split")
-        large = (open_.join(split.where(F.col("n") > SMALL).select("key", "c"), "key").where("label <> c.label")
-                 .select("node", F.col("c.node").alias("other")))
-        few = stored(open_.join(split.where(F.col("n") <= SMALL).select("key"), "key"), "near-open")
+        open_ = stored(inside.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-open")
+        best = F.max(F.struct("meets", "node", "label"))
+        split = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), best.alias("c")).where("lo < hi")
+        open_ = stored(open_.join(split.select("key", F.col("c.label").alias("first")), "key"), "near-split")
+        # large buckets: all members against the best one outside the first centre's component
+        other = (open_.where((F.col("n") > SMALL) & (F.col("label") != F.col("first"))).groupBy("key").agg(best.alias("c")))
+        large = open_.join(other, "key").where("label <> c.label").select("node", F.col("c.node").alias("other"))
+        few = open_.where(F.col("n") <= SMALL).select("key", "node", "label")
         small = (few.join(few.select("key", F.col("node").alias("other"), F.col("label").alias("other_label")), "key")
                  .where("label <> other_label and node < other").select("node", "other"))
         pairs = stored(small.unionByName(large).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
                        .distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
         if pairs.isEmpty():
-            break
-        new = verified(rows, pairs, similarity)
-        tried = tried.unionByName(pairs)
+            return label
+        new = verified(texts, pairs, similarity)
         if new.isEmpty():
-            idle += 1
-            continue
-        idle = 0
-        links = links.unionByName(new)
+            return label
+        tried, links = tried.unionByName(pairs), links.unionByName(new)
         label = components(links)
-    return label
 
 
 def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

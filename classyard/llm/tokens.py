@@ -58,7 +58,7 @@ class _Codes(dict):
 class ChunkEncoder:
     """Encoder of texts into uint16 id arrays with a bounded memo of chunks."""
 
-    def __init__(self, path: str, keep_blank: bool, memo: int = 900_000):
+    def __init__(self, path: str, keep_blank: bool, memo: int = 1_600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
