@@ -22,12 +22,13 @@ LETTERS = list("abcdefghijklmnopqrstuvwxyz") + ["é", "ó", "è", "ñ", "ç", "
 def hex_or_number_to_long(c: str | Column) -> Column:
     """'0x..' parsed base 16, anything else truncated toward zero, junk -> 0.
 
+    ``conv`` stops at the first bad digit, so the digits are tested before;
     ``try_*`` keeps ANSI mode from raising on unparsable input.
     """
     s = F.col(c) if isinstance(c, str) else c
     s = s.cast("string")
     parsed = F.when(
-        s.startswith("0x"), F.conv(F.substring(s, 3, 1 << 20), 16, 10).try_cast("bigint")
+        s.startswith("0x"), F.when(s.rlike("^0x[0-9a-fA-F]+$"), F.conv(F.substring(s, 3, 1 << 20), 16, 10).try_cast("bigint"))
     ).otherwise(s.try_cast("double").try_cast("bigint"))
     return F.coalesce(parsed, F.lit(0).cast("bigint"))
 

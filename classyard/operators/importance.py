@@ -9,12 +9,16 @@ one prediction job and one grouped metric aggregate.
 """
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from classyard.functions.hashing import SEED, hash_key
+from classyard.functions.hashing import SEED
 from classyard.operators import evaluate as ev
+from classyard.operators.ranking import dense_position
 
 MI_BINS = 16
 
@@ -70,41 +74,56 @@ def overlap(a: DataFrame, b: DataFrame, k: int = 5) -> int:
             .intersect(b.where(F.col("rank") <= k).select("feature")))
 
 
+def _bijections(n: int, count: int, seed: int) -> list[tuple[int, int]]:
+    """``count`` affine bijections x -> (a x + b) mod n of 0 ... n-1, by hash."""
+    out = []
+    for i in range(count):
+        h = hashlib.md5(f"{seed}|{i}".encode()).digest()
+        a, b = int.from_bytes(h[:8], "big") % n, int.from_bytes(h[8:], "big") % n
+        while math.gcd(a, n) != 1:
+            a = (a + 1) % n
+        out.append((a, b))
+    return out
+
+
 def permutation_importance(fitted, test: DataFrame, feats: list[str], k_classes: int,
-                           n_repeats: int = 5, sample: int = 2000, seed: int = SEED) -> DataFrame:
+                           n_repeats: int = 5, seed: int = SEED) -> DataFrame:
     """Drop in macro F1 when one feature is shuffled, averaged over repeats,
-    clipped at 0.
+    clipped at 0, over all test rows.
 
-    The evaluation sample (``sample`` rows, hashed) is expanded to every
-    (feature, repeat) and the permuted value of feature j comes from the row
-    at the same position in a hashed order -- one join on (j, r, position).
-    All d x R permutations are scored by one ``predict`` and one grouped E2-E4
-    aggregate; nothing loops on the driver.
+    Rows are numbered once (``dense_position``).  The shuffled value of feature j
+    in repeat r comes from the row at a hashed affine bijection of the position:
+    one equi-join on positions, no sort and no group per (feature, repeat).  All
+    d x R shuffles are scored by one ``predict`` and one grouped E2-E4 aggregate.
     """
-    from classyard.operators.prep import cap_rows
-    s = cap_rows(test.select("row_id", "label", *feats), sample, seed)
     d, R = len(feats), n_repeats
-    reps = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(r).alias("r")) for j in range(d) for r in range(R)]))
-    base = s.select("*", reps.alias("jr")).select("*", "jr.j", "jr.r").drop("jr")
-    w_pos = Window.partitionBy("j", "r").orderBy("row_id")
-    w_perm = Window.partitionBy("j", "r").orderBy(hash_key(seed, "j", "r", "row_id"), "row_id")
-    donors = (base.withColumn("pos", F.row_number().over(w_perm))
-              .select("j", "r", "pos", F.element_at(F.array(*[F.col(f) for f in feats]), F.col("j") + 1).alias("xv")))
-    tgt = base.withColumn("pos", F.row_number().over(w_pos))
-    perm = tgt.join(donors, ["j", "r", "pos"])
-    cols = [F.when(F.col("j") == i, F.col("xv")).otherwise(F.col(f)).alias(f) for i, f in enumerate(feats)]
-    perm = perm.select((F.col("row_id") * (d * R) + F.col("j") * R + F.col("r")).alias("row_id"), "label", *cols)
+    s = dense_position(test.select("row_id", "label", *feats), "row_id", "pos").persist()
+    n = s.count()
+    maps = _bijections(n, d * R, seed) if n else []
+    jr = F.explode(F.array(*[F.struct(F.lit(i).alias("jr"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                             for i, (a, b) in enumerate(maps or [(1, 0)] * (d * R))]))
+    # a x + b in decimals: the product of two positions may pass 63 bits
+    far = ((F.col("m.a").cast("decimal(19,0)") * F.col("pos").cast("decimal(19,0)") + F.col("m.b")) % F.lit(max(n, 1))).cast("long")
+    tgt = s.select("*", jr.alias("m")).select("pos", "label", *feats, F.col("m.jr").alias("jr"), far.alias("donor"))
+    donors = s.select(F.col("pos").alias("donor"), F.array(*[F.col(f).cast("double") for f in feats]).alias("xs"))
+    j = F.floor(F.col("jr") / R).cast("int")
+    perm = tgt.join(donors, "donor").withColumn("xv", F.element_at("xs", j + 1))
+    cols = [F.when(j == i, F.col("xv")).otherwise(F.col(f)).alias(f) for i, f in enumerate(feats)]
+    # positions are dense, so the number of a (row, feature, repeat) fits a long
+    perm = perm.select((F.col("pos") * (d * R) + F.col("jr")).alias("row_id"), "label", *cols)
     p = fitted.predict(perm).select(
         F.lit("perm").alias("dataset"),
-        F.concat_ws(":", (F.floor(F.col("row_id") / R) % d).cast("string"), (F.col("row_id") % R).cast("string")).alias("model"),
+        F.concat_ws(":", F.floor(F.col("row_id") / R).cast("long") % d, F.col("row_id") % R).alias("model"),
         "row_id", "y", "p")
-    basep = fitted.predict(s).select(F.lit("perm").alias("dataset"), F.lit("base").alias("model"), "row_id", "y", "p")
+    basep = fitted.predict(s.drop("pos")).select(F.lit("perm").alias("dataset"), F.lit("base").alias("model"), "row_id", "y", "p")
     classes = s.sparkSession.createDataFrame([("perm", i, str(i)) for i in range(k_classes)], "dataset string, label int, class string")
     e = ev.evaluate(p.unionByName(basep), classes)["summary"].select("model", "f1_macro")
     base_f1 = F.max(F.when(F.col("model") == "base", F.col("f1_macro"))).over(Window.partitionBy())
     drops = (e.withColumn("base_f1", base_f1).where(F.col("model") != "base")
              .select(F.split("model", ":")[0].cast("int").alias("fi"), (F.col("base_f1") - F.col("f1_macro")).alias("drop")))
-    return drops.groupBy("fi").agg(F.greatest(F.avg("drop"), F.lit(0.0)).alias("score"))
+    out = drops.groupBy("fi").agg(F.greatest(F.avg("drop"), F.lit(0.0)).alias("score")).checkpoint(eager=True)   # d rows
+    s.unpersist()
+    return out
 
 
 def native_importance(model_fitted) -> np.ndarray | None:
@@ -119,7 +138,7 @@ def native_importance(model_fitted) -> np.ndarray | None:
     return None
 
 
-def family_panel(spark, prep, keys: list[str], n_repeats: int = 5, sample: int = 2000,
+def family_panel(spark, prep, keys: list[str], n_repeats: int = 5,
                  caps: dict | None = None) -> "DataFrame":
     """I8: for each representative model -- fit (with its own cap), native
     importance (I2/I3) where the model has one, permutation importance (I1)
@@ -140,7 +159,7 @@ def family_panel(spark, prep, keys: list[str], n_repeats: int = 5, sample: int =
         if nat is not None:
             sc = spark.createDataFrame([(i, float(v)) for i, v in enumerate(nat)], "fi int, score double")
             parts.append(top_k(sc, feats).withColumn("method", F.lit("native")))
-        perm = permutation_importance(fm, prep.test(), feats, prep.k, n_repeats, sample)
+        perm = permutation_importance(fm, prep.test(), feats, prep.k, n_repeats)
         parts.append(top_k(perm, feats).withColumn("method", F.lit("permutation")))
         for p in parts:
             p = p.select(F.lit(key).alias("model"), "method", "rank", "feature", "importance")

@@ -140,10 +140,15 @@ class AdaBoostSAMME(Estimator):
             stumps.append((m, alpha))
             if err <= 0:
                 break
-            df = pr.select("row_id", "label", "features",
-                           (F.col("w") * F.exp(F.lit(alpha) * F.col("miss"))).alias("w"))
-            if (r + 1) % self.ckpt_every == 0:
-                df = df.checkpoint(eager=True)
+            # rescaled to sum 1, so that weights stay finite over any number of rounds
+            total = agg["s"] + (math.exp(alpha) - 1) * agg["e"]
+            new = pr.select("row_id", "label", "features",
+                            (F.col("w") * F.exp(F.lit(alpha) * F.col("miss")) / F.lit(total)).alias("w"))
+            new = new.checkpoint(eager=True) if (r + 1) % self.ckpt_every == 0 else new.persist()
+            new.count()
+            df.unpersist()
+            df = new
+        df.unpersist()
         feats = ctx.features
 
         class _F(Fitted):

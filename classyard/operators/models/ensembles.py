@@ -141,8 +141,9 @@ class BaggingKNN(Estimator):
     def fit(self, train, ctx: Ctx):
         R, k, K, feats = self.n_rep, self.k, ctx.k, ctx.features
         boot = bootstrap(train.select("row_id", "label", *feats), R, ctx.seed)
+        # a copy's id is a hash of (row, copy): any packing into one long overflows wide ids
         boot = (boot.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w"))))
-                .withColumn("row_id", F.col("row_id") * 16 + F.col("copy")).drop("w", "copy").persist())
+                .withColumn("row_id", F.xxhash64("row_id", "copy")).drop("w", "copy").persist())
         n = boot.count()
 
         class _F(Fitted):

@@ -59,3 +59,22 @@ def rank_cut(df: DataFrame, groups: list[str], key: str, tiebreak: str,
     hard = j.where(boundary).withColumn(out, F.row_number().over(wb) <= F.col("__need"))
     drop = [b, "__cut", "__need", "__all", "__none"]
     return easy.drop(*drop).unionByName(hard.drop(*drop))
+
+
+POSITION_ROWS = 200_000  # rows numbered by one window, on average
+
+
+def dense_position(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Number all rows 0 ... n-1 (by hash bucket of ``key``, then by key) without
+    a global sort: bucket sizes are counted first, and each window numbers one
+    bucket behind the rows of the buckets before it."""
+    n = df.count()
+    buckets = max(1, -(-n // POSITION_ROWS))
+    src = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    start, starts = 0, []
+    for r in src.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("__bucket").collect():
+        starts.append((r["__bucket"], start))
+        start += r["n"]
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "__bucket long, __start long"))   # one row per POSITION_ROWS rows
+    number = F.row_number().over(Window.partitionBy("__bucket").orderBy(key))
+    return (src.join(first, "__bucket").withColumn(out, F.col("__start") + number - 1).drop("__bucket", "__start"))

@@ -50,13 +50,14 @@ def balanced_bootstrap(df: DataFrame, n_rep: int, seed: int = SEED, label: str =
     lam = cnt.select(label, (F.lit(float(m)) / F.col("n_c")).alias("lam"))
     r = _replicated(df, n_rep).join(F.broadcast(lam), label)          # K rows
     u = hash_uniform(hash_key(seed, "'bal'", "replicate", "row_id"))
-    # inverse CDF of Poisson(lam) with lam <= 1: a few terms suffice
-    p0 = F.exp(-F.col("lam"))
-    c0, p1 = p0, p0 * F.col("lam")
-    c1, p2 = c0 + p1, p1 * F.col("lam") / 2
-    c2, p3 = c1 + p2, p2 * F.col("lam") / 3
-    c3 = c2 + p3
-    w = F.when(u < c0, 0).when(u < c1, 1).when(u < c2, 2).when(u < c3, 3).otherwise(4)
+    # inverse CDF of Poisson(lam) with lam <= 1, to where it is 1 in doubles (as P1)
+    p = c = F.exp(-F.col("lam"))
+    w = F.when(u < c, 0)
+    for j in range(1, 18):
+        p = p * F.col("lam") / j
+        c = c + p
+        w = w.when(u < c, j)
+    w = w.otherwise(18)
     return r.withColumn("w", w).where(F.col("w") > 0).drop("lam")
 
 

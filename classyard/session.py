@@ -37,12 +37,15 @@ def get_spark(master: str | None = None, app: str = "classyard",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    Reads ``spark.checkpoint.dir`` from the session (set by the cluster to a
-    shared file system). Only when it is unset -- local tests -- a scratch
-    folder is created and registered.
+    The folder of the session's ``spark.checkpoint.dir``, or the one the caller
+    registered on the context (both set by the cluster to a shared file
+    system).  Only a local master without either -- tests -- gets a scratch
+    folder; on a cluster that would be one machine's disk, so it is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="classyard-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
