@@ -48,7 +48,7 @@ K = 32
 WIDTH = SPAN - K + 1            # K-grams of a string: an anchor's offset is 0 ... WIDTH-1
 PART_SUFFIXES = 20_000          # of a partition of the merge, on average
 MIN_PARTS = 64
-SLICE = 8_000_000               # bytes of text that make a run
+SLICE = 3_000_000               # bytes of text that make a run
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -281,7 +281,7 @@ def candidates(keyed: DataFrame) -> DataFrame:
     """key, codes: the anchors of a text whose K-gram occurs more than once."""
     def run(batches):
         for b in batches:
-            for lo, hi, texts in text_slices(b.column(1), 4_000_000):
+            for lo, hi, texts in text_slices(b.column(1), 1_500_000):
                 buf = Buffer(texts)
                 doc, a, first, last, h = anchors(buf)
                 base = buf.starts[doc]
