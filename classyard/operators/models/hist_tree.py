@@ -1,40 +1,45 @@
-"""Histogram gradient-boosted trees (the HT core): M21 gbm_sklearn,
-M22 histgbm, M23 xgboost, M24 xgboost_dart, M25 lightgbm, M26 lightgbm_goss,
-M27 catboost.
-
-Data layout: features are quantile-binned once (edges from
-``approxQuantile`` on train rows; the binning itself is the built-in
-multi-column ``Bucketizer``), and the persisted state frame holds
-``(row_id, label, b_0..b_{d-1}, margins array<double>)``.
-
-Per boosting round, all K class trees grow together, level by level:
-
-* histogram job -- a ``mapInPandas`` pass routes each row through the
-  splits chosen so far (<= depth vectorised steps), derives softmax
-  gradients from its margins, and emits sparse per-task partial sums
-  keyed by (tree, node, feature, bin); ``groupBy`` adds them up;
-* split choice in Spark -- cumulative sums over bins (window per
-  (tree, node, feature)), gain per candidate, argmax per (tree, node);
-  only the chosen splits (<= K x 2^level rows) reach the driver;
-* after the last level one pass adds learning_rate x leaf value to the
-  margins; the new state is persisted and checkpointed every few rounds.
-
-Growth policies: ``depthwise`` (every node with positive gain splits),
-``leaves`` (best-first under a leaf budget, level by level), ``oblivious``
-(one split per level shared by all nodes of a tree).
+"""Histogram trees: boosted (M21-M27 and variants) and Gini forests.
+
+Features are quantile-binned once (edges from ``approxQuantile`` on train rows,
+the built-in multi-column ``Bucketizer``); the persisted state holds ``(row_id,
+label, w, b_0 ..., m_0 ...)`` with a row weight, the bins and the margins.
+
+A step evaluates all open nodes of all trees in one job.  Each task folds its
+rows into one dense array per open node -- sums per (feature, bin) of a few
+channels -- and sends its filled cells once; arrays of a node are added up (in two
+rounds where there are many tasks) and the best split is chosen there, so only
+splits reach the driver.  Where the arrays of a job have a proven bound of
+``DIRECT_BYTES``, the driver adds them up itself, which saves a shuffle.  Open nodes beyond ``MAX_CELLS`` of a task's memory go to further
+jobs.  Trees travel as a broadcast variable that is destroyed after its job.
+
+Channels: boosting has the gradient, the split and the leaf Hessian of the
+tree's class; Gini trees have the weight of every class.
+
+Growth: ``depthwise`` (every node with positive gain), ``leaves`` (best first
+under a leaf budget; open leaves are evaluated ahead in batches and splits that
+best-first order would not have made are taken back), ``oblivious`` (one split
+per level for all nodes of a tree).
 """
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classyard.operators.models.base import Ctx, Estimator, Fitted
+from classyard.operators.prep import balanced_weights
 
-HIST = "t int, node int, f int, bin int, g double, h double, n long"
+MAX_CELLS = 1 << 22        # histogram cells (doubles) a task holds
+DIRECT_BYTES = 1 << 26     # partial histograms of a job up to this bound are added up on the driver
+ONE_ROUND_TASKS = 256      # more partial arrays of a node are added up in two rounds
+PART = "t int, node int, salt int, hist binary"
+SPLIT = "t int, node int, gain double, f int, bin int, left binary, right binary, total binary"
 
 
 def bin_edges(train: DataFrame, feats: list[str], max_bins: int) -> list[list[float]]:
@@ -43,293 +48,538 @@ def bin_edges(train: DataFrame, feats: list[str], max_bins: int) -> list[list[fl
     return [[-float("inf")] + sorted(set(q)) + [float("inf")] for q in qs]
 
 
-def binned(df: DataFrame, feats: list[str], edges) -> DataFrame:
+def binned(df: DataFrame, feats: list[str], edges, *carry: str) -> DataFrame:
     outs = [f"b_{i}" for i in range(len(feats))]
     b = Bucketizer(splitsArray=edges, inputCols=feats, outputCols=outs, handleInvalid="keep")
-    return b.transform(df).select("row_id", "label", *[F.col(o).cast("int").alias(o) for o in outs])
-
-
-def _route(B: np.ndarray, tree: dict) -> np.ndarray:
-    """Node index (heap order) of every row in one tree (vectorised)."""
-    node = np.zeros(len(B), dtype=np.int64)
-    feat, thr = tree["feat_a"], tree["thr_a"]
-    rows = np.arange(len(B))
-    for _ in range(tree["depth"]):
-        f = feat[node]
-        inner = f >= 0
-        if not inner.any():
-            break
-        go = B[rows, np.where(inner, f, 0)] > thr[node]
-        node = np.where(inner, 2 * node + 1 + go, node)
+    return b.transform(df).select("row_id", "label", *carry, *[F.col(o).cast("int").alias(o) for o in outs])
+
+
+def _uniform(seed: int, *parts) -> np.ndarray:
+    """Hashed uniforms in [0, 1) of integer arrays, the same on every retry."""
+    h = np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for p in parts:
+        h = h ^ np.asarray(p).astype(np.int64).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return (h >> np.uint64(11)).astype(float) * 2.0 ** -53
+
+
+class Tree:
+    """Nodes in order of creation; a leaf has feature -1."""
+
+    def __init__(self):
+        self.feat, self.thr, self.left, self.right = [-1], [0], [0], [0]
+        self.depth, self.stats = [0], [None]
+
+    def split(self, node: int, f: int, thr: int, left, right) -> tuple[int, int]:
+        n = len(self.feat)
+        self.feat[node], self.thr[node], self.left[node], self.right[node] = f, thr, n, n + 1
+        for stats in (left, right):
+            self.feat.append(-1)
+            self.thr.append(0)
+            self.left.append(0)
+            self.right.append(0)
+            self.depth.append(self.depth[node] + 1)
+            self.stats.append(stats)
+        return n, n + 1
+
+    def arrays(self):
+        return tuple(np.array(x, np.int64) for x in (self.feat, self.thr, self.left, self.right))
+
+
+def route(B: np.ndarray, arrays) -> np.ndarray:
+    """Leaf of every row."""
+    feat, thr, left, right = arrays
+    node = np.zeros(len(B), np.int64)
+    live = np.arange(len(B)) if feat[0] >= 0 else np.empty(0, np.int64)
+    while len(live):
+        at = node[live]
+        go = B[live, feat[at]] > thr[at]
+        node[live] = at = np.where(go, right[at], left[at])
+        live = live[feat[at] >= 0]
     return node
 
 
-def _arrays(tree: dict, max_nodes: int) -> dict:
-    fa = np.full(max_nodes, -1, dtype=np.int64)
-    ta = np.zeros(max_nodes, dtype=np.int64)
-    la = np.zeros(max_nodes)
-    for n, f in tree["feat"].items():
-        fa[n], ta[n] = f, tree["thr"][n]
-    for n, v in tree["leaf"].items():
-        la[n] = v
-    tree.update(feat_a=fa, thr_a=ta, leaf_a=la)
-    return tree
-
-
-def _grads(margins: np.ndarray, y: np.ndarray, k: int, second_order: bool, hess_scale: float):
-    z = margins - margins.max(axis=1, keepdims=True)
-    p = np.exp(z)
+def softmax_gradients(m: np.ndarray, y: np.ndarray, second_order: bool, hess_scale: float):
+    """Gradient, split Hessian and leaf Hessian of the log loss by class."""
+    k = m.shape[1]
+    p = np.exp(m - m.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    g = p - np.eye(k)[y]
-    h = hess_scale * p * (1 - p) if second_order else np.ones_like(p)
-    return g, np.maximum(h, 1e-16)
+    g = p.copy()
+    g[np.arange(len(y)), y] -= 1
+    h = np.maximum(p * (1 - p), 1e-16)
+    if second_order:
+        return g, hess_scale * h, hess_scale * h
+    return g, np.ones_like(p), h * (k / max(1, k - 1))
+
+
+def best_split(hist: np.ndarray, gain_of, least: float, allowed: np.ndarray | None = None):
+    """(gain, feature, bin, left, right, total) of one node; hist (d, bins, C)
+    with the row count as last channel; None without an admissible split.
+    ``allowed``: mask (d, bins) of thresholds."""
+    total = hist[0].sum(axis=0)
+    left = np.cumsum(hist, axis=1)[:, :-1]
+    right = total - left
+    gain, ok = gain_of(left, right, total)
+    ok &= (left[..., -1] >= max(1, least)) & (right[..., -1] >= max(1, least))
+    if allowed is not None:
+        ok &= allowed[:, :-1]
+    gain = np.where(ok, np.round(gain, 12), -np.inf)
+    f, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
+    if not gain[f, b] > 1e-12:
+        return None, total
+    return (float(gain[f, b]), int(f), int(b), left[f, b], right[f, b]), total
 
 
 class HistGBM(Estimator):
     def __init__(self, n_rounds=200, lr=0.1, depth=6, max_bins=255, lam=1.0, min_child_weight=1.0,
                  min_child_samples=0, policy="depthwise", max_leaves=None, second_order=True,
-                 hess_scale=2.0, goss=None, dart_rate=None, ckpt_every=10, random_threshold=False,
-                 max_features=None, forest=False, cyclic=False, **extra):
+                 hess_scale=2.0, goss=None, dart_rate=None, ckpt_every=10, cyclic=False,
+                 balanced=False, prior=False, seed=42, **extra):
         self.n_rounds, self.lr, self.depth, self.max_bins = n_rounds, lr, depth, max_bins
         self.lam, self.mcw, self.mcs = lam, min_child_weight, min_child_samples
         self.policy, self.max_leaves, self.second_order = policy, max_leaves, second_order
         self.hess_scale, self.goss, self.dart_rate, self.ckpt_every = hess_scale, goss, dart_rate, ckpt_every
-        self.random_threshold, self.max_features, self.forest, self.cyclic = random_threshold, max_features, forest, cyclic
+        self.cyclic, self.balanced, self.prior, self.seed = cyclic, balanced, prior, seed
         self.params = dict(n_estimators=n_rounds, learning_rate=lr, max_depth=depth, max_bins=max_bins,
                            reg_lambda=lam, grow_policy=policy, max_leaves=max_leaves, **extra)
-        if goss:
-            self.params["goss"] = goss
-        if dart_rate is not None:
-            self.params["rate_drop"] = dart_rate
-        if forest:
-            self.params.update(forest=True, random_threshold=random_threshold, max_features=max_features)
-        if cyclic:
-            self.params["cyclic_features"] = True
-
-    # ---------------------------------------------------------------- fit
-    def fit(self, train, ctx: Ctx):
-        K, d, feats = ctx.k, len(ctx.features), ctx.features
-        edges = bin_edges(train, feats, self.max_bins)
-        prior = np.zeros(K)
-        state = (binned(train, feats, edges)
-                 .withColumn("m", F.array(*[F.lit(float(v)) for v in prior]))
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-        state.count()
-        bcols = [f"b_{i}" for i in range(d)]
-        forest = []
-        max_nodes = 2 ** (self.depth + 1)
-        self._d = d
-        # forest mode: all n_rounds x K trees grow together from zero margins
-        rounds, T = (1, self.n_rounds * K) if self.forest else (self.n_rounds, K)
-        self._T = T
-        for r in range(rounds):
-            self._round = r
-            trees = [_arrays(dict(feat={}, thr={}, depth=0, leaf={}), max_nodes) for _ in range(T)]
-            totals: dict = {}
-            self._leaves = {}
-            gscale = self._goss_threshold(state, K, r) if self.goss else None
-            for level in range(self.depth):
-                hist = self._histogram(state, trees, K, bcols, gscale, r)
-                splits, tot = self._choose(hist, level, K)
-                totals.update(tot)
-                if not splits:
-                    break
-                for t, node, f, b, gl, hl, gr, hr in splits:
-                    trees[t]["feat"][node] = f
-                    trees[t]["thr"][node] = b
-                    totals[(t, 2 * node + 1)] = (gl, hl)
-                    totals[(t, 2 * node + 2)] = (gr, hr)
-                for tr in trees:
-                    tr["depth"] = level + 1
-                    _arrays(tr, max_nodes)
-            # leaf values: nodes that never split, from the sums already reduced
-            for (t, node), (g, h) in totals.items():
-                if node not in trees[t]["feat"]:
-                    trees[t]["leaf"][node] = -g / (h + self.lam) if (h + self.lam) > 0 else 0.0
-            for tr in trees:
-                _arrays(tr, max_nodes)
-            forest.append(trees)
-            if not self.forest:
-                state = self._update(state, trees, K, bcols, r)
-        self.size = f"{len(forest) * K} trees"
-        lr = 1.0 / self.n_rounds if self.forest else self.lr
-        return _HGFitted(forest, edges, feats, K, lr)
-
-    def _goss_threshold(self, state, K, r):
-        a, b = self.goss
-        k = K
-        def absg(it):
-            for pdf in it:
-                m = np.stack(pdf["m"].to_numpy())
-                g, _ = _grads(m, pdf["label"].to_numpy(), k, True, 1.0)
-                yield pd.DataFrame({"ag": np.abs(g).sum(1)})
-        q = state.select("label", "m").mapInPandas(absg, "ag double").approxQuantile("ag", [1 - a], 1e-3)[0]
-        return (q, a, b, r)
-
-    def _histogram(self, state, trees, K, bcols, gscale, r, totals_only=False):
-        lr, so, hs = self.lr, self.second_order, self.hess_scale
-        trees_b = trees
-
-        def run(it):
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                B = pdf[bcols].to_numpy(np.int64)
-                m = np.stack(pdf["m"].to_numpy())
-                y = pdf["label"].to_numpy(np.int64)
-                g, h = _grads(m, y, K, so, hs)
-                w = np.ones(len(y))
-                if gscale is not None:
-                    q, a, b, rr = gscale
-                    ag = np.abs(g).sum(1)
-                    rid = pdf["row_id"].to_numpy(np.int64)
-                    u = ((rid * 2654435761 + rr * 97 + 12345) % 1000003) / 1000003.0
-                    keep_small = u < b / max(1e-12, 1 - a)
-                    w = np.where(ag >= q, 1.0, np.where(keep_small, (1 - a) / b, 0.0))
-                out = []
-                for t in range(len(trees_b)):
-                    node = _route(B, trees_b[t])
-                    gw, hw = g[:, t % K] * w, h[:, t % K] * w
-                    live = w > 0
-                    if totals_only:
-                        keys, inv = np.unique(node[live], return_inverse=True)
-                        out.append(pd.DataFrame({"t": t, "node": keys.astype("int32"), "f": -1, "bin": -1,
-                                                 "g": np.bincount(inv, gw[live]), "h": np.bincount(inv, hw[live]),
-                                                 "n": np.bincount(inv).astype("int64")}))
+        self.params |= {k: v for k, v in dict(goss=goss, rate_drop=dart_rate, class_weight="balanced" if balanced else None,
+                                              cyclic_features=cyclic or None).items() if v is not None}
+
+    # what differs from a Gini forest -----------------------------------
+    def _channels(self, K: int) -> int:
+        return 4
+
+    def _stats(self, batch: dict, K: int):
+        """Function (tree number) -> (rows, channels); the last channel counts rows."""
+        m, y, w = batch["m"], batch["y"], batch["w"]
+        if batch["dropped"] is not None:
+            m = m - batch["dropped"]
+        g, hs, hl = softmax_gradients(m, y, self.second_order, self.hess_scale)
+        if self.goss:
+            top, other, threshold, r = batch["goss"]
+            big = np.abs(g).sum(axis=1) >= threshold
+            keep = _uniform(self.seed + r, batch["row_id"]) < other / max(1e-12, 1 - top)
+            w = w * np.where(big, 1.0, np.where(keep, (1 - top) / other, 0.0))
+        live = (w > 0).astype(float)
+        return lambda t: np.stack([g[:, t % K] * w, hs[:, t % K] * w, hl[:, t % K] * w, live], axis=1)
+
+    def _gain(self):
+        lam, mcw = self.lam, self.mcw
+
+        def gain(left, right, total):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = lambda x: np.nan_to_num(x[..., 0] ** 2 / (x[..., 1] + lam))
+                return s(left) + s(right) - s(total), (left[..., 1] >= mcw) & (right[..., 1] >= mcw)
+        return gain
+
+    def _leaf(self, stats, K: int):
+        den = stats[2] + self.lam
+        return -stats[0] / den if den > 0 else 0.0
+
+    def _allowed(self, r: int, t: int, node: int, hist: np.ndarray):
+        if not self.cyclic:
+            return None
+        mask = np.zeros(hist.shape[:2], bool)
+        mask[r % len(mask)] = True
+        return mask
+
+    # ------------------------------------------------------------- jobs
+    def _read(self, batch: pa.RecordBatch, K: int, d: int) -> dict:
+        col = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        return {"row_id": col["row_id"], "y": col["label"].astype(np.int64), "w": col["w"],
+                "B": np.stack([col[f"b_{j}"] for j in range(d)], axis=1).astype(np.int64),
+                "m": np.stack([col[f"m_{c}"] for c in range(K)], axis=1), "dropped": None, "goss": None}
+
+    def _evaluate(self, state: DataFrame, trees: list[Tree], open_: list[tuple[int, int]], r: int, job: dict) -> dict:
+        """(tree, node) -> (split or None, totals) of the open nodes."""
+        K, d, nb = self._k, self._d, self.max_bins + 2
+        C = self._channels(K)
+        per_job = max(1, MAX_CELLS // (d * nb * C))
+        out = {}
+        spark = state.sparkSession
+        for lo in range(0, len(open_), per_job):
+            part = open_[lo:lo + per_job]
+            by_tree: dict[int, list[int]] = {}
+            for t, node in part:
+                by_tree.setdefault(t, []).append(node)
+            shipped = spark.sparkContext.broadcast({t: (trees[t].arrays(), nodes) for t, nodes in by_tree.items()})
+
+            def fold(batches):
+                from pyspark import TaskContext
+                hist: dict = {}
+                for b in batches:
+                    if not b.num_rows:
                         continue
-                    nb = 256
-                    for j in range(B.shape[1]):
-                        key = node[live] * nb + B[live, j]
-                        keys, inv = np.unique(key, return_inverse=True)
-                        out.append(pd.DataFrame({"t": t, "node": (keys // nb).astype("int32"), "f": j,
-                                                 "bin": (keys % nb).astype("int32"),
-                                                 "g": np.bincount(inv, gw[live]), "h": np.bincount(inv, hw[live]),
-                                                 "n": np.bincount(inv).astype("int64")}))
-                yield pd.concat(out, ignore_index=True)
-        red = (state.select("row_id", "label", *bcols, "m").mapInPandas(run, HIST)
-               .groupBy("t", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")))
-        if totals_only:
-            return [(r_["t"], r_["node"], r_["g"], r_["h"]) for r_ in red.collect()]
-        return red
-
-    def _choose(self, hist: DataFrame, level: int, K: int):
-        """Best split per (tree, node) [or per tree when oblivious], computed in
-        Spark; returns (splits with child sums, node totals)."""
-        lam, mcw, mcs = self.lam, self.mcw, self.mcs
-        w = Window.partitionBy("t", "node", "f").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        wt = Window.partitionBy("t", "node", "f")
-        c = (hist.withColumn("GL", F.sum("g").over(w)).withColumn("HL", F.sum("h").over(w))
-             .withColumn("NL", F.sum("n").over(w))
-             .withColumn("G", F.sum("g").over(wt)).withColumn("H", F.sum("h").over(wt)).withColumn("N", F.sum("n").over(wt)))
-        GR, HR, NR = F.col("G") - F.col("GL"), F.col("H") - F.col("HL"), F.col("N") - F.col("NL")
-        gain = (F.col("GL") ** 2 / (F.col("HL") + lam) + GR ** 2 / (HR + lam) - F.col("G") ** 2 / (F.col("H") + lam))
-        ok = (F.col("HL") >= mcw) & (HR >= mcw) & (F.col("NL") >= mcs) & (NR >= mcs) & (NR > 0) & (F.col("NL") > 0)
-        c = c.persist()
-        node_tot = c.where(F.col("f") == 0).groupBy("t", "node").agg(F.first("G").alias("G"), F.first("H").alias("H"))
-        cand = c.where(ok)
-        seed = 42 + 1000 * getattr(self, "_round", 0)
-        if self.random_threshold:
-            # one random threshold per (tree, node, feature) within the node's observed bins
-            lo, hi = F.min("bin").over(wt), F.max("bin").over(wt)
-            u = F.pmod(F.xxhash64(F.lit(seed), "t", "node", "f"), F.lit(1000003)) / 1000003.0
-            cand = (cand.withColumn("__lo", lo).withColumn("__hi", hi)
-                    .where(F.col("bin") == F.col("__lo") + F.floor(u * (F.col("__hi") - F.col("__lo")))))
-        if self.max_features == "sqrt":
-            share = max(1.0, float(np.sqrt(self._d))) / self._d
-            uf = F.pmod(F.xxhash64(F.lit(seed + 7), "t", "node", "f"), F.lit(1000003)) / 1000003.0
-            cand = cand.where(uf < share)
-        if self.cyclic:
-            cand = cand.where(F.col("f") == getattr(self, "_round", 0) % self._d)
-        cand = cand.select("t", "node", "f", "bin", F.round(gain, 12).alias("gain"), "GL", "HL",
-                           GR.alias("GR"), HR.alias("HR"))
-        if self.policy == "oblivious":
-            best = (cand.groupBy("t", "f", "bin").agg(F.sum("gain").alias("gain"))
-                    .groupBy("t").agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("bin")).alias("nb"))).alias("s"))
-                    .select("t", F.col("s.gain").alias("gain"), (-F.col("s.nf")).alias("f"), (-F.col("s.nb")).alias("bin"))
-                    .where(F.col("gain") > 0))
-            rows = (cand.join(best.select("t", "f", "bin"), ["t", "f", "bin"])
-                    .select("t", "node", "f", "bin", "GL", "HL", "GR", "HR").collect())
-            tot = {(r["t"], r["node"]): (r["G"], r["H"]) for r in node_tot.collect()}
-        else:
-            best = (cand.groupBy("t", "node")
-                    .agg(F.max(F.struct("gain", (-F.col("f")).alias("nf"), (-F.col("bin")).alias("nb"),
-                                        "GL", "HL", "GR", "HR")).alias("s"))
-                    .select("t", "node", "s.gain", (-F.col("s.nf")).alias("f"), (-F.col("s.nb")).alias("bin"),
-                            "s.GL", "s.HL", "s.GR", "s.HR").where(F.col("gain") > 0))
-            # one collect per level: node totals with the best split (if any) of each node
-            both = node_tot.join(best, ["t", "node"], "left").collect()   # <= trees x 2^level rows
-            tot = {(r["t"], r["node"]): (r["G"], r["H"]) for r in both}
-            rows = [r for r in both if r["gain"] is not None]
-            if self.policy == "leaves" and self.max_leaves:
-                keep = []
-                for t in range(self._T):
-                    budget = self.max_leaves - self._leaves.get(t, 1)
-                    tr = sorted([r for r in rows if r["t"] == t], key=lambda r: (-r["gain"], r["node"]))[:max(0, budget)]
-                    self._leaves[t] = self._leaves.get(t, 1) + len(tr)
-                    keep += tr
-                rows = keep
-        c.unpersist()
-        return [(r["t"], r["node"], r["f"], r["bin"], r["GL"], r["HL"], r["GR"], r["HR"]) for r in rows], tot
-
-    def _update(self, state, trees, K, bcols, r):
-        lr = self.lr
-        schema = state.schema
-
-        def run(it):
-            for pdf in it:
-                if pdf.empty:
+                    data = self._read(b, K, d)
+                    self._prepare(data, job, K)
+                    stats = self._stats(data, K)
+                    for t, (arrays, nodes) in shipped.value.items():
+                        slot = np.full(len(arrays[0]), -1)
+                        slot[nodes] = np.arange(len(nodes))
+                        at = slot[route(data["B"], arrays)]
+                        s = stats(t)
+                        use = np.flatnonzero((at >= 0) & (s[:, -1] > 0))
+                        if t not in hist:
+                            hist[t] = np.zeros((len(nodes), d, nb, C))
+                        for f in range(d):
+                            key = at[use] * nb + data["B"][use, f]
+                            for c in range(C):
+                                hist[t][:, f, :, c] += np.bincount(key, s[use, c], minlength=len(nodes) * nb).reshape(len(nodes), nb)
+                salt = TaskContext.get().partitionId()
+                for t, h in hist.items():
+                    for node, one in zip(shipped.value[t][1], h):
+                        if one[0, :, -1].any():
+                            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([node], pa.int32()),
+                                                              pa.array([salt], pa.int32()), pa.array([_filled(one)], pa.binary())],
+                                                             ["t", "node", "salt", "hist"])
+
+            def added(blobs) -> np.ndarray:
+                total = np.zeros((d * nb, C))
+                for x in blobs:
+                    cell, value = _cells(x, C)
+                    total[cell] += value
+                return total.reshape(d, nb, C)
+
+            def add(table: pa.Table) -> pa.Table:
+                return pa.table({"t": table["t"][:1], "node": table["node"][:1], "salt": table["salt"][:1],
+                                 "hist": pa.array([_filled(added(table["hist"].to_pylist()))], pa.binary())})
+            parts = state.mapInArrow(fold, PART)
+            gain, least = self._gain(), self.mcs
+            # a row fills d cells of a tree; a task sends d * nb cells of a node
+            bound = d * (4 + 8 * C) * min(self._n * len(by_tree), self._tasks * len(part) * nb)
+            if bound <= DIRECT_BYTES and self.policy != "oblivious":
+                of: dict = {}
+                for x in sorted(parts.collect(), key=lambda x: x["salt"]):
+                    of.setdefault((x["t"], x["node"]), []).append(bytes(x["hist"]))
+                for (t, node), blobs in of.items():
+                    hist = added(blobs)
+                    out[t, node] = best_split(hist, gain, least, self._allowed(r, t, node, hist))
+                shipped.destroy()
+                continue
+            if self._tasks > ONE_ROUND_TASKS:
+                parts = (parts.withColumn("salt", F.pmod("salt", F.lit(int(math.sqrt(self._tasks)))).cast("int"))
+                         .groupBy("t", "node", "salt").applyInArrow(add, PART))
+
+            def choose(table: pa.Table) -> pa.Table:
+                t, node = table["t"][0].as_py(), table["node"][0].as_py()
+                hist = added(table.sort_by("salt")["hist"].to_pylist())
+                split, total = best_split(hist, gain, least, self._allowed(r, t, node, hist))
+                return _split_rows([(t, node, split, total)])
+
+            def choose_level(table: pa.Table) -> pa.Table:
+                """Oblivious: the split with the largest sum of gains."""
+                t = table["t"][0].as_py()
+                of = table["node"].to_numpy()
+                hists = {n: added(table.filter(pa.array(of == n)).sort_by("salt")["hist"].to_pylist()) for n in np.unique(of).tolist()}
+                score = 0
+                for h in hists.values():
+                    left, total = np.cumsum(h, axis=1)[:, :-1], h[0].sum(axis=0)
+                    s, ok = gain(left, total - left, total)
+                    score = score + np.where(ok & (left[..., -1] >= max(1, least)) & ((total - left)[..., -1] >= max(1, least)), s, 0.0)
+                score = np.round(score, 12)
+                f, b = np.unravel_index(int(np.argmax(score)), score.shape)
+                rows = []
+                for n, h in hists.items():
+                    left, total = h[f, :b + 1].sum(axis=0), h[0].sum(axis=0)
+                    rows.append((t, n, (float(score[f, b]), int(f), int(b), left, total - left) if score[f, b] > 1e-12 else None, total))
+                return _split_rows(rows)
+            chosen = (parts.groupBy("t").applyInArrow(choose_level, SPLIT) if self.policy == "oblivious"
+                      else parts.groupBy("t", "node").applyInArrow(choose, SPLIT))
+            for x in chosen.collect():            # one row per open node
+                total = np.frombuffer(bytes(x["total"]))
+                split = None if x["f"] < 0 else (x["gain"], x["f"], x["bin"], np.frombuffer(bytes(x["left"])), np.frombuffer(bytes(x["right"])))
+                out[x["t"], x["node"]] = (split, total)
+            shipped.destroy()
+        return out
+
+    def _prepare(self, data: dict, job: dict, K: int) -> None:
+        """Margins with the rounds that are not in the state yet; the dropped
+        rounds' margins; the one-side sampling threshold."""
+        if job.get("pending") is not None:
+            data["m"] = data["m"] + _margins(data["B"], job["pending"].value, K)
+        if job.get("drop") is not None:
+            data["dropped"] = _margins(data["B"], job["drop"].value, K)
+        data["goss"] = job.get("goss")
+
+    # -------------------------------------------------------------- growth
+    def _grow(self, state, trees: list[Tree], r: int, job: dict) -> None:
+        if self.policy == "leaves":
+            return self._grow_best_first(state, trees, r, job)
+        open_ = [(t, 0) for t in range(len(trees))]
+        while open_:
+            found = self._evaluate(state, trees, open_, r, job)
+            after = []
+            for t, node in open_:
+                split, total = found.get((t, node), (None, None))
+                tree = trees[t]
+                if tree.stats[node] is None:
+                    tree.stats[node] = total
+                if split is None or (self.depth and tree.depth[node] >= self.depth):
                     continue
-                B = pdf[bcols].to_numpy(np.int64)
-                m = np.stack(pdf["m"].to_numpy())
-                for t in range(K):
-                    node = _route(B, trees[t])
-                    m[:, t] += lr * trees[t]["leaf_a"][node]
-                pdf = pdf.copy()
-                pdf["m"] = list(m)
-                yield pdf
-        new = state.mapInPandas(run, schema)
-        if (r + 1) % self.ckpt_every == 0:
-            new = new.checkpoint(eager=True)
-        else:
-            new = new.persist(StorageLevel.MEMORY_AND_DISK)
-            new.count()
+                gain, f, b, left, right = split
+                for child in tree.split(node, f, b, left, right):
+                    if not self.depth or tree.depth[child] < self.depth:
+                        after.append((t, child))
+            open_ = after
+
+    def _grow_best_first(self, state, trees, r, job) -> None:
+        known: list[dict] = [{} for _ in trees]
+        open_ = [(t, 0) for t in range(len(trees))]
+        while open_:
+            for (t, node), (split, total) in self._evaluate(state, trees, open_, r, job).items():
+                known[t][node] = split
+                if trees[t].stats[node] is None:
+                    trees[t].stats[node] = total
+            open_ = []
+            for t, tree in enumerate(trees):
+                # split what best-first order would split on what is known so far
+                for node in self._order(tree, known[t]):
+                    if tree.feat[node] < 0:
+                        open_ += [(t, c) for c in tree.split(node, *known[t][node][1:])]
+        for t, tree in enumerate(trees):
+            made = set(self._order(tree, known[t]))
+            for node in range(len(tree.feat)):
+                if node not in made:
+                    tree.feat[node] = -1
+
+    def _order(self, tree: Tree, known: dict) -> list[int]:
+        """Nodes that best-first growth splits; children that are not known
+        yet are passed over."""
+        heap, out = [], []
+
+        def push(node):
+            if known.get(node) is not None and (not self.depth or tree.depth[node] < self.depth):
+                heapq.heappush(heap, (-known[node][0], node))
+        push(0)
+        while heap and len(out) < (self.max_leaves or 1 << 30) - 1:
+            _, node = heapq.heappop(heap)
+            out.append(node)
+            if tree.feat[node] >= 0:
+                push(tree.left[node])
+                push(tree.right[node])
+        return out
+
+    # ----------------------------------------------------------------- fit
+    def _state(self, train, ctx: Ctx):
+        K, feats = ctx.k, ctx.features
+        self._k, self._d = K, len(feats)
+        self.edges = bin_edges(train, feats, self.max_bins)
+        src = balanced_weights(train) if self.balanced else train.withColumn("weight", F.lit(1.0))
+        start = np.zeros(K)
+        if self.prior:
+            n = {x["label"]: x["s"] for x in src.groupBy("label").agg(F.sum("weight").alias("s")).collect()}
+            start = np.log(np.array([max(n.get(c, 0.0), 1e-12) for c in range(K)]) / sum(n.values()))
+        state = (binned(src, feats, self.edges, F.col("weight").cast("double").alias("w"))
+                 .select("*", *[F.lit(float(v)).alias(f"m_{c}") for c, v in enumerate(start)])
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+        self._n = state.count()
+        self._tasks = state.rdd.getNumPartitions()
+        return state, start
+
+    def fit(self, train, ctx: Ctx):
+        K = ctx.k
+        state, start = self._state(train, ctx)
+        forest: list[list] = []          # per round: (arrays, leaf values) of the K trees, scaled
+        pending: list[list] = []         # rounds that the state's margins lack
+        for r in range(self.n_rounds):
+            job, dropped = {}, []
+            if pending:
+                job["pending"] = state.sparkSession.sparkContext.broadcast(pending)
+            if self.dart_rate:
+                dropped = [i for i in range(r) if _uniform(self.seed, [r], [i])[0] < self.dart_rate]
+                if dropped:
+                    job["drop"] = state.sparkSession.sparkContext.broadcast([forest[i] for i in dropped])
+            if self.goss:
+                job["goss"] = (*self.goss, self._goss_threshold(state, K, job), r)
+            trees = [Tree() for _ in range(K)]
+            self._grow(state, trees, r, job)
+            rate = self.lr / (len(dropped) + 1)
+            new = [(t.arrays(), rate * np.array([self._leaf(s, K) if s is not None else 0.0 for s in t.stats])) for t in trees]
+            if all(len(a[0]) == 1 for a, _ in new) and not dropped and not self.cyclic:
+                break                    # no tree found a split
+            # dropped rounds keep k / (k + 1) of their weight
+            keep = len(dropped) / (len(dropped) + 1)
+            change = [[(a, (keep - 1) * v) for a, v in forest[i]] for i in dropped] + [new]
+            for i in dropped:
+                forest[i] = [(a, keep * v) for a, v in forest[i]]
+            forest.append(new)
+            pending = pending + change
+            if len(pending) >= self.ckpt_every * (2 if self.dart_rate else 1):
+                state, pending = self._update(state, pending, K), []
+            for name in {"drop", "pending"} & set(job):
+                job[name].destroy()
         state.unpersist()
+        return _HGFitted(forest, start, self.edges, ctx.features, K)
+
+    def _goss_threshold(self, state, K, job) -> float:
+        d, top = self._d, self.goss[0]
+
+        def size(batches):
+            for b in batches:
+                x = self._read(b, K, d)
+                self._prepare(x, job, K)
+                g, _, _ = softmax_gradients(x["m"], x["y"], True, 1.0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.abs(g).sum(axis=1))], ["a"])
+        return state.mapInArrow(size, "a double").approxQuantile("a", [1 - top], 1e-3)[0]
+
+    def _update(self, state, change, K):
+        """The state with further rounds in its margins; cuts the lineage."""
+        d = self._d
+        shipped = state.sparkSession.sparkContext.broadcast(change)
+
+        def run(batches):
+            for b in batches:
+                x = self._read(b, K, d)
+                m = x["m"] + _margins(x["B"], shipped.value, K)
+                n = b.num_columns - K
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(m[:, c]) for c in range(K)]], b.schema.names)
+        new = state.mapInArrow(run, state.schema).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+        new.count()
+        state.unpersist()
+        shipped.destroy()
         return new
 
 
+def _filled(hist: np.ndarray) -> bytes:
+    """The cells that hold rows: number, then their channels."""
+    flat = hist.reshape(-1, hist.shape[-1])
+    cell = np.flatnonzero(flat[:, -1])
+    return len(cell).to_bytes(4, "little") + cell.astype("<i4").tobytes() + flat[cell].tobytes()
+
+
+def _cells(blob: bytes, C: int) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    return np.frombuffer(blob, "<i4", n, 4), np.frombuffer(blob, np.float64, n * C, 4 + 4 * n).reshape(n, C)
+
+
+def _split_rows(rows) -> pa.Table:
+    none = (float("-inf"), -1, 0, np.zeros(0), np.zeros(0))
+    full = [(t, node, split or none, total) for t, node, split, total in rows]
+    return pa.table({
+        "t": pa.array([x[0] for x in full], pa.int32()), "node": pa.array([x[1] for x in full], pa.int32()),
+        "gain": pa.array([x[2][0] for x in full], pa.float64()), "f": pa.array([x[2][1] for x in full], pa.int32()),
+        "bin": pa.array([x[2][2] for x in full], pa.int32()), "left": pa.array([x[2][3].tobytes() for x in full], pa.binary()),
+        "right": pa.array([x[2][4].tobytes() for x in full], pa.binary()), "total": pa.array([x[3].tobytes() for x in full], pa.binary())})
+
+
+def _margins(B: np.ndarray, rounds, K: int) -> np.ndarray:
+    m = np.zeros((len(B), K))
+    for trees in rounds:
+        for t, (arrays, value) in enumerate(trees):
+            m[:, t] += value[route(B, arrays)]
+    return m
+
+
+class GiniForest(HistGBM):
+    """Multiclass Gini trees that average their leaves' class shares: extra
+    trees (random thresholds), balanced random forest (``sample='balanced'``:
+    per tree a draw with replacement of as many rows of each class as the
+    smallest has, P3 keyed by tree) and bootstrapped forests (``'bootstrap'``)."""
+
+    def __init__(self, n_trees=200, depth=None, max_bins=255, max_features="sqrt", random_threshold=False,
+                 sample=None, balanced=True, min_child_samples=1, seed=42, **extra):
+        super().__init__(n_rounds=n_trees, depth=depth, max_bins=max_bins, min_child_samples=min_child_samples,
+                         balanced=balanced, seed=seed, **extra)
+        self.max_features, self.random_threshold, self.sample = max_features, random_threshold, sample
+        self.params = dict(n_estimators=n_trees, max_depth=depth, max_features=max_features, sample=sample,
+                           random_threshold=random_threshold, class_weight="balanced" if balanced else None, **extra)
+
+    def _channels(self, K):
+        return K + 1
+
+    def _stats(self, batch, K):
+        y, w = batch["y"], batch["w"]
+        one = np.zeros((len(y), K + 1))
+        rate = self._rate
+
+        def of(t):
+            times = np.ones(len(y))
+            if rate is not None:          # Poisson multiplicities by inverse CDF of a hashed uniform
+                u, lam = _uniform(self.seed, np.full(len(y), t), batch["row_id"]), rate[y]
+                p = c = np.exp(-lam)
+                times = (u >= c).astype(float)
+                for j in range(1, 30):
+                    p = p * lam / j
+                    c = c + p
+                    times += u >= c
+            one[:] = 0
+            one[np.arange(len(y)), y] = w * times
+            one[:, -1] = times > 0
+            return one
+        return of
+
+    def _gain(self):
+        def gain(left, right, total):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = lambda x: np.nan_to_num((x[..., :-1] ** 2).sum(axis=-1) / x[..., :-1].sum(axis=-1))
+                return s(left) + s(right) - s(total), np.ones(left.shape[:-1], bool)
+        return gain
+
+    def _allowed(self, r, t, node, hist):
+        d, nb = hist.shape[:2]
+        seen = hist[..., -1] > 0
+        mask = np.ones((d, nb), bool)
+        if self.random_threshold:         # one threshold per feature within the bins of the node
+            lo, hi = seen.argmax(axis=1), nb - 1 - seen[:, ::-1].argmax(axis=1)
+            u = _uniform(self.seed + 1, np.full(d, t), np.full(d, node), np.arange(d))
+            mask = np.arange(nb)[None, :] == (lo + np.floor(u * (hi - lo)))[:, None]
+        if self.max_features == "sqrt":   # among the features that vary in the node
+            vary = np.flatnonzero(seen.sum(axis=1) > 1)
+            u = _uniform(self.seed + 2, np.full(len(vary), t), np.full(len(vary), node), vary)
+            mask[np.setdiff1d(np.arange(d), vary[np.argsort(u)][:max(1, int(math.sqrt(d)))])] = False
+        return mask
+
+    def fit(self, train, ctx: Ctx):
+        K = ctx.k
+        state, _ = self._state(train, ctx)
+        self._rate = None
+        if self.sample == "bootstrap":
+            self._rate = np.ones(K)
+        elif self.sample == "balanced":
+            n = {x["label"]: x["count"] for x in state.groupBy("label").count().collect()}
+            self._rate = np.array([min(n.values()) / n[c] if c in n else 0.0 for c in range(K)])
+        trees = [Tree() for _ in range(self.n_rounds)]
+        self._grow(state, trees, 0, {})
+        state.unpersist()
+        forest = []
+        for t in trees:
+            share = np.array([s[:-1] / max(s[:-1].sum(), 1e-300) if s is not None else np.zeros(K) for s in t.stats])
+            forest.append((t.arrays(), share / self.n_rounds))
+        return _HGFitted(None, np.zeros(K), self.edges, ctx.features, K, forest)
+
+
 class _HGFitted(Fitted):
-    def __init__(self, forest, edges, feats, K, lr):
-        self.forest, self.edges, self.feats, self.K, self.lr = forest, edges, feats, K, lr
-        self.size = f"{len(forest) * K} trees"
+    def __init__(self, forest, start, edges, feats, K, shares=None):
+        self.forest, self.start, self.edges, self.feats, self.K, self.shares = forest, start, edges, feats, K, shares
+        self.size = f"{len(shares) if shares is not None else len(forest) * K} trees"
 
     def proba(self, df):
-        """(row_id, y, prob array<double>): softmax of the boosted margins."""
+        """(row_id, y, prob array<double>)."""
         return self._run(df, proba=True)
 
     def predict(self, df):
         return self._run(df, proba=False)
 
     def _run(self, df, proba):
-        forest, K, lr = self.forest, self.K, self.lr
-        bcols = [f"b_{i}" for i in range(len(self.feats))]
+        K, start, d = self.K, self.start, len(self.feats)
         b = binned(df.select("row_id", "label", *self.feats), self.feats, self.edges)
-
-        def run(it):
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                B = pdf[bcols].to_numpy(np.int64)
-                m = np.zeros((len(B), K))
-                for trees in forest:
-                    for t in range(len(trees)):
-                        node = _route(B, trees[t])
-                        m[:, t % K] += lr * trees[t]["leaf_a"][node]
-                base = {"row_id": pdf["row_id"].to_numpy(np.int64), "y": pdf["label"].to_numpy(np.int32)}
-                if proba:
-                    z = np.exp(m - m.max(axis=1, keepdims=True))
-                    base["prob"] = list(z / z.sum(axis=1, keepdims=True))
+        shipped = df.sparkSession.sparkContext.broadcast((self.forest, self.shares))
+
+        def run(batches):
+            forest, shares = shipped.value
+            for x in batches:
+                B = np.stack([x.column(2 + j).to_numpy(zero_copy_only=False) for j in range(d)], axis=1).astype(np.int64)
+                if shares is not None:
+                    prob = np.zeros((len(B), K))
+                    for arrays, value in shares:
+                        prob += value[route(B, arrays)]
                 else:
-                    base["p"] = np.argmax(m, axis=1).astype(np.int32)
-                yield pd.DataFrame(base)
-        schema = "row_id long, y int, prob array<double>" if proba else "row_id long, y int, p int"
-        return b.mapInPandas(run, schema)
+                    m = start + _margins(B, forest, K)
+                    prob = np.exp(m - m.max(axis=1, keepdims=True)) if len(m) else m
+                    prob = prob / prob.sum(axis=1, keepdims=True)
+                last = (pa.array(list(prob), pa.list_(pa.float64())) if proba else pa.array(np.argmax(prob, axis=1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([x.column(0).cast(pa.int64()), x.column(1).cast(pa.int32()), last],
+                                                 ["row_id", "y", "prob" if proba else "p"])
+        return b.mapInArrow(run, f"row_id long, y int, {'prob array<double>' if proba else 'p int'}")
