@@ -68,6 +68,45 @@ def top_k(scores: DataFrame, feats: list[str], k: int = 15) -> DataFrame:
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
+def filter_tables(scores: dict[str, DataFrame], feats: list[str], k: int = 10) -> DataFrame:
+    """The top k features of several filter methods, one below the other."""
+    out = None
+    for method, s in scores.items():
+        t = top_k(s, feats, k).select(F.lit(method).alias("method"), "feature", "importance", "rank")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def additive_importance(fitted, df: DataFrame, feats: list[str]) -> DataFrame:
+    """I4: mean over rows and classes of the absolute centred contribution of
+    each feature's shape function, for boosters whose trees use one feature
+    each.  Contributions depend on the feature's bin only, so the rows are
+    reduced to counts per (feature, bin) first."""
+    from classyard.operators.models.hist_tree import binned, route
+    d, K = len(feats), fitted.K
+    b = binned(df.select("row_id", "label", *feats), feats, fitted.edges)
+    pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("fi"), F.col(f"b_{j}").alias("bin")) for j in range(d)]))
+    counts = b.select(pairs.alias("p")).groupBy("p.fi", "p.bin").agg(F.count(F.lit(1)).alias("n")).collect()   # d x bins rows
+    bins = max(len(e) for e in fitted.edges) + 1
+    shape = np.zeros((d, bins, K))
+    for trees in fitted.forest:
+        for t, (arrays, value) in enumerate(trees):
+            used = set(arrays[0][arrays[0] >= 0].tolist())
+            if len(used) != 1:
+                continue
+            j = used.pop()
+            grid = np.zeros((bins, d), np.int64)
+            grid[:, j] = np.arange(bins)
+            shape[j, :, t] += value[route(grid, arrays)]
+    n = np.zeros((d, bins))
+    for r in counts:
+        n[r["fi"], r["bin"]] = r["n"]
+    total = np.maximum(n.sum(axis=1), 1)[:, None]
+    mean = np.einsum("jb,jbk->jk", n, shape) / total
+    score = (np.einsum("jb,jbk->jk", n, np.abs(shape - mean[:, None, :])) / total).mean(axis=1)
+    return df.sparkSession.createDataFrame([(j, float(s)) for j, s in enumerate(score)], "fi int, score double")
+
+
 def overlap(a: DataFrame, b: DataFrame, k: int = 5) -> int:
     """Size of the intersection of two top-k feature sets (as a DataFrame count)."""
     return (a.where(F.col("rank") <= k).select("feature")

@@ -250,6 +250,12 @@ def _a12(spark, sf):
     return r.select("dataset", "family", *_big("count"), "best_key", _r("best_f1_macro"), _r("avg_f1_macro"), "group", *_big("rank"))
 
 
+@_evq("a13_group_filter", f"SELECT dataset, key, family FROM lb_rec WHERE {O.family_group_sql()} IN ('instance', 'linear', 'exotic')")
+def _a13(spark, sf):
+    """Only models of the active display groups."""
+    return _A().filter_groups(_A().ok(_rec(spark, sf)), ["instance", "linear", "exotic"]).select("dataset", "key", "family")
+
+
 @_evq("a14_speed_quality_points", f"SELECT dataset, key, round(greatest(train_time_sec, 0.001), 9) AS x, round(log10(greatest(train_time_sec, 0.001)), 6) AS log10_x, round(f1_macro, 6) AS y, {O.family_group_sql()} AS \"group\" FROM lb_rec")
 def _a14(spark, sf):
     return _A().speed_quality_points(_rec(spark, sf)).select("dataset", "key", _r("x", 9), _r("log10_x"), _r("y"), "group")
@@ -374,6 +380,17 @@ for _ds in ["lang"]:
         ov = I.overlap(I.top_k(I.mutual_info_binned(rtr, fs), fs), I.top_k(I.anova_f(tr, fs), fs))
         return ov.agg(F.count(F.lit(1)).cast("bigint").alias("shared_top5"))
 
+    def _a20(spark, sf, ds=_ds):
+        from classyard.operators import importance as I
+        tr, fs = _btrain(spark, sf, ds)
+        rtr, _ = _btrain(spark, sf, ds, raw=True)
+        return I.filter_tables({"mutual_info": I.mutual_info_binned(rtr, fs), "anova_f": I.anova_f(tr, fs)}, fs).select(
+            "method", "feature", _r("importance"), *_big("rank"))
+
+    register(f"a20_filter_top10_{_ds}", _imp_sql(
+        _ds, O.anova_ctes(_ds) + O.mi_ctes(_ds),
+        f"SELECT 'mutual_info' AS method, * FROM ({O.topk_sql(_ds, f'{_ds}_mi', 10)}) "
+        f"UNION ALL SELECT 'anova_f' AS method, * FROM ({O.topk_sql(_ds, f'{_ds}_anova', 10)})"))(_a20)
     register(f"i7_i5_anova_top15_{_ds}", _imp_sql(_ds, O.anova_ctes(_ds), O.topk_sql(_ds, f"{_ds}_anova")))(_i7)
     register(f"i6_i5_mutual_info_top15_{_ds}", _imp_sql(_ds, O.mi_ctes(_ds), O.topk_sql(_ds, f"{_ds}_mi")))(_i6)
     register(f"i9_top5_overlap_{_ds}", _imp_sql(
@@ -513,7 +530,7 @@ def _s5(spark, sf):
 # ------------------------------------------------------------------ rows-checked models
 # Randomised / iterative estimators have no exact SQL form: the driver gets a
 # rows-only check, our tests pin them against NumPy and invariants.
-ROWS_MODELS = ["ridge", "lda", "qda", "elm", "rbf_sampler_ridge", "decision_tree", "random_forest", "bagging_dt",
+ROWS_MODELS = ["extra_tree", "logreg_elasticnet", "linear_svc", "sgd_modified_huber", "sgd_log", "sgd_hinge", "ridge", "lda", "qda", "elm", "rbf_sampler_ridge", "decision_tree", "random_forest", "bagging_dt",
                "perceptron", "passive_aggressive", "nystroem_sgd", "gaussian_process", "label_spreading",
                "som_classifier", "bagging_knn", "logreg"]
 
@@ -546,6 +563,30 @@ def _stream(spark, sf):
     return windowed_confusion(spark, sf).select("window_start", *_big("y", "p", "n"))
 
 
+@register("i1_permutation_importance_line")
+def _i1_line(spark, sf):
+    """I1 on wide (60-bit) row ids, over all test rows (rows check)."""
+    from classyard.operators import importance as I
+    from classyard.operators.models.base import Ctx
+    p = prepared(spark, sf, "line")
+    fm = REGISTRY["nearest_centroid"].build().fit(p.train(), Ctx(p.features, p.k))
+    return I.top_k(I.permutation_importance(fm, p.test(), p.features, p.k), p.features).select(
+        "feature", _r("importance"), *_big("rank"))
+
+
+@register("i4_additive_importance_lang")
+def _i4(spark, sf):
+    """I4: mean absolute contribution of each shape function of an additive
+    booster (rows check)."""
+    from classyard.operators import importance as I
+    from classyard.operators.models import hist_tree
+    from classyard.operators.models.base import Ctx
+    p = prepared(spark, sf, "lang")
+    fm = hist_tree.HistGBM(n_rounds=2 * len(p.features), lr=0.1, depth=2, cyclic=True, hess_scale=1.0, lam=0.0,
+                           min_child_weight=0.0, min_child_samples=2).fit(p.train(), Ctx(p.features, p.k))
+    return I.top_k(I.additive_importance(fm, p.train(), p.features), p.features).select("feature", _r("importance"), *_big("rank"))
+
+
 @register("i8_family_panel_lang")
 def _i8(spark, sf):
     """I8: native + permutation importance for representative families (rows check)."""
