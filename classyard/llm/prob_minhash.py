@@ -138,7 +138,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo, hi, texts in text_slices(b.column(3), 3_000_000):
+            for lo, hi, texts in text_slices(b.column(3), 1_500_000):
                 doc, ids, count = shingles(texts)
                 n = hi - lo
                 bands = band_keys(signatures(doc, ids, count, n)).astype(np.int64)
@@ -175,7 +175,9 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
                     i, j = (slice(cut[order[z]], cut[order[z] + 1]) for z in (x, y))
                     keep.append(probability_jaccard(ids[i], count[i], ids[j], count[j]) >= similarity - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    # texts always move by a merge join: a plan that turned with the size of
+    # the pairs would behave differently on small and on large corpora
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return stored(joined.mapInArrow(run, "a long, b long"), "near-links")
 
@@ -191,7 +193,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     hub = inside.join(size, "key").groupBy("node").agg(F.sum(F.col("n") - 1).alias("meets"))
     first = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).join(hub, "node")
     texts = stored(rows.select("row", F.col("doc.text").cast("string").alias("text"))
-                   .join(stored(first, "near-first"), "row").select("node", "meets", "text"), "near-texts")
+                   .join(stored(first, "near-first").hint("merge"), "row").select("node", "meets", "text"), "near-texts")
     inside = stored(inside.join(size, "key").join(texts.select("node", "meets"), "node"), "near-members")
     centre = inside.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     tried = stored(inside.join(centre, "key").where("node <> centre")
