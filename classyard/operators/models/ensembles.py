@@ -174,6 +174,7 @@ class ReplicateVote(Estimator):
         samples = undersample(train, self.n_rep, ctx.seed).persist()
         fitted = [self.member().fit(samples.where(F.col("replicate") == r).drop("replicate"), ctx)
                   for r in range(self.n_rep)]
+        samples.unpersist()
 
         class _F(Fitted):
             size = f"{len(fitted)} base estimators"

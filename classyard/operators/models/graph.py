@@ -25,11 +25,13 @@ class LabelSpreading(Estimator):
         tr = train.select("row_id", "label", *feats).persist()
         n = tr.count()
         nb = knn.neighbours(tr, tr, feats, k, n_train=n, n_test=n)
-        A = nb.select(F.col("row_id").alias("i"), F.col("nb_row").alias("j"))
+        # self edges count neither as edges nor in the degrees
+        A = nb.select(F.col("row_id").alias("i"), F.col("nb_row").alias("j")).where("i <> j")
         deg = A.groupBy("j").agg(F.count(F.lit(1)).alias("dj"))
         degi = deg.select(F.col("j").alias("i"), F.col("dj").alias("di"))
-        S = (A.where(F.col("i") != F.col("j")).join(deg, "j").join(degi, "i")
-             .select("i", "j", (1.0 / F.sqrt(F.col("di") * F.col("dj"))).alias("s"))).checkpoint(eager=True)
+        # a row that is nobody's neighbour has degree 1
+        S = (A.join(deg, "j").join(degi, "i", "left")
+             .select("i", "j", (1.0 / F.sqrt(F.coalesce("di", F.lit(1)) * F.col("dj"))).alias("s"))).checkpoint(eager=True)
         Y = tr.select(F.col("row_id").alias("i"),
                       F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda c: (F.col("label") == c).cast("double")).alias("y"))
         Y0 = Y.select("i", F.posexplode("y").alias("c", "y0")).checkpoint(eager=True)

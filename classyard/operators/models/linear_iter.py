@@ -114,6 +114,8 @@ def lbfgs(fg, x0: np.ndarray, max_iter: int = 100, m: int = 10, tol: float = 1e-
             if f_new <= f + 1e-4 * t * g.dot(p):
                 break
             t *= 0.5
+        else:
+            return x          # no step along p lowers the loss enough
         s, y = xn - x, g_new - g
         x, f_old, f, g = xn, f, f_new, g_new
         if y.dot(s) > 1e-12:

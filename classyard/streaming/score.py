@@ -30,8 +30,10 @@ def windowed_confusion(spark: SparkSession, sf_dir: str, window: str = "1 hour",
                        watermark: str = "2 hours") -> DataFrame:
     """Fit on the batch ``evt`` split, score the stream, count (window, y, p).
 
-    Runs the stream to completion (``availableNow``) into a memory table and
-    returns that table."""
+    Append mode: a window's counts are written once, when the watermark has
+    passed its end, and its state is dropped.  Runs over what has arrived
+    (``availableNow``) into a Parquet sink in the shared folder; windows that are
+    still open then are not part of the result."""
     rd = standins.evt(spark, sf_dir)
     prep = prepare(rd.name, rd.raw, rd.features, rd.benign)
     fm = NearestCentroid().fit(prep.train(), Ctx(prep.features, prep.k))
@@ -48,9 +50,8 @@ def windowed_confusion(spark: SparkSession, sf_dir: str, window: str = "1 hour",
     scored = scaled.select("ts", F.col("label").alias("y"), argmin(fm.scores()).alias("p"))
     agg = (scored.groupBy(F.window("ts", window).alias("w"), "y", "p").agg(F.count(F.lit(1)).alias("n"))
            .select(F.col("w.start").alias("window_start"), "y", "p", "n"))
-    name = f"evt_confusion_{uuid.uuid4().hex[:8]}"
-    q = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}")
-         .trigger(availableNow=True).start())
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = (agg.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(agg.schema).parquet(f"{base}/out")

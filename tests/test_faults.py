@@ -84,3 +84,28 @@ def test_checkpoint_folder_of_the_context_is_used(spark):
     Session.sparkContext.dir = None
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_spreading_degrees_leave_self_edges_out(spark):
+    from classyard.operators.models.graph import LabelSpreading
+    rng = np.random.default_rng(3)
+    n, k, a = 60, 4, 0.2
+    x = rng.normal(size=(n, 2)) + np.repeat([[0, 0], [3, 0], [0, 3]], 20, axis=0)
+    y = np.repeat([0, 1, 2], 20)
+    df = spark.createDataFrame([(i, int(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(n)], "row_id long, label int, f0 double, f1 double")
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    A = np.zeros((n, n))
+    for i in range(n):
+        A[i, np.argsort(d2[i], kind="stable")[:k]] = 1
+    np.fill_diagonal(A, 0)
+    deg = A.sum(axis=0)
+    root = np.sqrt(np.where(deg == 0, 1, deg))
+    S = A / root[:, None] / root[None]
+    Y = np.eye(3)[y]
+    V = Y.copy()
+    for _ in range(30):
+        V = a * S @ V + (1 - a) * Y
+    want = np.array([np.argmax(V[np.argsort(d2[i], kind="stable")[:k]].sum(axis=0)) for i in range(n)])
+    fm = LabelSpreading(k=k, alpha=a).fit(df, Ctx(["f0", "f1"], 3))
+    got = {r.row_id: r.p for r in fm.predict(df).collect()}
+    assert np.mean([got[i] == want[i] for i in range(n)]) > 0.98
