@@ -1,8 +1,8 @@
 """M44 som_classifier: batch self-organising map + unit labelling.
 
 Training is the batch SOM: per epoch every task assigns its rows to the
-best-matching unit of the broadcast codebook (NumPy) and emits per-unit sums;
-a ``groupBy`` reduces them (units x d numbers) and the driver applies the
+best-matching unit of the codebook (NumPy) and sends one array of per-unit
+sums; they are added up (units x d numbers) and the driver applies the
 Gaussian grid neighbourhood.  Unit labels are a ``groupBy(unit, label)``
 count with majority per unit (ties -> lowest label); unseen units fall back
 to the global majority class.
@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from classyard.operators.models.base import Ctx, Estimator, Fitted
+from classyard.operators.models.moments import batch_columns, summed
 from classyard.operators.prep import cap_rows
 
 
@@ -42,24 +43,16 @@ class SOMClassifier(Estimator):
             sig = max(0.5, self.sigma * (1 - ep / max(1, self.epochs)))
             cur = cb
 
-            def run(it, cur=cur):
-                for pdf in it:
-                    if pdf.empty:
-                        continue
-                    x = pdf[feats].to_numpy(np.float64)
-                    u = _bmu(x, cur)
-                    s = np.zeros((units, x.shape[1]))
-                    np.add.at(s, u, x)
-                    c = np.bincount(u, minlength=units).astype(float)
-                    nz = np.nonzero(c)[0]
-                    yield pd.DataFrame({"u": nz.astype("int32"), "c": c[nz], "s": list(s[nz])})
-            red = (tr.mapInPandas(run, "u int, c double, s array<double>")
-                   .groupBy("u").agg(F.sum("c").alias("c"),
-                                     F.array(*[F.sum(F.col("s")[j]) for j in range(len(feats))]).alias("s")).collect())
-            S = np.zeros((units, len(feats)))
-            C = np.zeros(units)
-            for r in red:
-                S[r["u"]], C[r["u"]] = r["s"], r["c"]
+            def fold(batches, cur=cur):
+                v = np.zeros((units, len(feats) + 1))
+                for b in batches:
+                    if b.num_rows:
+                        x = batch_columns(b, feats)
+                        u = _bmu(x, cur)
+                        v += np.stack([np.bincount(u, minlength=units), *[np.bincount(u, x[:, j], units) for j in range(len(feats))]], axis=1)
+                return {0: v.ravel()}
+            v = summed(tr, fold)[0].reshape(units, -1)
+            C, S = v[:, 0], v[:, 1:]
             H = np.exp(-grid_d2 / (2 * sig ** 2))
             num, den = H @ S, H @ C
             cb = np.where(den[:, None] > 0, num / np.maximum(den, 1e-12)[:, None], cb)
