@@ -212,6 +212,16 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
                     F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
+), g AS (
+  SELECT n, count(*) AS group_size, first(doc_id ORDER BY length(t) DESC, doc_id) AS keep_id FROM d GROUP BY n
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM d JOIN g USING (n)
+"""
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
     rows = _rows(docs, BATCHES)

@@ -106,7 +106,7 @@ def select(docs: DataFrame, pattern: str, size: str, order_hash: str, flow: dict
     """Add ``taken``: words taken of each document of a pattern, by ``flow``
     (pattern key -> words; a null pattern has the key None)."""
     spark = docs.sparkSession
-    src = docs.withColumn("_b", F.shiftrightunsigned(order_hash, 64 - (BUCKETS.bit_length() - 1)))
+    src = docs.withColumn("_b", F.shiftright(order_hash, 60 - (BUCKETS.bit_length() - 1)))
     sums = src.groupBy(pattern, "_b").agg(F.sum(size).alias("_n"))
     w = Window.partitionBy(pattern).orderBy("_b")
     before = (sums.withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
@@ -122,6 +122,14 @@ def select(docs: DataFrame, pattern: str, size: str, order_hash: str, flow: dict
     return j.withColumn("taken", passes * F.col(size)).drop("_p", "_b2", "_b", "_before", "_cap", "_flow", "_at")
 
 
+def order_key(doc_id, text, seed: int):
+    """Seeded 60-bit order of documents: leading digits of an md5 (which any
+    engine can compute).  The text is part of it, so rows of one (or no) doc_id
+    spread as well."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
@@ -131,7 +139,7 @@ def _rows(docs: DataFrame, seed: int, carry: bool) -> DataFrame:
     return stored(docs.select(
         *doc, F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
         docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"),
-        F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("h")), "mix-rows")
+        order_key(docs["doc_id"], docs["text"], seed).alias("h")), "mix-rows")
 
 
 def mix(rows: DataFrame) -> DataFrame:
@@ -142,7 +150,7 @@ def mix(rows: DataFrame) -> DataFrame:
     names = sorted(s for s in sums if s is not None) + [None] * (None in sums)
     weights = [1 + k % 3 for k in range(len(names))]
     goal = dict(zip(names, targets([sums[s] for s in names], weights, sum(sums.values()))))
-    flow = min_cost_flow(sums, {s: [s] for s in names}, {s: round(goal[s]) for s in names})
+    flow = min_cost_flow(sums, {s: [s] for s in names}, {s: int(goal[s] + 0.5) for s in names})
     taken = select(rows, "source", "size", "h", {p: f for (p, _), f in flow.items()}, ["doc_id", "row"])
     table = rows.sparkSession.createDataFrame([(s, sums[s], goal[s]) for s in names],
                                               "_s string, source_size long, target double")
@@ -151,7 +159,37 @@ def mix(rows: DataFrame) -> DataFrame:
 
 
 def mix_digests(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    return mix(_rows(docs, seed, False)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_rows(docs, seed, False)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+# With one source per document the flow of a source is its target, and the
+# reshared targets are one level per weight, found from the sorted capacities.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+    ('0x' || substr(md5(concat_ws('|', '42', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY 3.0 * cap / w, source) AS k FROM s
+), lam AS (
+  SELECT *, (sum(cap) OVER () - coalesce(sum(3 * cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), l AS (
+  SELECT coalesce((SELECT level FROM lam WHERE level * w <= 3 * cap ORDER BY k LIMIT 1), 0) AS level
+), t AS (
+  SELECT source, cap, least(lam.w * l.level, 3.0 * cap) AS target FROM lam, l
+), o AS (
+  SELECT d.doc_id, d.size, t.cap, t.target, least(floor(t.target + 0.5)::BIGINT, 3 * t.cap) AS flow,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size::BIGINT AS size, cap AS source_size, round(target, 6) AS target,
+  CASE WHEN size = 0 THEN 0 ELSE size * ((2 * pos + size <= 2 * flow)::INT + (2 * (pos + cap) + size <= 2 * flow)::INT
+    + (2 * (pos + 2 * cap) + size <= 2 * flow)::INT) END::BIGINT AS taken
+FROM o
+"""
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:

@@ -62,5 +62,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from classyard.llm.tool_chat import ORACLE_SQL
-    return {"op7_tool_links": ORACLE_SQL}
+    from classyard.llm import fuse_dedup, mix_flow, tool_chat
+    return {"op3_fuse_dedup": fuse_dedup.ORACLE_SQL, "op4_flow_mix": mix_flow.ORACLE_SQL, "op7_tool_links": tool_chat.ORACLE_SQL}
