@@ -166,7 +166,8 @@ def mix_digests(docs: DataFrame, seed: int = SEED) -> DataFrame:
 # reshared targets are one level per weight, found from the sorted capacities.
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
     ('0x' || substr(md5(concat_ws('|', '42', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
   FROM documents
 ), s AS (
@@ -196,5 +197,6 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
     rows = _rows(docs, seed, True)
     times = stored(mix(rows).where("taken > 0").select("row", (F.col("taken") / F.col("size")).cast("int").alias("times")), "mix-times")
-    return (rows.select("row", "doc").join(times, "row")
+    # a merge join at every size: the plan does not turn with the number of documents
+    return (rows.select("row", "doc").join(times.hint("merge"), "row")
             .select("doc", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("doc.*"))

@@ -98,7 +98,7 @@ def signatures(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, n_docs: int
         go = at < latest[own]
         at, rate, own, name, seed = at[go], rate[go], own[go], name[go], seed[go]
         first += points
-        points = int(max(1, min(2 * points, 1 << 9, (1 << 21) // max(1, len(own)))))
+        points = int(max(1, min(2 * points, 1 << 9, (1 << 19) // max(1, len(own)))))
     return sig.reshape(n_docs, PLACES)
 
 
@@ -131,14 +131,16 @@ def probability_jaccard(ids_a, count_a, ids_b, count_b) -> float:
 
 # --- on Spark ---------------------------------------------------------------
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """Stored: doc (all columns), row, doc_id, node (null without shingles), bands."""
-    fields = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.lit(0).cast("long").alias("row"),
-                         docs["doc_id"].cast("long").alias("doc_id")).schema
+def numbered(docs: DataFrame) -> DataFrame:
+    """Stored: doc (all columns) and a row number."""
+    return stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "near-rows")
 
+
+def sketched(rows: DataFrame) -> DataFrame:
+    """Stored: row, doc_id, node (null without shingles), bands."""
     def run(batches):
         for b in batches:
-            for lo, hi, texts in text_slices(b.column(3), 1_500_000):
+            for lo, hi, texts in text_slices(b.column(2), 1_000_000):
                 doc, ids, count = shingles(texts)
                 n = hi - lo
                 bands = band_keys(signatures(doc, ids, count, n)).astype(np.int64)
@@ -146,14 +148,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 node = np.zeros(n, np.uint64)
                 np.add.at(node, doc, term)
                 empty = np.bincount(doc, minlength=n) == 0
-                rows = [None if e else r for e, r in zip(empty, bands)]
+                keys = [None if e else r for e, r in zip(empty, bands)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(i)[lo:hi] for i in range(3)], pa.array(mix64(node).astype(np.int64), mask=empty), pa.array(rows, pa.list_(pa.int64()))],
-                    ["doc", "row", "doc_id", "node", "bands"])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["node long, bands array<long>"])
-    return stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"),
-                              docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("_text"))
-                  .mapInArrow(run, schema), "near-rows")
+                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(mix64(node).astype(np.int64), mask=empty), pa.array(keys, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "node", "bands"])
+    return stored(rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+                  .mapInArrow(run, "row long, doc_id long, node long, bands array<long>"), "near-sketches")
 
 
 def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -182,16 +182,16 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return stored(joined.mapInArrow(run, "a long, b long"), "near-links")
 
 
-def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def classes(rows: DataFrame, sketch: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) of the nodes that are linked to another one."""
-    members = rows.where("node is not null").select("node", F.explode("bands").alias("key"))
+    members = sketch.where("node is not null").select("node", F.explode("bands").alias("key"))
     buckets = (members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
                .where("least < most").select("key"))
     inside = stored(members.join(stored(buckets, "near-buckets"), "key").distinct(), "near-inside")
     size = stored(inside.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
     # how many nodes a node meets: an original meets more than its edited copies
     hub = inside.join(size, "key").groupBy("node").agg(F.sum(F.col("n") - 1).alias("meets"))
-    first = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).join(hub, "node")
+    first = sketch.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).join(hub, "node")
     texts = stored(rows.select("row", F.col("doc.text").cast("string").alias("text"))
                    .join(stored(first, "near-first").hint("merge"), "row").select("node", "meets", "text"), "near-texts")
     inside = stored(inside.join(size, "key").join(texts.select("node", "meets"), "node"), "near-members")
@@ -225,9 +225,10 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """row, doc_id, class_id (smallest doc_id of the class), class_size, kept."""
-    label = classes(rows, similarity)
+    sketch = sketched(rows)
+    label = classes(rows, sketch, similarity)
     # rows without shingles are classes of their own, below all node labels
-    named = stored(rows.select("row", "doc_id", "node").join(label, "node", "left").select(
+    named = stored(sketch.select("row", "doc_id", "node").join(label, "node", "left").select(
         "row", "doc_id", F.when(F.col("node").isNull(), F.struct(F.lit(0).alias("k"), F.col("row").alias("v")))
         .otherwise(F.struct(F.lit(1).alias("k"), F.coalesce("label", "node").alias("v"))).alias("c")), "near-named")
     last = F.lit((1 << 63) - 1)
@@ -242,11 +243,11 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept."""
-    return near_duplicates(sketched(docs.select("doc_id", "text"))).select("doc_id", "class_id", "class_size", "kept")
+    return near_duplicates(numbered(docs.select("doc_id", "text"))).select("doc_id", "class_id", "class_size", "kept")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
-    rows = sketched(docs)
+    rows = numbered(docs)
     gone = stored(near_duplicates(rows).where("not kept").select("row"), "near-gone")
     return rows.join(gone, "row", "left_anti").select("doc.*")

@@ -36,6 +36,7 @@ LANES, STEPS = 4096, 128      # ids per segment: LANES * STEPS
 BLOCK_IDS = 1 << 20           # a block is closed by the document that reaches this
 LOW = 1 << 31                 # coder states lie in [LOW, LOW << 32)
 HEAD = struct.Struct("<4sHHIIqqIII")
+MEMO = 1_600_000              # chunks that a Python worker remembers
 MAGIC, VERSION = b"rANS", 1
 
 IDS_SCHEMA = "doc_id long, ids binary"
@@ -163,7 +164,7 @@ def unpack_block(payload: bytes, table: Table, slots: np.ndarray) -> tuple[list,
 def tokenise(docs: DataFrame, path: str, keep_blank: bool, end_id: int) -> DataFrame:
     """doc_id and its uint16 ids (with the end id) of every whole text."""
     def run(batches):
-        enc = encoder(path, keep_blank)
+        enc = encoder(path, keep_blank, MEMO)
         for b in batches:
             for lo, hi, texts in text_slices(b.column(1)):
                 ids = [x.tobytes() for x in enc.encode(texts, end_id)]

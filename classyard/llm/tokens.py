@@ -58,7 +58,7 @@ class _Codes(dict):
 class ChunkEncoder:
     """Encoder of texts into uint16 id arrays with a bounded memo of chunks."""
 
-    def __init__(self, path: str, keep_blank: bool, memo: int = 1_600_000):
+    def __init__(self, path: str, keep_blank: bool, memo: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -176,11 +176,12 @@ class ChunkEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, keep_blank: bool) -> ChunkEncoder:
-    """One encoder per Python worker: its memo serves all tasks of the worker."""
-    key = (path, keep_blank)
+def encoder(path: str, keep_blank: bool, memo: int = 600_000) -> ChunkEncoder:
+    """One encoder per Python worker: its memo (about 160 bytes a chunk) serves
+    all tasks of the worker."""
+    key = (path, keep_blank, memo)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, keep_blank)
+        _ENCODERS[key] = ChunkEncoder(path, keep_blank, memo)
     return _ENCODERS[key]
 
 
