@@ -143,6 +143,7 @@ def binary_collapse(cm: DataFrame, benign: DataFrame) -> DataFrame:
         F.sum(F.when(~yb & pb, F.col("n")).otherwise(0)).alias("fn"))
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     prec, rec = safe_div(tp, tp + fp), safe_div(tp, tp + fn)
+    # The column names that result records carry.
     return s.select(
         *KEYS, tp.alias("tp_malicious_caught"), tn.alias("tn_benign_passed"),
         fp.alias("fp_benign_flagged_as_attack"), fn.alias("fn_attack_missed_as_benign"),

@@ -31,8 +31,13 @@ def _long(df: DataFrame, feats: list[str], label: str = "label") -> DataFrame:
 
 def anova_f(df: DataFrame, feats: list[str], label: str = "label") -> DataFrame:
     """One-way ANOVA F per feature vs the label; NaN (zero within-variance) -> 0."""
-    lg = _long(df, feats, label)
-    g = lg.groupBy("fi", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    # one row per class with all sums; only those K rows are unpivoted
+    wide = df.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.sum(F.col(f).cast("double")).alias("s"), F.sum(F.col(f).cast("double") * F.col(f)).alias("ss")).alias(f"a{i}")
+        for i, f in enumerate(feats)])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("fi"), F.col(f"a{i}.s").alias("s"), F.col(f"a{i}.ss").alias("ss"))
+                               for i in range(len(feats))]))
+    g = wide.select("y", "n", each.alias("e")).select("y", "n", "e.fi", "e.s", "e.ss")
     t = g.groupBy("fi").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"), F.sum("ss").alias("ss_all"),
                             F.count(F.lit(1)).alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b_all"))
     ssb = F.col("b_all") - F.col("s_all") * F.col("s_all") / F.col("n_all")

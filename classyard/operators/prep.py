@@ -59,9 +59,16 @@ def fill_zero(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- F6
+MAX_CLASSES = 10_000
+
+
 def class_levels(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct class names (K rows reach the driver, never the data)."""
-    return sorted(r[0] for r in df.select(col).distinct().collect())
+    """Sorted distinct class names; a target with more than MAX_CLASSES values
+    is no class label, and everything that is sized by K relies on this bound."""
+    found = df.select(col).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{col} has more than {MAX_CLASSES} values")
+    return sorted(r[0] for r in found)
 
 
 def label_encode(df: DataFrame, col: str, levels: list[str], out: str = "label") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from classyard.operators import evaluate as ev
 
+# One golden confusion matrix and its class names.
 CM = [[3531, 471, 0, 51, 298, 0],
       [231, 35554, 0, 3271, 21, 0],
       [1, 21, 89, 72, 1, 0],
