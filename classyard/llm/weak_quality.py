@@ -83,7 +83,7 @@ def rules() -> dict[str, Column]:
     """name -> vote; every rule abstains between its two bounds."""
     n, chars = F.col("n_words"), F.col("word_chars")
     each = {
-        "length": (n, 40, 20, True), "word_length": (F.try_divide(chars, n), None, None, None),
+        "length": (n, 40, 10, True), "word_length": (F.try_divide(chars, n), None, None, None),
         "symbols": (F.try_divide(F.col("n_symbols"), n), 0.03, 0.10, False), "symbol_share": (F.try_divide(F.col("n_symbols"), chars), 0.01, 0.04, False),
         "letters": (F.try_divide(F.col("n_letters"), chars), 0.92, 0.85, True), "dup_lines": (F.try_divide(F.col("n_dup_lines"), F.col("n_lines")), 0.10, 0.30, False),
         "repeats": (F.try_divide(F.col("n_repeat_words"), n), 0.05, 0.15, False), "upper": (F.try_divide(F.col("n_upper"), chars), 0.15, 0.30, False),
