@@ -79,7 +79,9 @@ class ChunkEncoder:
     def _reset(self):
         self.codes = _Codes()
         self.ids = np.empty(1 << 16, np.uint16)
-        self.offsets = np.zeros(1 << 14, np.int64)   # chunk c: ids[offsets[c]:offsets[c+1]]
+        self.filled = 0
+        # chunk c: size[c] ids from start[c] on
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = np.zeros(0, np.int64)
 
     def _prune(self):
@@ -91,10 +93,12 @@ class ChunkEncoder:
         codes = _Codes()
         for k, c in enumerate(keep.tolist()):
             codes[names[c]] = k
-        lo, n = self.offsets[keep], self.offsets[keep + 1] - self.offsets[keep]
+        lo, n = self.start[keep], self.size[keep]
         stop = np.cumsum(n)
-        self.ids = np.concatenate([self.ids[np.repeat(lo - (stop - n), n) + np.arange(int(n.sum()))], np.zeros(1 << 16, np.uint16)])
-        self.offsets = np.concatenate([[0], stop, np.zeros(1 << 14, np.int64)]).astype(np.int64)
+        self.filled = int(stop[-1]) if len(stop) else 0
+        self.ids = np.concatenate([self.ids[np.repeat(lo - (stop - n), n) + np.arange(self.filled)], np.zeros(1 << 16, np.uint16)])
+        self.start = np.concatenate([stop - n, np.zeros(1 << 14, np.int64)])
+        self.size = np.concatenate([n, np.zeros(1 << 14, np.int64)])
         self.used, self.codes = used[keep] // 2, codes
 
     def _chunks(self, text: str) -> list[str]:
@@ -109,45 +113,49 @@ class ChunkEncoder:
     def _single(self, chunk: str) -> str | None:
         """The model's spelling of a chunk of Latin letters, else None."""
         word = chunk[1:] if self.keep_blank and chunk[:1] == " " else chunk
-        if not word.isalpha() or max(word) >= "Ā":
+        if not word.isalpha():
+            return None
+        plain = word.isascii()
+        if not plain and max(word) >= "Ā":
             return None
         if not self.keep_blank:
             word = word.lower()
-        if not word.isascii():
+        if not plain:
             word = word.encode().decode("latin-1").translate(self.letters)
-        return word if len(word) and chunk[0] != " " else self.letters[32] + word
-
-    def _encode_each(self, chunks: list[str]) -> list[np.ndarray]:
-        words = [self._single(c) for c in chunks]
-        at = [k for k, w in enumerate(words) if w is not None]
-        out: list = [None] * len(chunks)
-        if at:
-            text = f" {self.joint} ".join([words[k] for k in at])
-            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-            cut = np.flatnonzero(ids == self.joint_id)
-            assert len(cut) == len(at) - 1
-            lo, hi = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(ids)]])
-            for k, a, b in zip(at, lo, hi):
-                out[k] = ids[a:b]
-        rest = [k for k, w in enumerate(words) if w is None]
-        if rest:
-            for k, e in zip(rest, self.tok.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False)):
-                out[k] = np.array(e.ids, np.int64)
-        return out
+        return self.letters[32] + word if chunk[0] == " " else word
 
     def _learn(self):
         new, self.codes.new = self.codes.new, []
         n1 = len(self.codes)
         n0 = n1 - len(new)
-        parts = self._encode_each(new)
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
-        while n1 + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros(len(self.offsets), np.int64)])
-        self.offsets[n0 + 1:n1 + 1] = self.offsets[n0] + np.cumsum(lens)
-        end = int(self.offsets[n1])
+        words = [self._single(c) for c in new]
+        size = np.zeros(len(new), np.int64)
+        start = np.zeros(len(new), np.int64)
+        at = np.flatnonzero(np.fromiter((w is not None for w in words), bool, len(words)))
+        ids = np.empty(0, np.uint16)
+        if len(at):
+            # one text of all words between joints; the ids between joints are the words'
+            text = f" {self.joint} ".join([w for w in words if w is not None])
+            raw = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+            joint = raw == self.joint_id
+            ids = raw[~joint]
+            last = np.append(np.flatnonzero(joint) - np.arange(len(at) - 1), len(ids))
+            size[at] = np.diff(last, prepend=0)
+            start[at] = last - size[at]
+        rest = np.flatnonzero(np.fromiter((w is None for w in words), bool, len(words)))
+        if len(rest):
+            lists = [e.ids for e in self.tok.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)]
+            size[rest] = [len(x) for x in lists]
+            start[rest] = len(ids) + np.cumsum(size[rest]) - size[rest]
+            ids = np.concatenate([ids, np.array([i for x in lists for i in x], np.uint16)])
+        while n1 > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.size))
+        self.start[n0:n1], self.size[n0:n1] = start + self.filled, size
+        end = self.filled + len(ids)
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint16)])
-        self.ids[int(self.offsets[n0]):end] = np.concatenate(parts)
+        self.ids[self.filled:end] = ids
+        self.filled = end
 
     def encode(self, texts, end_id: int) -> list[np.ndarray]:
         """One uint16 array per text, ``end_id`` appended; null is empty."""
@@ -164,8 +172,7 @@ class ChunkEncoder:
         if len(self.used) < len(self.codes):
             self.used = np.concatenate([self.used, np.zeros(len(self.codes) - len(self.used), np.int64)])
         self.used += np.bincount(code, minlength=len(self.used))
-        lo = self.offsets[code]
-        n = self.offsets[code + 1] - lo
+        lo, n = self.start[code], self.size[code]
         stop = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(lo - stop[:-1], n) + np.arange(stop[-1])]
         cuts = stop[np.concatenate([[0], np.cumsum(n_chunks, dtype=np.int64)])]
