@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, shards: in
                         row += 1
                         for c, v in zip(cols, (d, a, len(part), len(ids), part.tobytes(), row)):
                             c.append(v)
-                        if len(cols[0]) >= 20_000:
+                        if len(cols[0]) >= 2_000:
                             yield batch(cols)
                             cols = [[] for _ in range(6)]
                 yield batch(cols)
