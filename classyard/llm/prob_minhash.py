@@ -16,7 +16,9 @@ one centre only, the member that meets most others in all its buckets.  Where
 members of a bucket then remain in different components, buckets of up to SMALL
 nodes try the pairs between the components, larger ones compare all members with
 the best one outside the first centre's component; this goes on, linear in the
-members, until a round finds no new link.
+members, until a round finds no new link.  The members of larger buckets that
+are still of different components then meet by their rarest shingles: all pairs
+of them that can be similar enough are tried, whatever buckets they share.
 
 Texts with one to four words have one shingle of all of them; null or blank
 texts have none and are classes of their own.  Repeated rows are members of
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from classyard.llm.common import stored
@@ -182,6 +184,29 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return stored(joined.mapInArrow(run, "a long, b long"), "near-links")
 
 
+def rarest(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, shingle), stored: of each node its shingles in the order of their
+    number of nodes, up to a share 1 - similarity of its weight.  The common
+    shingles of two nodes hold at least their probability Jaccard similarity of
+    the weight of either, since a term 1 / sum_e max(a_e / a_d, b_e / b_d) is at
+    most a_d / sum_e a_e.  So the first common one of a similar pair is among
+    these of both.  Shingles of one node only join nothing and are left out."""
+    def run(batches):
+        for b in batches:
+            node = b.column(0).to_numpy()
+            for lo, hi, t in text_slices(b.column(1), 1_000_000):
+                doc, ids, count = shingles(t)
+                total = np.bincount(doc, count, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[lo:hi][doc]), pa.array(ids.astype(np.int64)), pa.array(count / total[doc])], ["node", "shingle", "share"])
+    every = stored(texts.select("node", "text").mapInArrow(run, "node long, shingle long, share double"), "near-shingles")
+    common = stored(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "near-common")
+    ranked = every.join(common.hint("merge"), "shingle", "left").withColumn("nodes", F.coalesce("nodes", F.lit(1)))
+    order = Window.partitionBy("node").orderBy("nodes", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    return stored(ranked.withColumn("before", F.coalesce(F.sum("share").over(order), F.lit(0.0)))
+                  .where((F.col("before") <= 1 - similarity + 1e-6) & (F.col("nodes") > 1)).select("node", "shingle"), "near-rarest")
+
+
 def classes(rows: DataFrame, sketch: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) of the nodes that are linked to another one."""
     members = sketch.where("node is not null").select("node", F.explode("bands").alias("key"))
@@ -215,12 +240,25 @@ def classes(rows: DataFrame, sketch: DataFrame, similarity: float = SIMILARITY)
         pairs = stored(small.unionByName(large).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
                        .distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
         if pairs.isEmpty():
-            return label
+            break
         new = verified(texts, pairs, similarity)
+        tried = tried.unionByName(pairs)
         if new.isEmpty():
-            return label
-        tried, links = tried.unionByName(pairs), links.unionByName(new)
+            break
+        links = links.unionByName(new)
         label = components(links)
+    # members of large buckets that no centre has linked: every pair that can be similar
+    rest = stored(open_.where(F.col("n") > SMALL).select("node", "label").distinct(), "near-rest")
+    if rest.isEmpty():
+        return label
+    rare = stored(rarest(texts.join(rest.select("node"), "node"), similarity).join(rest, "node"), "near-rare")
+    mixed = rare.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
+    rare = stored(rare.join(mixed, "shingle"), "near-rare")
+    pairs = (rare.join(rare.select("shingle", F.col("node").alias("other"), F.col("label").alias("other_label")), "shingle")
+             .where("label <> other_label and node < other").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    new = verified(texts, pairs, similarity)
+    return label if new.isEmpty() else components(links.unionByName(new))
 
 
 def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

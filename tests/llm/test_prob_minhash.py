@@ -95,3 +95,20 @@ def test_edges(spark):
     kept = N.deduplicated(df)
     assert kept.columns == df.columns and kept.count() == sum(r.kept for r in rows)
     assert N.near_classes(empty_docs(spark)).count() == 0
+
+
+def test_unlinked_families_in_large_buckets(spark):
+    """Documents around one long passage: all meet in large buckets, only twins are similar enough."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(204))
+    tail = lambda n: " ".join(f"t{rng.randrange(10 ** 9)}" for _ in range(n))
+    texts = [f"{passage} {tail(39)}" for _ in range(40)]
+    for _ in range(20):
+        both = tail(27)
+        texts += [f"{passage} {both} {tail(12)}" for _ in range(2)]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOC_SCHEMA)
+    want = brute_classes(texts)
+    assert len(set(want)) == 60
+    got = {r.doc_id: r.class_id for r in N.near_classes(df).collect()}
+    smallest = {c: min(k for k, d in enumerate(want) if d == c) for c in want}
+    assert got == {k: smallest[c] for k, c in enumerate(want)}
