@@ -16,6 +16,9 @@ the library's own encoding of whole texts).
   single blanks between non-white characters.
 * Both: a run of ASCII signs between a Latin letter and white space is a piece
   of its own.
+
+Texts that hold an added token of the tokenizer (``<|endoftext|>``) are encoded
+whole, as the library does by default.
 """
 from __future__ import annotations
 
@@ -62,7 +65,13 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = list(self.tok.get_added_tokens_decoder().values())
+        if any(a.normalized or not a.special for a in added):
+            raise ValueError("added tokens must be special and matched before normalisation")
+        self.added = [a.content for a in added]
+        # for chunks: folding case must not make an added token of <|ENDOFTEXT|>
+        self.part = Tokenizer.from_file(path)
+        self.part.encode_special_tokens = True
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("vocabulary does not fit 16-bit ids")
         self.keep_blank, self.memo = keep_blank, memo
@@ -144,7 +153,7 @@ class ChunkEncoder:
             start[at] = last - size[at]
         rest = np.flatnonzero(np.fromiter((w is None for w in words), bool, len(words)))
         if len(rest):
-            lists = [e.ids for e in self.tok.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)]
+            lists = [e.ids for e in self.part.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)]
             size[rest] = [len(x) for x in lists]
             start[rest] = len(ids) + np.cumsum(size[rest]) - size[rest]
             ids = np.concatenate([ids, np.array([i for x in lists for i in x], np.uint16)])
@@ -161,8 +170,11 @@ class ChunkEncoder:
         """One uint16 array per text, ``end_id`` appended; null is empty."""
         if len(self.codes) > self.memo:
             self._prune()
-        n_chunks, flat = [], []
-        for t in texts:
+        n_chunks, flat, whole = [], [], {}
+        for k, t in enumerate(texts):
+            if t and any(a in t for a in self.added):
+                whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint16)
+                t = None
             cs = self._chunks(t) if t else []
             n_chunks.append(len(cs))
             flat += cs
@@ -177,7 +189,7 @@ class ChunkEncoder:
         ids = self.ids[np.repeat(lo - stop[:-1], n) + np.arange(stop[-1])]
         cuts = stop[np.concatenate([[0], np.cumsum(n_chunks, dtype=np.int64)])]
         end = np.array([end_id], np.uint16)
-        return [np.concatenate([ids[a:b], end]) for a, b in zip(cuts[:-1], cuts[1:])]
+        return [np.concatenate([whole.get(k, ids[a:b]), end]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
 
 
 _ENCODERS: dict = {}

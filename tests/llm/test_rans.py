@@ -29,6 +29,16 @@ def test_chunked_encoding_equals_whole_text_encoding(path, blank):
     assert got == want
 
 
+@pytest.mark.parametrize("path,blank", [(WORD, False), (BYTE, True)])
+def test_special_tokens_as_the_library_encodes_them(path, blank):
+    from tokenizers import Tokenizer
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>", "a <|ENDOFTEXT|> b", "a <|endoftext| > b", "plain text", None,
+             "<|endoftext|><|endoftext|>\n\n c."]
+    fresh = Tokenizer.from_file(path)
+    want = [fresh.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert [x.tolist() for x in ChunkEncoder(path, blank).encode(texts, 1)] == want
+
+
 def test_block_round_trip_segments_and_damage():
     rng = np.random.default_rng(0)
     counts = np.bincount((rng.zipf(1.3, 700_000) % 50_000).astype(np.int64), minlength=1 << 16)
