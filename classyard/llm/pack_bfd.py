@@ -1,10 +1,11 @@
 """Packing documents into fixed-length sequences by best-fit decreasing.
 
-Documents are encoded and overlong ones first cut into full windows.  Pieces
-are dealt by a hash into shards of bounded size; each shard packs its remainders
-in decreasing length, and a segment tree over remaining capacities finds the
-tightest window that is still open.  Every shard leaves a handful of part-filled
-windows, so padding does not depend on the number of shards.
+Documents are encoded and overlong ones first cut into full windows, which are
+sequences as they are.  The remainders, at most one a document and shorter than
+a window, are dealt by a hash into shards of about SHARD_DOCS documents; each
+shard packs them in decreasing length, and a segment tree over remaining
+capacities finds the tightest window that is still open.  Every shard leaves a
+handful of part-filled windows, so padding does not depend on their number.
 
 Nulls: a null text is a document of the end id alone; a null ``doc_id`` is kept.
 Repeated rows are packed as often as they occur.  Ties (equal lengths, equally
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from classyard.llm.common import stored
 from classyard.llm.rans import as_bytes, as_crc32
 from classyard.llm.tokens import encoder, text_slices
 
 WINDOW = 1024
 SHARD_DOCS = 1024     # documents per shard, on average
-PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, shard long"
 
 
 class OpenWindows:
@@ -79,40 +80,50 @@ def best_fit_decreasing(lengths, size: int = WINDOW) -> tuple[list[int], list[in
     return windows, offsets
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, shards: int) -> DataFrame:
-    """Full windows and remainders of all documents, with their shard."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, shards: int,
+           what=as_bytes, field: str = "ids binary") -> DataFrame:
+    """Full windows with their sequence_id, and remainders with their shard, of
+    all documents; ``field`` is ``what`` of the ids."""
+    name, kind = field.split()
+
     def run(batches):
         from pyspark import TaskContext
-        enc, row = encoder(tokenizer, True), TaskContext.get().partitionId() * 7919
+        part = TaskContext.get().partitionId()
+        enc, row, full = encoder(tokenizer, True), part * 7919, (shards + part) << 32
         for b in batches:
             docs_ = b.column(0).to_pylist()
             for lo, hi, texts in text_slices(b.column(1)):
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(7)]
                 for d, ids in zip(docs_[lo:hi], enc.encode(texts, end_id)):
                     for a in range(0, len(ids), window):
-                        part = ids[a:a + window]
-                        row += 1
-                        for c, v in zip(cols, (d, a, len(part), len(ids), part.tobytes(), row)):
+                        ids_ = ids[a:a + window]
+                        if len(ids_) == window:
+                            place = (None, full)
+                            full += 1
+                        else:
+                            # consecutive remainders go to different shards, the same ones on a retry
+                            row += 1
+                            place = (((row * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 20) % shards, None)
+                        for c, v in zip(cols, (d, a, len(ids_), len(ids), what(ids_), *place)):
                             c.append(v)
                         if len(cols[0]) >= 2_000:
                             yield batch(cols)
-                            cols = [[] for _ in range(6)]
+                            cols = [[] for _ in range(7)]
                 yield batch(cols)
 
     def batch(cols):
-        # consecutive pieces go to different shards, the same ones on a retry
-        shard = (np.array(cols[5], np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(shards)
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)] + [pa.array(shard.astype(np.int64))],
-                                          ["doc_id", "start", "length", "doc_tokens", "ids", "shard"])
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(run, PIECE_SCHEMA)
+        kinds = [pa.int64()] * 4 + [pa.binary() if kind == "binary" else pa.int64()] + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                          ["doc_id", "start", "length", "doc_tokens", name, "shard", "sequence_id"])
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(
+        run, f"doc_id long, start long, length long, doc_tokens long, {field}, shard long, sequence_id long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
          what=as_bytes, field: str = "ids binary") -> DataFrame:
     """Every piece with its sequence_id, its offset there and ``field``, which
     is ``what`` of its ids (the ids themselves, if nothing else is said)."""
-    name, kind = field.split()
+    name = field.split()[0]
     shards = max(1, -(-docs.count() // SHARD_DOCS))
 
     def run(table: pa.Table) -> pa.Table:
@@ -120,20 +131,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
         length = table["length"].to_numpy()
         null = np.array(table["doc_id"].is_null().to_pylist(), bool)
         doc = table["doc_id"].fill_null(0).to_numpy()
-        start = table["start"].to_numpy()
-        order = np.lexsort((start, doc, ~null, -length))
-        n_full = int(np.count_nonzero(length == window))
-        w, off = best_fit_decreasing(length[order[n_full:]].tolist(), window)
+        order = np.lexsort((table["start"].to_numpy(), doc, ~null, -length))
+        w, off = best_fit_decreasing(length[order].tolist(), window)
         shard = table["shard"][0].as_py() if len(order) else 0
-        seq = np.concatenate([np.arange(n_full), n_full + np.array(w, np.int64)]).astype(np.int64) + (shard << 32)
-        out = table.take(pa.array(order)).drop_columns(["shard"])
-        ids = [what(np.frombuffer(x.as_buffer(), np.uint16)) for x in out["ids"]]
-        k = out.schema.get_field_index("ids")
-        out = out.set_column(k, name, pa.array(ids, pa.binary() if kind == "binary" else pa.int64()))
-        return (out.append_column("sequence_id", pa.array(seq))
-                .append_column("offset", pa.array(np.concatenate([np.zeros(n_full, np.int64), np.array(off, np.int64)]))))
-    return pieces(docs, tokenizer, end_id, window, shards).groupBy("shard").applyInArrow(
-        run, f"doc_id long, start long, length long, doc_tokens long, {field}, sequence_id long, offset long")
+        out = table.take(pa.array(order)).drop_columns(["shard", "sequence_id"])
+        return (out.append_column("sequence_id", pa.array(np.array(w, np.int64) + (shard << 32)))
+                .append_column("offset", pa.array(np.array(off, np.int64))))
+    every = stored(pieces(docs, tokenizer, end_id, window, shards, what, field), "pack-pieces")
+    whole = (every.where("shard is null")
+             .select("doc_id", "start", "length", "doc_tokens", name, "sequence_id", F.lit(0).cast("long").alias("offset")))
+    return whole.unionByName(every.where("shard is not null").groupBy("shard").applyInArrow(
+        run, f"doc_id long, start long, length long, doc_tokens long, {field}, sequence_id long, offset long"))
 
 
 def sequences(packed: DataFrame, pad_id: int = 0, window: int = WINDOW) -> DataFrame:

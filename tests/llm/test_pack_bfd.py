@@ -8,7 +8,7 @@ import public_tokenizers
 from classyard.llm import pack_bfd as P
 from classyard.llm.tokens import ChunkEncoder
 
-from .util import edge_docs, empty_docs
+from .util import DOC_SCHEMA, edge_docs, empty_docs
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -70,3 +70,19 @@ def test_pack_round_trip(spark):
     s = P.sequences(P.pack(df, BYTE)).collect()
     assert len(s) == len(seqs) and all(len(r.ids) == 2 * P.WINDOW for r in s)
     assert P.pack(empty_docs(spark), BYTE).count() == 0
+
+
+def test_full_windows_are_in_no_group(spark):
+    """A group holds remainders only, however long the documents are."""
+    texts = ["word " * 30_000, "word " * 50_000, "short one", None]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOC_SCHEMA)
+    rows = P.pieces(df, BYTE, 0, P.WINDOW, 1).collect()
+    full = [r for r in rows if r.length == P.WINDOW]
+    assert len(full) > 50 and all(r.shard is None for r in full)
+    assert len({r.sequence_id for r in full}) == len(full)
+    assert len([r for r in rows if r.shard is not None]) <= len(texts)
+    packed = P.pack(df, BYTE).collect()
+    fill = defaultdict(int)
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert len(packed) == len(rows) and max(fill.values()) <= P.WINDOW
