@@ -102,13 +102,26 @@ def test_unlinked_families_in_large_buckets(spark):
     rng = random.Random(3)
     passage = " ".join(f"p{k}" for k in range(204))
     tail = lambda n: " ".join(f"t{rng.randrange(10 ** 9)}" for _ in range(n))
-    texts = [f"{passage} {tail(39)}" for _ in range(40)]
-    for _ in range(20):
-        both = tail(27)
-        texts += [f"{passage} {both} {tail(12)}" for _ in range(2)]
+    texts = [f"{passage} {tail(27)}" for _ in range(10)]
+    for _ in range(16):
+        both = tail(3)
+        texts += [f"{passage} {both} {tail(24)}" for _ in range(2)]
     df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOC_SCHEMA)
     want = brute_classes(texts)
-    assert len(set(want)) == 60
+    assert len(set(want)) == 26
     got = {r.doc_id: r.class_id for r in N.near_classes(df).collect()}
     smallest = {c: min(k for k, d in enumerate(want) if d == c) for c in want}
     assert got == {k: smallest[c] for k, c in enumerate(want)}
+
+
+def test_rarest_shingles_meet_in_every_similar_pair(spark):
+    rng = random.Random(5)
+    texts = [words(rng, 150, 60) for _ in range(6)]
+    texts += [edited(rng, texts[k % 6], 0.01 + 0.004 * (k % 5)) for k in range(24)]
+    rows = N.rarest(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), N.SIMILARITY).collect()
+    rare = defaultdict(set)
+    for r in rows:
+        rare[r.node].add(r.shingle)
+    sets = [multiset(t) for t in texts]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if slow_similarity(sets[a], sets[b]) >= N.SIMILARITY]
+    assert pairs and all(rare[a] & rare[b] for a, b in pairs)
