@@ -56,11 +56,18 @@ def op10_weak_quality(spark, sf_dir):
     return judge(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_rollup(spark, sf_dir):
+    from classyard.llm.prefix_rollup import node_digests
+    return node_digests(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op5_prob_minhash, op6_pack_bfd, op7_tool_links, op8_suffix_runs, op9_ordinal_toxicity, op10_weak_quality]
+    fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op5_prob_minhash, op6_pack_bfd, op7_tool_links, op8_suffix_runs, op9_ordinal_toxicity, op10_weak_quality,
+           op12_prefix_rollup]
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
-    from classyard.llm import fuse_dedup, mix_flow, tool_chat
-    return {"op3_fuse_dedup": fuse_dedup.ORACLE_SQL, "op4_flow_mix": mix_flow.ORACLE_SQL, "op7_tool_links": tool_chat.ORACLE_SQL}
+    from classyard.llm import fuse_dedup, mix_flow, prefix_rollup, tool_chat
+    return {"op3_fuse_dedup": fuse_dedup.ORACLE_SQL, "op4_flow_mix": mix_flow.ORACLE_SQL, "op7_tool_links": tool_chat.ORACLE_SQL,
+            "op12_prefix_rollup": prefix_rollup.ORACLE_SQL}
