@@ -61,13 +61,19 @@ def op12_prefix_rollup(spark, sf_dir):
     return node_digests(read(spark, sf_dir, "conversations"))
 
 
+def op13_part_enum(spark, sf_dir):
+    from classyard.llm.spelling_enum import corpus_variants
+    return corpus_variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op5_prob_minhash, op6_pack_bfd, op7_tool_links, op8_suffix_runs, op9_ordinal_toxicity, op10_weak_quality,
-           op12_prefix_rollup]
+           op12_prefix_rollup, op13_part_enum]
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
-    from classyard.llm import fuse_dedup, mix_flow, prefix_rollup, tool_chat
+    from classyard.llm import fuse_dedup, mix_flow, prefix_rollup, spelling_enum, tool_chat
     return {"op3_fuse_dedup": fuse_dedup.ORACLE_SQL, "op4_flow_mix": mix_flow.ORACLE_SQL, "op7_tool_links": tool_chat.ORACLE_SQL,
-            "op12_prefix_rollup": prefix_rollup.ORACLE_SQL}
+            "op12_prefix_rollup": prefix_rollup.ORACLE_SQL,
+            "op13_part_enum": spelling_enum.ORACLE_SQL}
