@@ -56,7 +56,7 @@ def documents():
         words.append(s[1] + s[0] + s[2:])
     docs = [(k, " ".join(rng.choices(words, [1 + 4000 / (1 + j) ** 2 for j in range(len(words))], k=300)).title() + ", x1y") for k in range(60)]
     chain = ["chained", "chainedd", "chaineddd"]
-    docs += [(100 + k, " ".join([chain[k]] * 3 * 20 ** k)) for k in range(3)]
+    docs += [(100 + 10 * k + j, " ".join([chain[k]] * 3 * 20 ** k)) for k in range(3) for j in range(5)]
     return docs + [(None, "Chained-chained"), (200, None), (201, ""), (202, " \n"), docs[0], (203, "lengthy " * 20000)]
 
 
