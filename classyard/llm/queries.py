@@ -56,6 +56,11 @@ def op10_weak_quality(spark, sf_dir):
     return judge(read(spark, sf_dir, "documents"))
 
 
+def op11_trie_join(spark, sf_dir):
+    from classyard.llm.trie_join import linked
+    return linked(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_rollup(spark, sf_dir):
     from classyard.llm.prefix_rollup import node_digests
     return node_digests(read(spark, sf_dir, "conversations"))
@@ -68,12 +73,12 @@ def op13_part_enum(spark, sf_dir):
 
 def queries() -> dict:
     fns = [op1_rans_tokens, op2_url_logreg, op3_fuse_dedup, op4_flow_mix, op5_prob_minhash, op6_pack_bfd, op7_tool_links, op8_suffix_runs, op9_ordinal_toxicity, op10_weak_quality,
-           op12_prefix_rollup, op13_part_enum]
+           op11_trie_join, op12_prefix_rollup, op13_part_enum]
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
-    from classyard.llm import fuse_dedup, mix_flow, prefix_rollup, spelling_enum, tool_chat
+    from classyard.llm import fuse_dedup, mix_flow, prefix_rollup, spelling_enum, tool_chat, trie_join
     return {"op3_fuse_dedup": fuse_dedup.ORACLE_SQL, "op4_flow_mix": mix_flow.ORACLE_SQL, "op7_tool_links": tool_chat.ORACLE_SQL,
             "op12_prefix_rollup": prefix_rollup.ORACLE_SQL,
-            "op13_part_enum": spelling_enum.ORACLE_SQL}
+            "op11_trie_join": trie_join.ORACLE_SQL, "op13_part_enum": spelling_enum.ORACLE_SQL}
