@@ -1,38 +1,48 @@
-"""Exact k-nearest-neighbour join: M36 (knn5), M37 (knn15_distance), and the
-neighbour table reused by bagging-kNN (M19) and label spreading (M39).
-
-Plan: rows of both sides are hashed into blocks; the block grid
-(test_block x train_block) is the cogroup key, so each task holds one test
-block and one train block (bounded by the block size, not by the data).
-Inside the task NumPy computes squared distances feature by feature and emits
-only the k closest train rows per test row.  A second, per-test-row window
-keeps the global k among the B partial lists (k x B rows per test row).
-
-Shuffle volume is test_rows x B + train_rows x T; the output is k x B rows
-per test row.  Distances are rounded to 10 decimals and ties are broken by
-the train row id, so the neighbour set is a deterministic function of the
-data (and matches the SQL formulation).
+"""Exact k-nearest-neighbour join by pruned cells: M36 (knn5), M37
+(knn15_distance), and the neighbour table reused by bagging-kNN (M19) and label
+spreading (M39).
+
+Train rows belong to the cell of their nearest pivot; pivots are the train rows of
+least hash, at most ``MAX_PIVOTS`` of them.  A cell's radius and the planes halfway
+between pivots bound the distance of a test row to everything in a cell from
+below (triangle inequality).  Two rounds:
+
+1. A test row meets its own cell; its k-th distance there bounds the final one.
+2. It visits the other cells whose lower bound does not exceed that distance.
+
+Cells are dealt to buckets (cells beyond ``BLOCK_ROWS`` in parts), a bucket is a
+task, and a test row goes to a bucket once with the list of cells that it visits
+there.  So a train row is moved once a round and a test row once per bucket that it
+needs: one where cells separate, at worst (many features without structure) all.
+Buckets with many visits are split by test rows; train rows are copied then, at
+about the number of the visits.  Inside a task NumPy computes distances in tiles
+and keeps the k best per test row and bucket; a window per test row
+takes the k best of these.
+
+Distances are rounded to 10 decimals and ties are broken by the train row id, so
+the neighbour set is a deterministic function of the data (and matches the SQL
+formulation).  Pivots only decide what is looked at.
 """
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from classyard.operators.models.base import Ctx, Estimator, Fitted
 
-NB_SCHEMA = "row_id long, y int, nb_row long, nb_label int, d2 double"
-BLOCK_ROWS = 20_000      # target rows of one side per block
+BLOCK_ROWS = 20_000      # train rows that need no cells; most rows of a part of a cell
+CELL_ROWS = 512          # train rows per cell
+MAX_PIVOTS = 4096        # cells; their pivots and radii are the model that tasks receive
+TASK_PAIRS = 20_000_000  # (train, test) pairs that a task should not exceed
+TILE = 2_000_000         # distances held at once
 ROUND = 10
 
 
-def _blocks(n: int) -> int:
-    return max(1, math.ceil(n / BLOCK_ROWS))
-
-
 def _topk_idx(d2: np.ndarray, kk: int) -> np.ndarray:
     """Column indices of the kk smallest values per row, ties by column order.
 
@@ -51,72 +61,233 @@ def _topk_idx(d2: np.ndarray, kk: int) -> np.ndarray:
     return idx
 
 
-def _partial_topk(k: int, features: list[str]):
-    def fn(te: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
-        if te.empty or tr.empty:
-            return pd.DataFrame({c: [] for c in ("row_id", "y", "nb_row", "nb_label", "d2")})
-        xt = te[features].to_numpy(np.float64)
-        xr = tr[features].to_numpy(np.float64)
-        rid = tr["row_id"].to_numpy(np.int64)
-        order = np.argsort(rid, kind="stable")           # tie-break by train row id
-        xr, rid, lab = xr[order], rid[order], tr["label"].to_numpy(np.int32)[order]
-        kk = min(k, len(rid))
-        outs = []
-        step = max(1, 4_000_000 // max(1, len(rid)))     # bound the distance tile in memory
-        for s in range(0, len(xt), step):
-            blk = xt[s:s + step]
-            d2 = np.zeros((len(blk), len(rid)))
-            for j in range(xt.shape[1]):                 # left-to-right sum, as in SQL
-                diff = blk[:, j:j + 1] - xr[None, :, j]
-                d2 += diff * diff
-            d2 = np.round(d2, ROUND)
-            idx = _topk_idx(d2, kk)
-            rows = np.repeat(np.arange(len(blk)), kk)
-            outs.append(pd.DataFrame({
-                "row_id": te["row_id"].to_numpy(np.int64)[s:s + step][rows],
-                "y": te["y"].to_numpy(np.int32)[s:s + step][rows],
-                "nb_row": rid[idx.ravel()], "nb_label": lab[idx.ravel()],
-                "d2": d2[rows, idx.ravel()]}))
-        return pd.concat(outs, ignore_index=True)
+def _squares(X: np.ndarray, P: np.ndarray) -> np.ndarray:
+    """Squared distances, summed over features from left to right as in SQL."""
+    d2 = np.zeros((len(X), len(P)))
+    for j in range(X.shape[1]):
+        diff = X[:, j:j + 1] - P[None, :, j]
+        d2 += diff * diff
+    return d2
+
+
+def _matrix(batch, columns: list[str]) -> np.ndarray:
+    cols = [batch.column(c) for c in columns]
+    return np.stack([np.asarray(c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy(), np.float64) for c in cols], axis=1)
+
+
+class Cells:
+    """Pivots, radii and the layout of cells in buckets."""
+
+    def __init__(self, pivots: np.ndarray, n_train: int):
+        self.pivots = pivots
+        self.between = np.sqrt(_squares(pivots, pivots)) if len(pivots) > 1 else np.zeros((1, 1))
+        self.buckets = 1 if len(pivots) == 1 else max(1, math.ceil(4 * n_train / BLOCK_ROWS))
+        self.radius = self.unit_cell = self.unit_bucket = None
+
+    def measured(self, radius: np.ndarray, rows: np.ndarray) -> None:
+        """Radius and rows of each cell are known: lay out parts."""
+        self.radius = np.where(np.isnan(radius), np.inf, radius)
+        self.parts = np.maximum(1, -(-rows // BLOCK_ROWS)).astype(np.int64)
+        self.unit_cell = np.repeat(np.arange(len(rows)), self.parts)
+        part = np.arange(len(self.unit_cell)) - np.repeat(np.cumsum(self.parts) - self.parts, self.parts)
+        self.unit_bucket = self.bucket(self.unit_cell, part)
+        self.live = rows > 0
+
+    def bucket(self, cell: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (cell * 31 + part * 17) % self.buckets
+
+    def nearest(self, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance to its pivot) of each row."""
+        cell, dist = np.zeros(len(X), np.int64), np.zeros(len(X))
+        if len(self.pivots) == 1:
+            return cell, dist
+        step = max(1, TILE // len(self.pivots))
+        for s in range(0, len(X), step):
+            d2 = _squares(X[s:s + step], self.pivots)
+            cell[s:s + step] = c = d2.argmin(axis=1)
+            dist[s:s + step] = np.sqrt(d2[np.arange(len(c)), c])
+        return cell, dist
+
+    def needed(self, X: np.ndarray, own: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """(rows, cells): may the cell hold a row at squared distance ``kth`` or less?"""
+        d = np.sqrt(_squares(X, self.pivots))
+        mine = d[np.arange(len(X)), own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d * d - (mine * mine)[:, None]) / (2 * self.between[own])
+            low = np.maximum(d - self.radius[None, :], np.where(self.between[own] > 0, plane, 0.0))
+            low = np.maximum(low, 0.0) - 1e-9 * (1 + d)
+            far = (low > 0) & (low * low > (kth * (1 + 1e-9) + 1e-9)[:, None])
+        return ~far & self.live[None, :]
+
+
+def _found_schema(g: list[str], more: str = "") -> str:
+    return "".join(f"{c} long, " for c in g) + "row_id long, y int, " + more + "nb_row array<long>, nb_label array<int>, d2 array<double>"
+
+
+def _ragged(values: np.ndarray, owner: np.ndarray, n: int, kind) -> pa.ListArray:
+    offsets = np.zeros(n + 1, np.int32)
+    np.cumsum(np.bincount(owner, minlength=n), out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def _bucket_topk(k: int, features: list[str], g: list[str], carry: bool):
+    """Task of one bucket: per test row the k best among the cells it visits here."""
+    def fn(test: pa.Table, train: pa.Table) -> pa.Table:
+        train = train.sort_by([("cell", "ascending"), ("row_id", "ascending")])     # ties by row id
+        xt, xr = _matrix(test, features), _matrix(train, features)
+        rid, lab = train["row_id"].to_numpy(), train["label"].to_numpy()
+        cell = train["cell"].to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else np.zeros(1, int)
+        lists = test["cells"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        off = lists.offsets.to_numpy().astype(np.int64)
+        who = np.repeat(np.arange(test.num_rows), np.diff(off))
+        wants = lists.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]] if len(off) else np.zeros(0, np.int64)
+        order = np.argsort(wants, kind="stable")
+        who, wants = who[order], wants[order]
+        rows, dist, ids, labels = [], [], [], []
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            a, b = np.searchsorted(wants, [cell[lo], cell[lo] + 1])
+            kk, step = min(k, hi - lo), max(1, TILE // (hi - lo))
+            for s in range(a, b, step):
+                w = who[s:min(b, s + step)]
+                d2 = np.round(_squares(xt[w], xr[lo:hi]), ROUND)
+                idx = _topk_idx(d2, kk)
+                rows.append(np.repeat(w, kk))
+                dist.append(np.take_along_axis(d2, idx, 1).ravel())
+                ids.append(rid[lo:hi][idx].ravel())
+                labels.append(lab[lo:hi][idx].ravel())
+        n = test.num_rows
+        rows, dist, ids, labels = (np.concatenate(x) if x else np.zeros(0, t) for x, t in (
+            (rows, np.int64), (dist, float), (ids, np.int64), (labels, np.int32)))
+        order = np.lexsort((ids, dist, rows))
+        rows, dist, ids, labels = rows[order], dist[order], ids[order], labels[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < k
+        rows, dist, ids, labels = rows[keep], dist[keep], ids[keep], labels[keep]
+        out = {c: test[c] for c in g + ["row_id", "y"]}
+        if carry:
+            out |= {c: test[c] for c in features + ["cell", "bucket"]}
+        out |= {"nb_row": _ragged(ids, rows, n, pa.int64()), "nb_label": _ragged(labels, rows, n, pa.int32()),
+                "d2": _ragged(dist, rows, n, pa.float64())}
+        return pa.table(out)
     return fn
 
 
+def _meet(test: DataFrame, train: DataFrame, cells: Cells, k: int, features: list[str], g: list[str], n_train: int, carry: bool) -> DataFrame:
+    """Partial results of all (bucket, test row) pairs; buckets with many visits
+    are split by test rows."""
+    at = g + ["bucket"]
+    rows = max(1, n_train // cells.buckets)
+    visits = test.groupBy(*at).agg(F.count(F.lit(1)).alias("visits"))
+    split = F.greatest(F.ceil(F.col("visits") * F.lit(rows) / TASK_PAIRS), F.ceil(F.col("visits") / BLOCK_ROWS)).cast("int")
+
+    def dealt(df, salt):                 # fresh aliases: both sides join the same counts
+        parts = visits.select(*[F.col(c).alias(f"at_{c}") for c in at], split.alias("split"))
+        df = df.join(parts, [F.col(c) == F.col(f"at_{c}") for c in at])
+        return df.select(*[F.col(c).alias(c) for c in df.columns if not c.startswith("at_") and c != "split"], salt.alias("salt"))
+    te = dealt(test, F.pmod(F.xxhash64("row_id"), F.col("split")).cast("int"))
+    tr = dealt(train, F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
+    more = "".join(f"{f} double, " for f in features) + "cell long, bucket long, " if carry else ""
+    return (te.groupBy(*at, "salt").cogroup(tr.groupBy(*at, "salt"))
+            .applyInArrow(_bucket_topk(k, features, g, carry), _found_schema(g, more)))
+
+
 def neighbours(train: DataFrame, test: DataFrame, features: list[str], k: int,
                n_train: int | None = None, n_test: int | None = None,
                train_key: str = "label", extra_group: str | None = None) -> DataFrame:
     """(row_id, y, nb_row, nb_label, d2, rank) for the k nearest train rows.
 
     ``extra_group`` (e.g. a bootstrap replicate id present on both sides) runs
-    independent kNN problems in the same job.
+    independent kNN problems in the same job.  The first round is run and
+    checkpointed here, the second when the result is used.
     """
     n_train = n_train if n_train is not None else train.count()
-    n_test = n_test if n_test is not None else test.count()
-    B, T = _blocks(n_train), _blocks(n_test)
     g = [extra_group] if extra_group else []
     # fresh aliases: train and test usually come from the same cached frame
-    tr = train.select(*[F.col(c).alias(c) for c in g], F.col("row_id").alias("row_id"),
-                      F.col(train_key).alias("label"), *[F.col(f).alias(f) for f in features])
-    te = test.select(*[F.col(c).alias(c) for c in g], F.col("row_id").alias("row_id"),
-                     F.col("label").alias("y"), *[F.col(f).alias(f) for f in features])
-    tr = (tr.withColumn("rb", F.pmod(F.xxhash64("row_id"), F.lit(B)).cast("int"))
-          .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(T - 1)))))
-    te = (te.withColumn("tb", F.pmod(F.xxhash64("row_id"), F.lit(T)).cast("int"))
-          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))))
-    keys = g + ["tb", "rb"]
-    schema = (f"{extra_group} long, " if extra_group else "") + NB_SCHEMA
-    fn = _partial_topk(k, features)
-    if extra_group:
-        def fn_g(te_pdf, tr_pdf):
-            out = fn(te_pdf, tr_pdf)
-            val = te_pdf[extra_group].iloc[0] if len(te_pdf) else (tr_pdf[extra_group].iloc[0] if len(tr_pdf) else 0)
-            out.insert(0, extra_group, np.int64(val))
-            return out
-        run = fn_g
+    head = [F.col(c).cast("long").alias(c) for c in g] + [F.col("row_id").cast("long").alias("row_id")]
+    xs = [F.col(f).cast("double").alias(f) for f in features]
+    tr = train.select(*head, F.col(train_key).cast("int").alias("label"), *xs)
+    te = test.select(*head, F.col("label").cast("int").alias("y"), *xs)
+    if n_train <= BLOCK_ROWS:            # one cell
+        cells = Cells(np.zeros((1, len(features))), n_train)
+        tr = tr.withColumn("cell", F.lit(0).cast("long")).withColumn("bucket", F.lit(0).cast("long"))
+        te = te.withColumn("cells", F.array(F.lit(0).cast("long"))).withColumn("bucket", F.lit(0).cast("long"))
+        found = _meet(te, tr, cells, k, features, g, n_train, carry=False)
     else:
-        run = fn
-    part = te.groupBy(*keys).cogroup(tr.groupBy(*keys)).applyInPandas(run, schema=schema)
-    w = Window.partitionBy(*g, "row_id").orderBy("d2", "nb_row")   # k x B rows per test row
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = _two_rounds(tr, te, features, k, g, n_train)
+    each = found.select(*g, "row_id", "y", F.inline(F.arrays_zip("nb_row", "nb_label", "d2")))
+    w = Window.partitionBy(*g, "row_id").orderBy("d2", "nb_row")   # k x visited buckets rows per test row
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _two_rounds(tr, te, features, k, g, n_train) -> DataFrame:
+    n_pivots = min(MAX_PIVOTS, math.ceil(n_train / CELL_ROWS))
+    picked = tr.dropDuplicates(["row_id"]) if g else tr
+    picked = picked.select(F.xxhash64("row_id").alias("h"), *features).orderBy("h", *features).limit(n_pivots).toPandas()
+    cells = Cells(np.unique(picked[features].to_numpy(np.float64), axis=0), n_train)
+    spark = tr.sparkSession
+    shipped = spark.sparkContext.broadcast(cells)
+
+    def assign(batches):
+        for b in batches:
+            cell, dist = shipped.value.nearest(_matrix(b, features))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], [*b.schema.names, "cell", "r"])
+
+    def schema(df, more):
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + more
+    tr = tr.mapInArrow(assign, schema(tr, "cell long, r double")).persist(StorageLevel.MEMORY_AND_DISK)
+    n, radius = np.zeros(len(cells.pivots), np.int64), np.zeros(len(cells.pivots))
+    for x in tr.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).collect():   # one row per pivot
+        n[x["cell"]], radius[x["cell"]] = x["n"], x["r"] if x["r"] is not None else np.nan
+    cells.measured(radius, n)
+    laid = spark.sparkContext.broadcast(cells)
+
+    def place(batches):
+        for b in batches:
+            c, at = laid.value, b.schema.names
+            cell = b.column(at.index("cell")).to_numpy()
+            part = (b.column(at.index("row_id")).to_numpy() & 0x7FFFFFFFFFFFFFFF) % c.parts[cell]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.bucket(cell, part))], [*at, "bucket"])
+    tr_placed = tr.drop("r").mapInArrow(place, schema(tr.drop("r"), "bucket long"))
+    own = te.mapInArrow(assign, schema(te, "cell long, r double")).drop("r")
+    own = own.mapInArrow(place, schema(own, "bucket long")).withColumn("cells", F.array("cell"))
+    first = _meet(own, tr_placed, cells, k, features, g, n_train, carry=True).checkpoint(eager=True)
+
+    def visit(batches):
+        c = laid.value
+        for b in batches:
+            at = b.schema.names
+            X, cell, mine = _matrix(b, features), b.column(at.index("cell")).to_numpy(), b.column(at.index("bucket")).to_numpy()
+            lists = b.column(at.index("d2"))
+            off = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy(zero_copy_only=False)
+            kth = np.full(len(X), np.inf)
+            full = np.diff(off) >= k
+            kth[full] = flat[off[1:][full] - 1]
+            step = max(1, TILE // max(1, len(c.unit_cell)))
+            for s in range(0, len(X), step):
+                need = c.needed(X[s:s + step], cell[s:s + step], kth[s:s + step])
+                row, unit = np.nonzero(need[:, c.unit_cell])
+                bucket = c.unit_bucket[unit]
+                other = (c.unit_cell[unit] != cell[s:s + step][row]) | (bucket != mine[s:s + step][row])
+                # (row, bucket, cell) once
+                code = np.unique(np.stack([row[other], bucket[other], c.unit_cell[unit[other]]]), axis=1)
+                if not code.shape[1]:
+                    continue
+                new = np.ones(code.shape[1], bool)
+                new[1:] = (code[0, 1:] != code[0, :-1]) | (code[1, 1:] != code[1, :-1])
+                owner = np.cumsum(new) - 1
+                take = pa.array(code[0, new] + s)
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(at.index(x)).take(take) for x in g + ["row_id", "y"] + features],
+                     pa.array(code[1, new]), _ragged(code[2], owner, int(new.sum()), pa.int64())],
+                    [*g, "row_id", "y", *features, "bucket", "cells"])
+    base = first.select(*g, "row_id", "y", *features)
+    visits = first.select(*g, "row_id", "y", *features, "cell", "bucket", "d2").mapInArrow(
+        visit, schema(base, "bucket long, cells array<long>"))
+    second = _meet(visits, tr_placed, cells, k, features, g, n_train, carry=False)
+    return first.select(*g, "row_id", "y", "nb_row", "nb_label", "d2").unionByName(second)
 
 
 def vote(nb: DataFrame, weighted: bool = False, group: list[str] | None = None) -> DataFrame:

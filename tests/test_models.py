@@ -36,11 +36,40 @@ def test_knn_blocks_do_not_change_result(spark, monkeypatch):
     tr, te = df.where("row_id % 3 <> 0"), df.where("row_id % 3 = 0")
     feats = ["f0", "f1", "f2"]
     a = {r["row_id"]: r["p"] for r in knn.KNN(15, weighted=True).fit(tr, Ctx(feats, 3)).predict(te).collect()}
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 7)   # many blocks on both sides
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 7)   # many cells, parts of cells and splits of buckets
+    monkeypatch.setattr(knn, "CELL_ROWS", 6)
+    monkeypatch.setattr(knn, "TASK_PAIRS", 30)
     b = {r["row_id"]: r["p"] for r in knn.KNN(15, weighted=True).fit(tr, Ctx(feats, 3)).predict(te).collect()}
     assert a == b
 
 
+def test_knn_cells_find_all_neighbours(spark, monkeypatch):
+    """Clusters, a third of all rows at one point, ties, and fewer rows in a cell
+    than neighbours: the table equals brute force, and cells are left out."""
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(knn, "CELL_ROWS", 12)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(420, 2)) * 0.3 + rng.integers(0, 6, size=(420, 1)) * 4, 1)
+    x[::3] = x[0]
+    pdf = pd.DataFrame(x, columns=["f0", "f1"])
+    pdf.insert(0, "label", rng.integers(0, 3, 420).astype("int32"))
+    pdf.insert(0, "row_id", rng.permutation(420).astype("int64") - 200)
+    df = spark.createDataFrame(pdf)
+    tr, te = df.where("row_id % 4 <> 0"), df.where("row_id % 4 = 0")
+    for k in (1, 7, 60):
+        got = knn.neighbours(tr, te, ["f0", "f1"], k).toPandas().sort_values(["row_id", "rank"])
+        ptr, pte = pdf[pdf.row_id % 4 != 0], pdf[pdf.row_id % 4 == 0]
+        d2 = np.round(((pte[["f0", "f1"]].to_numpy()[:, None, :] - ptr[["f0", "f1"]].to_numpy()[None]) ** 2).sum(-1), 10)
+        for at, row in enumerate(pte.row_id):
+            order = np.lexsort((ptr.row_id, d2[at]))[:k]
+            assert got[got.row_id == row].nb_row.tolist() == ptr.row_id.to_numpy()[order].tolist()
+    cells = knn.Cells(np.unique(x[:40], axis=0), 420)
+    own, r = cells.nearest(x)
+    cells.measured(np.array([r[own == c].max(initial=0) for c in range(len(cells.pivots))]), np.bincount(own, minlength=len(cells.pivots)))
+    kept = cells.needed(x, own, np.full(len(x), 0.01))
+    assert kept.mean() < 0.3 and kept[np.arange(len(x)), own].all()
+
+
 def test_nearest_centroid_and_gnb_vs_numpy(spark):
     df, pdf = fixture(spark, seed=1)
     feats = ["f0", "f1", "f2"]
