@@ -171,7 +171,10 @@ def permutation_importance(fitted, test: DataFrame, feats: list[str], k_classes:
 
 
 def native_importance(model_fitted) -> np.ndarray | None:
-    """Tree impurity importances or mean |coefficient| over classes."""
+    """Gain shares of trees, impurity importances or mean |coefficient| over
+    classes."""
+    if getattr(model_fitted, "importances", None) is not None:
+        return np.asarray(model_fitted.importances)
     m = getattr(model_fitted, "model", None)
     if m is None:
         return None

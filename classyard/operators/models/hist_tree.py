@@ -32,7 +32,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from classyard.operators.models import subtree
 from classyard.operators.models.base import Ctx, Estimator, Fitted
+from classyard.operators.models.subtree import child_paths, gini_score
+from classyard.operators.models.subtree import uniform as _uniform
 from classyard.operators.prep import balanced_weights
 
 MAX_CELLS = 1 << 22        # histogram cells (doubles) a task holds
@@ -54,28 +57,20 @@ def binned(df: DataFrame, feats: list[str], edges, *carry: str) -> DataFrame:
     return b.transform(df).select("row_id", "label", *carry, *[F.col(o).cast("int").alias(o) for o in outs])
 
 
-def _uniform(seed: int, *parts) -> np.ndarray:
-    """Hashed uniforms in [0, 1) of integer arrays, the same on every retry."""
-    h = np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    for p in parts:
-        h = h ^ np.asarray(p).astype(np.int64).astype(np.uint64)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h = h ^ (h >> np.uint64(31))
-    return (h >> np.uint64(11)).astype(float) * 2.0 ** -53
-
-
 class Tree:
     """Nodes in order of creation; a leaf has feature -1."""
 
     def __init__(self):
         self.feat, self.thr, self.left, self.right = [-1], [0], [0], [0]
-        self.depth, self.stats = [0], [None]
+        self.depth, self.stats, self.path, self.gain = [0], [None], [1], [0.0]
 
-    def split(self, node: int, f: int, thr: int, left, right) -> tuple[int, int]:
+    def split(self, node: int, gain: float, f: int, thr: int, left, right) -> tuple[int, int]:
         n = len(self.feat)
+        self.gain[node] = gain
         self.feat[node], self.thr[node], self.left[node], self.right[node] = f, thr, n, n + 1
-        for stats in (left, right):
+        for stats, path in zip((left, right), child_paths(self.path[node])):
+            self.path.append(int(path))
+            self.gain.append(0.0)
             self.feat.append(-1)
             self.thr.append(0)
             self.left.append(0)
@@ -84,6 +79,11 @@ class Tree:
             self.stats.append(stats)
         return n, n + 1
 
+    def gains(self, d: int) -> np.ndarray:
+        """Gain of all splits by feature."""
+        feat = np.array(self.feat)
+        return np.bincount(feat[feat >= 0], np.array(self.gain)[feat >= 0], d)
+
     def arrays(self):
         return tuple(np.array(x, np.int64) for x in (self.feat, self.thr, self.left, self.right))
 
@@ -178,7 +178,7 @@ class HistGBM(Estimator):
         den = stats[2] + self.lam
         return -stats[0] / den if den > 0 else 0.0
 
-    def _allowed(self, r: int, t: int, node: int, hist: np.ndarray):
+    def _allowed(self, r: int, t: int, path: int, hist: np.ndarray):
         if not self.cyclic:
             return None
         mask = np.zeros(hist.shape[:2], bool)
@@ -201,6 +201,7 @@ class HistGBM(Estimator):
         spark = state.sparkSession
         for lo in range(0, len(open_), per_job):
             part = open_[lo:lo + per_job]
+            path = {(t, node): trees[t].path[node] for t, node in part}
             by_tree: dict[int, list[int]] = {}
             for t, node in part:
                 by_tree.setdefault(t, []).append(node)
@@ -255,7 +256,7 @@ class HistGBM(Estimator):
                     of.setdefault((x["t"], x["node"]), []).append(bytes(x["hist"]))
                 for (t, node), blobs in of.items():
                     hist = added(blobs)
-                    out[t, node] = best_split(hist, gain, least, self._allowed(r, t, node, hist))
+                    out[t, node] = best_split(hist, gain, least, self._allowed(r, t, path[t, node], hist))
                 shipped.destroy()
                 continue
             if self._tasks > ONE_ROUND_TASKS:
@@ -265,7 +266,7 @@ class HistGBM(Estimator):
             def choose(table: pa.Table) -> pa.Table:
                 t, node = table["t"][0].as_py(), table["node"][0].as_py()
                 hist = added(table.sort_by("salt")["hist"].to_pylist())
-                split, total = best_split(hist, gain, least, self._allowed(r, t, node, hist))
+                split, total = best_split(hist, gain, least, self._allowed(r, t, path[t, node], hist))
                 return _split_rows([(t, node, split, total)])
 
             def choose_level(table: pa.Table) -> pa.Table:
@@ -318,8 +319,7 @@ class HistGBM(Estimator):
                     tree.stats[node] = total
                 if split is None or (self.depth and tree.depth[node] >= self.depth):
                     continue
-                gain, f, b, left, right = split
-                for child in tree.split(node, f, b, left, right):
+                for child in tree.split(node, *split):
                     if not self.depth or tree.depth[child] < self.depth:
                         after.append((t, child))
             open_ = after
@@ -337,7 +337,7 @@ class HistGBM(Estimator):
                 # split what best-first order would split on what is known so far
                 for node in self._order(tree, known[t]):
                     if tree.feat[node] < 0:
-                        open_ += [(t, c) for c in tree.split(node, *known[t][node][1:])]
+                        open_ += [(t, c) for c in tree.split(node, *known[t][node])]
         for t, tree in enumerate(trees):
             made = set(self._order(tree, known[t]))
             for node in range(len(tree.feat)):
@@ -382,6 +382,7 @@ class HistGBM(Estimator):
         K = ctx.k
         state, start = self._state(train, ctx)
         forest: list[list] = []          # per round: (arrays, leaf values) of the K trees, scaled
+        gains = np.zeros(self._d)
         pending: list[list] = []         # rounds that the state's margins lack
         for r in range(self.n_rounds):
             job, dropped = {}, []
@@ -405,13 +406,16 @@ class HistGBM(Estimator):
             for i in dropped:
                 forest[i] = [(a, keep * v) for a, v in forest[i]]
             forest.append(new)
+            gains += sum(t.gains(self._d) for t in trees)
             pending = pending + change
             if len(pending) >= self.ckpt_every * (2 if self.dart_rate else 1):
                 state, pending = self._update(state, pending, K), []
             for name in {"drop", "pending"} & set(job):
                 job[name].destroy()
         state.unpersist()
-        return _HGFitted(forest, start, self.edges, ctx.features, K)
+        fitted = _HGFitted(forest, start, self.edges, ctx.features, K)
+        fitted.importances = gains / max(gains.sum(), 1e-300)
+        return fitted
 
     def _goss_threshold(self, state, K, job) -> float:
         d, top = self._d, self.goss[0]
@@ -473,10 +477,14 @@ def _margins(B: np.ndarray, rounds, K: int) -> np.ndarray:
 
 
 class GiniForest(HistGBM):
-    """Multiclass Gini trees that average their leaves' class shares: extra
-    trees (random thresholds), balanced random forest (``sample='balanced'``:
-    per tree a draw with replacement of as many rows of each class as the
-    smallest has, P3 keyed by tree) and bootstrapped forests (``'bootstrap'``)."""
+    """Multiclass Gini trees that average their leaves' class shares: single trees,
+    extra trees (random thresholds), bootstrapped forests (``sample='bootstrap'``) and
+    balanced ones (``'balanced'``: per tree a draw with replacement of as many
+    rows of each class as the smallest has, P3 keyed by tree).
+
+    Nodes beyond ``subtree.SUBTREE_ROWS`` are split by jobs over the whole table; a
+    node below goes to one task with its rows and is finished there, so the number
+    of jobs does not grow with the depth of the trees or the number of leaves."""
 
     def __init__(self, n_trees=200, depth=None, max_bins=255, max_features="sqrt", random_threshold=False,
                  sample=None, balanced=True, min_child_samples=1, seed=42, **extra):
@@ -489,65 +497,119 @@ class GiniForest(HistGBM):
     def _channels(self, K):
         return K + 1
 
+    def _times(self, data: dict, t: int) -> np.ndarray:
+        """How often tree t drew each row: Poisson by inverse CDF of a hashed uniform."""
+        y, rate = data["y"], self._rate
+        if rate is None:
+            return np.ones(len(y))
+        u, lam = _uniform(self.seed, np.full(len(y), t), data["row_id"]), rate[y]
+        p = c = np.exp(-lam)
+        times = (u >= c).astype(float)
+        for j in range(1, 30):
+            p = p * lam / j
+            c = c + p
+            times += u >= c
+        return times
+
     def _stats(self, batch, K):
-        y, w = batch["y"], batch["w"]
+        y = batch["y"]
         one = np.zeros((len(y), K + 1))
-        rate = self._rate
 
         def of(t):
-            times = np.ones(len(y))
-            if rate is not None:          # Poisson multiplicities by inverse CDF of a hashed uniform
-                u, lam = _uniform(self.seed, np.full(len(y), t), batch["row_id"]), rate[y]
-                p = c = np.exp(-lam)
-                times = (u >= c).astype(float)
-                for j in range(1, 30):
-                    p = p * lam / j
-                    c = c + p
-                    times += u >= c
+            times = self._times(batch, t)
             one[:] = 0
-            one[np.arange(len(y)), y] = w * times
+            one[np.arange(len(y)), y] = times
             one[:, -1] = times > 0
             return one
         return of
 
     def _gain(self):
+        score, weight = gini_score, self._weight          # counts are whole; classes are weighted here
+
         def gain(left, right, total):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = lambda x: np.nan_to_num((x[..., :-1] ** 2).sum(axis=-1) / x[..., :-1].sum(axis=-1))
-                return s(left) + s(right) - s(total), np.ones(left.shape[:-1], bool)
+            left, right, total = (x[..., :-1] for x in (left, right, total))
+            return score(left, weight) + score(right, weight) - score(total, weight), np.ones(left.shape[:-1], bool)
         return gain
 
-    def _allowed(self, r, t, node, hist):
+    def _allowed(self, r, t, path, hist):
         d, nb = hist.shape[:2]
         seen = hist[..., -1] > 0
         mask = np.ones((d, nb), bool)
         if self.random_threshold:         # one threshold per feature within the bins of the node
             lo, hi = seen.argmax(axis=1), nb - 1 - seen[:, ::-1].argmax(axis=1)
-            u = _uniform(self.seed + 1, np.full(d, t), np.full(d, node), np.arange(d))
+            u = _uniform(self.seed + 1, np.full(d, t), np.full(d, path), np.arange(d))
             mask = np.arange(nb)[None, :] == (lo + np.floor(u * (hi - lo)))[:, None]
         if self.max_features == "sqrt":   # among the features that vary in the node
             vary = np.flatnonzero(seen.sum(axis=1) > 1)
-            u = _uniform(self.seed + 2, np.full(len(vary), t), np.full(len(vary), node), vary)
+            u = _uniform(self.seed + 2, np.full(len(vary), t), np.full(len(vary), path), vary)
             mask[np.setdiff1d(np.arange(d), vary[np.argsort(u)][:max(1, int(math.sqrt(d)))])] = False
         return mask
 
+    def _grow_top(self, state, trees) -> dict[int, list[int]]:
+        """Splits nodes that no task holds; tree -> nodes that are left to tasks."""
+        pending: dict[int, list[int]] = {t: [0] if self._n <= subtree.SUBTREE_ROWS else [] for t in range(len(trees))}
+        open_ = [(t, 0) for t in pending if not pending[t]]
+        while open_:
+            found, after = self._evaluate(state, trees, open_, 0, {}), []
+            for t, node in open_:
+                split, total = found.get((t, node), (None, None))
+                tree = trees[t]
+                if tree.stats[node] is None:
+                    tree.stats[node] = total
+                if split is None or (self.depth and tree.depth[node] >= self.depth):
+                    continue
+                for child, rows in zip(tree.split(node, *split), (split[3][-1], split[4][-1])):
+                    if rows <= subtree.SUBTREE_ROWS:
+                        pending[t].append(child)
+                    else:
+                        after.append((t, child))
+            open_ = after
+        return {t: nodes for t, nodes in pending.items() if nodes}
+
     def fit(self, train, ctx: Ctx):
         K = ctx.k
         state, _ = self._state(train, ctx)
+        classes = {x["label"]: x for x in state.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).collect()}
+        self._weight = np.array([classes[c]["w"] if c in classes else 0.0 for c in range(K)])
         self._rate = None
         if self.sample == "bootstrap":
             self._rate = np.ones(K)
         elif self.sample == "balanced":
-            n = {x["label"]: x["count"] for x in state.groupBy("label").count().collect()}
-            self._rate = np.array([min(n.values()) / n[c] if c in n else 0.0 for c in range(K)])
+            least = min(x["n"] for x in classes.values())
+            self._rate = np.array([least / classes[c]["n"] if c in classes else 0.0 for c in range(K)])
         trees = [Tree() for _ in range(self.n_rounds)]
-        self._grow(state, trees, 0, {})
+        pending = self._grow_top(state, trees)
+        d = self._d
+        spec = subtree.Spec(K, self._weight, self.seed, self.max_features, self.random_threshold, self.mcs, self.depth)
+        below = subtree.completed(state, trees, pending, spec, lambda b: self._read(b, K, d), self._times, route, self._n, self.max_bins)
         state.unpersist()
-        forest = []
-        for t in trees:
-            share = np.array([s[:-1] / max(s[:-1].sum(), 1e-300) if s is not None else np.zeros(K) for s in t.stats])
-            forest.append((t.arrays(), share / self.n_rounds))
-        return _HGFitted(None, np.zeros(K), self.edges, ctx.features, K, forest)
+        size = below.agg(F.sum(F.length("tree"))).first()[0] or 0
+        if size > subtree.MODEL_BYTES:
+            fitted = _LargeForest(trees, pending, below, self._weight, self.edges, ctx.features, K)
+        else:
+            whole = subtree.stitched(trees, below.drop("gains").collect(), self._weight, K)
+            fitted = _HGFitted(None, np.zeros(K), self.edges, ctx.features, K, [(a, s / len(trees)) for a, s in whole])
+        fitted.importances = subtree.gain_shares(trees, below, d)
+        return fitted
+
+
+class _LargeForest(Fitted):
+    """A forest whose subtrees are a table; see ``subtree.scored``."""
+
+    def __init__(self, trees, pending, below, weight, edges, feats, K):
+        self.trees, self.pending, self.below, self.weight, self.edges, self.feats, self.K = trees, pending, below, weight, edges, feats, K
+        self.size = f"{len(trees)} trees"
+
+    def proba(self, df):
+        """(row_id, y, prob array<double>)."""
+        b = binned(df.select("row_id", "label", *self.feats), self.feats, self.edges)
+        return subtree.scored(b, len(self.feats), self.K, self.trees, self.pending, self.below, self.weight, route)
+
+    def predict(self, df):
+        # ties go to the lowest class; sums of shares come in any order, so they are rounded
+        best = F.array_position("p", F.array_max("p")) - 1
+        return (self.proba(df).select("row_id", "y", F.transform("prob", lambda x: F.round(x, 12)).alias("p"))
+                .select("row_id", "y", best.cast("int").alias("p")))
 
 
 class _HGFitted(Fitted):

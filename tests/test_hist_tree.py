@@ -136,3 +136,64 @@ def test_gini_forests(table):
         acc[name] = p
         assert (p.argmax(axis=1) == y).mean() > 0.8
     assert not np.allclose(acc["extra"], acc["balanced"]) and not np.allclose(acc["boot"], acc["balanced"])
+
+
+def plain_gini(B, y, w, seed, t, max_features, random_threshold):
+    """Leaf shares of one tree by a search over every feature and threshold."""
+    K, d = len(w), B.shape[1]
+    out = np.zeros((len(y), K))
+
+    def score(rows):
+        x = np.bincount(y[rows], minlength=K) * w
+        return (x ** 2).sum() / x.sum()
+
+    def node(rows, path):
+        best = (1e-12, None, None)
+        vary = np.array([f for f in range(d) if len(np.unique(B[rows, f])) > 1], int)
+        if max_features == "sqrt" and len(vary):
+            u = H._uniform(seed + 2, np.full(len(vary), t), np.full(len(vary), path), vary)
+            vary = np.sort(vary[np.argsort(u)][:max(1, int(np.sqrt(d)))])
+        for f in vary:
+            bins = np.unique(B[rows, f])
+            if random_threshold:
+                u = H._uniform(seed + 1, [t], [path], [f])[0]
+                bins = [bins[0] + int(u * (bins[-1] - bins[0])), None]
+            for b in bins[:-1]:
+                left = rows[B[rows, f] <= b]
+                if len(left) in (0, len(rows)):
+                    continue
+                gain = round(score(left) + score(rows[B[rows, f] > b]) - score(rows), 12)
+                if gain > best[0]:
+                    best = (gain, f, b)
+        if best[1] is None:
+            x = np.bincount(y[rows], minlength=K) * w
+            out[rows] = x / x.sum()
+            return
+        a, b = H.child_paths(path)
+        node(rows[B[rows, best[1]] <= best[2]], int(a))
+        node(rows[B[rows, best[1]] > best[2]], int(b))
+    node(np.arange(len(y)), 1)
+    return out
+
+
+@pytest.mark.parametrize("kw", [dict(max_features=None), dict(max_features="sqrt"), dict(max_features="sqrt", random_threshold=True),
+                                dict(max_features=None, balanced=True)])
+def test_full_depth_trees_equal_plain_search_wherever_cut(table, kw, monkeypatch):
+    """Cut at the root, at 60 rows, and with the subtrees left as a table."""
+    df, x, y = table
+    kw = dict(balanced=False) | kw
+    found = []
+    for rows, size in ((10 ** 6, 1 << 24), (60, 1 << 24), (60, 0)):
+        monkeypatch.setattr(H.subtree, "SUBTREE_ROWS", rows)
+        monkeypatch.setattr(H.subtree, "MODEL_BYTES", size)
+        monkeypatch.setattr(H.subtree, "SHUFFLE_ROWS", 2 * len(y))
+        fm = H.GiniForest(3, **kw).fit(df, Ctx(FEATS, 3))
+        prob = {r.row_id: r.prob for r in fm.proba(df).collect()}
+        found.append(np.array([prob[i] for i in range(len(y))]))
+        pred = {r.row_id: r.p for r in fm.predict(df).collect()}
+        assert [pred[i] for i in range(len(y))] == np.round(found[-1], 12).argmax(axis=1).tolist()
+    n = np.bincount(y, minlength=3)
+    w = len(y) / (3 * n) if kw["balanced"] else np.ones(3)
+    want = np.mean([plain_gini(codes(x, fm.edges), y, w, 42, t, kw["max_features"], kw.get("random_threshold")) for t in range(3)], axis=0)
+    for got in found:
+        assert np.allclose(got, want, atol=1e-9)
