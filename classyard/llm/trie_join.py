@@ -282,8 +282,8 @@ class Trie:
             self.longest[v], self.hi[v] = max(b[2] for b in below), max(b[3] for b in below)
         edges = [self.sets[self.lo[v]][self.start[v]:self.end[v]] for v in range(n)]
         self.tokens = np.concatenate(edges)
-        self.first = np.concatenate([[0], np.cumsum([len(e) for e in edges])]).tolist()
-        self.last = [int(e[-1]) if len(e) else -1 for e in edges]
+        self.bounds = np.concatenate([[0], np.cumsum([len(e) for e in edges])])
+        self.last = np.array([e[-1] if len(e) else -1 for e in edges], np.int64)
 
     def _shared(self, k: int) -> int:
         a, b = self.sets[k - 1], self.sets[k]
@@ -322,12 +322,18 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], parts: list[int] | None
     trie = Trie(short, sizes)
     label = np.arange(n) if parts is None else np.unique(np.asarray(parts)[trie.order], return_inverse=True)[1]
     uniform = [False] * len(trie.lo)
-    present = np.zeros(width + 1, np.int64)
+    present = np.zeros(width + 1, np.uint8)
+    run = np.zeros(len(trie.tokens) + 1, np.int32)
     for q in range(n):
         mine, size = trie.sets[q], trie.sizes[q]
+        if uniform[0] and label[0] == label[q]:
+            continue
         present[mine] = 1
-        hits = np.concatenate([[0], np.cumsum(present[trie.tokens])]).tolist()
-        upto = np.cumsum(present).tolist()                      # of the walker's tokens, by rank
+        np.cumsum(present[trie.tokens], out=run[1:])
+        hits = np.diff(run[trie.bounds]).tolist()               # of each edge
+        # of the walker's tokens, those up to the last of each edge
+        upto = np.concatenate([np.cumsum(present, dtype=np.int32), [0]])[trie.last].tolist()
+        present[mine] = 0
         total = len(mine)
         stack = [(0, 0)]
         while stack:
@@ -339,9 +345,8 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], parts: list[int] | None
                 uniform[v] = bool((label[lo:hi] == label[lo]).all())
             if uniform[v] and label[lo] == label[q]:
                 continue
-            overlap += hits[trie.first[v + 1]] - hits[trie.first[v]]
-            depth, last = trie.end[v], trie.last[v]
-            passed = upto[last] if last >= 0 else 0
+            overlap += hits[v]
+            depth, passed = trie.end[v], upto[v]
             # what remains on either side, against the overlap that the sizes ask for
             if 19 * (overlap + min(total - passed, trie.longest[v] - depth)) < 9 * (size + trie.least[v]):
                 continue
@@ -351,7 +356,6 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], parts: list[int] | None
                 if k > q and label[k] != label[q] and 19 * overlap >= 9 * (size + trie.sizes[k]):
                     label[label == label[k]] = label[q]
             stack.extend([(c, overlap) for c in trie.kids[v]])
-        present[mine] = 0
     out = np.empty(n, np.int64)
     out[trie.order] = label
     return out
