@@ -532,7 +532,8 @@ def _s5(spark, sf):
 # rows-only check, our tests pin them against NumPy and invariants.
 ROWS_MODELS = ["extra_tree", "logreg_elasticnet", "linear_svc", "sgd_modified_huber", "sgd_log", "sgd_hinge", "ridge", "lda", "qda", "elm", "rbf_sampler_ridge", "decision_tree", "random_forest", "bagging_dt",
                "perceptron", "passive_aggressive", "nystroem_sgd", "gaussian_process", "label_spreading",
-               "som_classifier", "bagging_knn", "logreg", "extra_trees", "balanced_random_forest", "balanced_bagging"]
+               "som_classifier", "bagging_knn", "logreg", "extra_trees", "balanced_random_forest", "balanced_bagging",
+               "figs", "rgf"]
 
 for _m in ROWS_MODELS:
     def _rows(spark, sf, m=_m):
