@@ -166,8 +166,7 @@ def mix_digests(docs: DataFrame, seed: int = SEED) -> DataFrame:
 # reshared targets are one level per weight, found from the sorted capacities.
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     ('0x' || substr(md5(concat_ws('|', '42', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
   FROM documents
 ), s AS (

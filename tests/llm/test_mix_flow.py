@@ -6,7 +6,7 @@ import pytest
 
 from classyard.llm import mix_flow as M
 
-from .util import edge_docs, empty_docs
+from .util import DOC_SCHEMA, edge_docs, empty_docs
 
 
 def test_targets_share_and_reshare():
@@ -86,3 +86,17 @@ def test_mix_of_documents(spark, seed):
         by[r.source, r.target] += r.taken
     largest = max(r.size for r in rows)
     assert all(abs(t - g) <= largest for (_, g), t in by.items())
+
+
+def test_sql_counts_words_between_all_white_bytes(spark):
+    import duckdb
+    import pandas as pd
+    docs = edge_docs(spark, wide=False).unionByName(spark.createDataFrame(
+        [(900, "a\rb\x0bc d\x0ce\tf\ng", "en", "src0", 1), (901, "\x1c  x", "en", "src1", 1)], DOC_SCHEMA))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(M.ORACLE_SQL).fetchdf()
+    got = M.mix_digests(docs).toPandas()[list(want.columns)]
+    order = ["doc_id", "size", "taken"]
+    pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True), check_dtype=False)
+    assert got[got.doc_id == 900]["size"].tolist() == [7]
