@@ -44,14 +44,22 @@ def _avg_probs(frames: list[DataFrame], k: int) -> DataFrame:
     return base.select("row_id", "y", avg.alias("prob"))
 
 
+def _forest(n_trees: int):
+    """The registry's random forest with its own number of trees."""
+    return hist_tree.GiniForest(n_trees, sample="bootstrap")
+
+
+def _histgbm(n_rounds: int):
+    """The registry's histogram boosting with its own number of rounds."""
+    return hist_tree.HistGBM(n_rounds=n_rounds, lr=0.1, depth=None, policy="leaves", max_leaves=31, min_child_weight=1e-3,
+                             min_child_samples=20, hess_scale=1.0, lam=0.0, prior=True)
+
+
 class VotingSoft(Estimator):
     """Mean class probability of RF(150), histogram boosting(150), logreg."""
 
     def __init__(self, n_trees: int = 150, n_rounds: int = 150):
-        self.members = [lambda: builtin.random_forest(n_trees=n_trees),
-                        lambda: hist_tree.HistGBM(n_rounds=n_rounds, lr=0.1, depth=10, policy="leaves",
-                                                  max_leaves=31, min_child_samples=20, hess_scale=1.0, lam=0.0),
-                        lambda: builtin.logreg()]
+        self.members = [lambda: _forest(n_trees), lambda: _histgbm(n_rounds), lambda: builtin.logreg()]
         self.params = {"voting": "soft", "estimators": "rf,hgb,lr", "n_trees": n_trees, "n_rounds": n_rounds}
 
     def fit(self, train, ctx: Ctx):
@@ -76,10 +84,7 @@ class Stacking(Estimator):
 
     def __init__(self, folds: int = 5, n_trees: int = 150, n_rounds: int = 150):
         self.folds = folds
-        self.base = [lambda: builtin.random_forest(n_trees=n_trees),
-                     lambda: hist_tree.HistGBM(n_rounds=n_rounds, lr=0.1, depth=10, policy="leaves",
-                                               max_leaves=31, min_child_samples=20, hess_scale=1.0, lam=0.0),
-                     lambda: _KnnProba(5)]
+        self.base = [lambda: _forest(n_trees), lambda: _histgbm(n_rounds), lambda: _KnnProba(5)]
         self.params = {"cv": folds, "final_estimator": "logreg", "estimators": "rf,hgb,knn5"}
 
     def fit(self, train, ctx: Ctx):

@@ -40,6 +40,7 @@ from classyard.operators.prep import balanced_weights
 
 MAX_CELLS = 1 << 22        # histogram cells (doubles) a task holds
 DIRECT_BYTES = 1 << 26     # partial histograms of a job up to this bound are added up on the driver
+TASK_ROWS = 2_000          # least rows of a task on average
 ONE_ROUND_TASKS = 256      # more partial arrays of a node are added up in two rounds
 PART = "t int, node int, salt int, hist binary"
 SPLIT = "t int, node int, gain double, f int, bin int, left binary, right binary, total binary"
@@ -373,9 +374,11 @@ class HistGBM(Estimator):
             start = np.log(np.array([max(n.get(c, 0.0), 1e-12) for c in range(K)]) / sum(n.values()))
         state = (binned(src, feats, self.edges, F.col("weight").cast("double").alias("w"))
                  .select("*", *[F.lit(float(v)).alias(f"m_{c}") for c, v in enumerate(start)])
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-        self._n = state.count()
-        self._tasks = state.rdd.getNumPartitions()
+                 )
+        # a model takes hundreds of jobs over this state: no more tasks than rows pay for
+        self._n = train.count()
+        self._tasks = max(1, min(state.rdd.getNumPartitions(), math.ceil(self._n / TASK_ROWS)))
+        state = state.coalesce(self._tasks).persist(StorageLevel.MEMORY_AND_DISK)
         return state, start
 
     def fit(self, train, ctx: Ctx):

@@ -274,9 +274,9 @@ def gain_shares(trees: list, subtrees: DataFrame, d: int) -> np.ndarray:
     """Importance of each feature: its share of the gains of a tree, averaged over
     the trees that have splits (d sums per tree come back)."""
     gains = np.stack([t.gains(d) for t in trees]).astype(float)
-    cols = [F.sum(F.col("gains")[j]).alias(f"g{j}") for j in range(d)]
-    for x in subtrees.groupBy("t").agg(*cols).collect():
-        gains[x["t"]] += [x[f"g{j}"] for j in range(d)]
+    sums = subtrees.select("t", F.posexplode("gains").alias("j", "gain")).groupBy("t", "j").agg(F.sum("gain").alias("gain"))
+    for x in sums.collect():
+        gains[x["t"], x["j"]] += x["gain"]
     total = gains.sum(axis=1, keepdims=True)
     share = (gains / np.where(total > 0, total, 1))[total[:, 0] > 0]
     return share.mean(axis=0) if len(share) else np.zeros(d)

@@ -18,15 +18,15 @@ RESULT_SCHEMA = (
 
 def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:
     """S3: one document per (dataset, model); a re-run overwrites only the
-    datasets it produced (dynamic partition overwrite)."""
+    documents it produced (dynamic overwrite of dataset and key folders)."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dataset").format(fmt).save(path))
+     .partitionBy("dataset", "key").format(fmt).save(path))
 
 
 def read_results(spark: SparkSession, path: str, fmt: str = "json", status: str | None = "ok") -> DataFrame:
-    """Scan with the fixed schema (no inference pass); ``dataset`` comes
-    from the partition folder, so a dataset filter prunes folders."""
-    schema = ", ".join(p for p in RESULT_SCHEMA.split(", ") if not p.startswith("dataset ")) + ", dataset string"
+    """Scan with the fixed schema (no inference pass); ``dataset`` and ``key``
+    come from the partition folders, so filters on them prune folders."""
+    schema = ", ".join(p for p in RESULT_SCHEMA.split(", ") if not p.startswith(("dataset ", "key "))) + ", dataset string, key string"
     df = spark.read.schema(schema).format(fmt).load(path)
     return df.where(F.col("status") == status) if status else df
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from classyard.operators import importance as I
-from classyard.operators.models import hist_tree, linear_ss
+from classyard.operators.models import ensembles, hist_tree, linear_ss
 from classyard.operators.models.base import Ctx
 from classyard.operators.models.moments import balanced, moments
 from classyard.operators.samplers import bootstrap, undersample
@@ -85,3 +85,18 @@ def test_anova_matches_numpy(spark):
         ssb = sum(len(g) * (g.mean() - allx.mean()) ** 2 for g in groups)
         ssw = sum(((g - g.mean()) ** 2).sum() for g in groups)
         assert got[i] == pytest.approx((ssb / 2) / (ssw / (len(allx) - 3)), rel=1e-9)
+
+
+def test_voting_and_stacking_run_and_learn(spark):
+    """M45 and M46 on a small table: one row per test row and better than chance."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int) + (x[:, 2] > 0.8)
+    pdf = pd.DataFrame(x, columns=["f0", "f1", "f2"])
+    pdf.insert(0, "label", y.astype("int32"))
+    pdf.insert(0, "row_id", np.arange(len(y)))
+    df = spark.createDataFrame(pdf).repartition(2)
+    tr, te = df.where("row_id % 3 <> 0"), df.where("row_id % 3 = 0")
+    for model in (ensembles.VotingSoft(8, 4), ensembles.Stacking(folds=2, n_trees=8, n_rounds=4)):
+        got = {r.row_id: r.p for r in model.fit(tr, Ctx(["f0", "f1", "f2"], 3)).predict(te).collect()}
+        assert len(got) == 100 and np.mean([got[i] == y[i] for i in got]) > 0.6
