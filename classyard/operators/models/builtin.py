@@ -1,8 +1,8 @@
 """Spark ML built-in estimators behind the uniform contract.
 
 M01 logreg, M02 logreg_elasticnet, M04 sgd_log, M05 sgd_hinge (one-vs-rest),
-M14 decision_tree, M16 random_forest, M18 bagging_dt, M20 adaboost (SAMME
-over weighted stumps).  Class balancing (F13) becomes ``weightCol``.
+and SAMME over weighted stumps, which M48 draws its samples for.  Class
+balancing (F13) becomes ``weightCol``.
 
 Regularisation: the reference's objective is C * sum_i w_i loss_i + ||W||^2/2,
 Spark's is (1/sum w) * sum_i w_i loss_i + regParam * penalty, so
@@ -12,8 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -85,28 +84,6 @@ def sgd_hinge(alpha: float = 1e-4):
                                        labelCol="label", weightCol="weight", parallelism=8), alpha=alpha, loss="hinge")
 
 
-def _nodes(m):
-    try:
-        return f"{m.numNodes} nodes"
-    except Exception:
-        return f"{m.getNumTrees} base estimators"
-
-
-def decision_tree(max_depth: int = 30):
-    return SparkML(lambda n: DecisionTreeClassifier(maxDepth=max_depth, maxBins=255, impurity="gini",
-                                                    minInstancesPerNode=1, labelCol="label", seed=42),
-                   size_fn=_nodes, max_depth=max_depth, criterion="gini")
-
-
-def random_forest(n_trees: int = 200, max_depth: int = 20, subset: str = "sqrt", bootstrap: bool = True,
-                  balanced: bool = True):
-    return SparkML(lambda n: RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, maxBins=255,
-                                                    featureSubsetStrategy=subset, bootstrap=bootstrap,
-                                                    labelCol="label", seed=42),
-                   balanced=balanced, size_fn=lambda m: f"{m.getNumTrees} base estimators",
-                   n_estimators=n_trees, max_depth=max_depth, max_features=subset)
-
-
 class AdaBoostSAMME(Estimator):
     """Multiclass SAMME over depth-1 weighted trees.
 

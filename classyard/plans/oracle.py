@@ -9,6 +9,8 @@ feature definitions in ``sources/standins.py``.
 """
 from __future__ import annotations
 
+import math
+
 from classyard.functions.exprs import LETTERS
 from classyard.functions.hashing import SEED
 
@@ -100,6 +102,30 @@ def prep_ctes(ds: str, scale: bool = True) -> str:
 {p}_prep AS (SELECT row_id, split, label, {scaled if scale else plain} FROM {p}_split, {p}_stats)"""
 
 
+def uniform_sql(tag: str, *cols: str) -> str:
+    """Hashed uniform of ``functions.hashing``: 52 bits of an md5 key."""
+    parts = ", '|', ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"CAST(concat('0x', substr(md5(concat('{SEED}', '|', '{tag}', '|', {parts})), 1, 13)) AS BIGINT)::DOUBLE / {1 << 52}"
+
+
+def poisson_sql(u: str, lam: float, most: int = 12) -> str:
+    """Poisson number by inverse CDF, with the cumulated shares written out."""
+    p, c, cases = math.exp(-lam), 0.0, []
+    for j in range(most):
+        c += p
+        p *= lam / (j + 1)
+        cases.append(f"WHEN {u} < {c!r}::DOUBLE THEN {j}")
+    return f"CASE {' '.join(cases)} ELSE {most} END"
+
+
+def poisson_cdf_sql(lam: str, most: int) -> str:
+    """Columns c0 ... of cumulated shares for a column of rates."""
+    cols = [f"exp(-{lam}) AS p0", "p0 AS c0"]
+    for j in range(1, most):
+        cols += [f"p{j - 1} * {lam} / {j} AS p{j}", f"c{j - 1} + p{j} AS c{j}"]
+    return ", ".join(cols)
+
+
 def _sum(terms: list[str]) -> str:
     return " + ".join(terms)
 

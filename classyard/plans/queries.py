@@ -481,21 +481,81 @@ def _p2(spark, sf):
     return undersample(p.train().select("row_id", "label"), 3).select(*_big("replicate", "row_id", "label"))
 
 
-@register("p1_bootstrap_evt")
+_REPLICATES = "WITH " + O.prep_ctes("evt") + """,
+rep AS (SELECT r.replicate, row_id, label FROM evt_prep, (VALUES (0), (1), (2)) r(replicate) WHERE split = 'train')"""
+
+
+@register("p1_bootstrap_evt", _REPLICATES + f"""
+SELECT CAST(replicate AS BIGINT) AS replicate, CAST(row_id AS BIGINT) AS row_id, CAST(w AS BIGINT) AS w
+FROM (SELECT replicate, row_id, {O.poisson_sql(O.uniform_sql("boot", "replicate", "row_id"), 1.0)} AS w FROM rep) WHERE w > 0""")
 def _p1(spark, sf):
-    """P1 multiplicities for 3 replicates (rows check: per-replicate totals ~ n)."""
+    """P1 multiplicities for 3 replicates."""
     from classyard.operators.samplers import bootstrap
     p = prepared(spark, sf, "evt")
     return bootstrap(p.train().select("row_id", "label"), 3).select(*_big("replicate", "row_id", "w"))
 
 
-@register("p3_balanced_bootstrap_evt")
+@register("p3_balanced_bootstrap_evt", _REPLICATES + f""",
+n AS (SELECT label, count(*) / 3 AS n_c FROM rep GROUP BY label),
+rate AS (SELECT label, (SELECT min(n_c) FROM n)::DOUBLE / n_c AS lam FROM n),
+cdf AS (SELECT label, {O.poisson_cdf_sql("lam", 18)} FROM rate)
+SELECT CAST(replicate AS BIGINT) AS replicate, CAST(row_id AS BIGINT) AS row_id, CAST(label AS BIGINT) AS label, CAST(w AS BIGINT) AS w
+FROM (SELECT replicate, row_id, label, CASE {" ".join(f"WHEN u < c{j} THEN {j}" for j in range(18))} ELSE 18 END AS w
+      FROM (SELECT rep.*, {O.uniform_sql("bal", "replicate", "row_id")} AS u FROM rep) JOIN cdf USING (label)) WHERE w > 0""")
 def _p3(spark, sf):
     from classyard.operators.samplers import balanced_bootstrap
     p = prepared(spark, sf, "evt")
     return balanced_bootstrap(p.train().select("row_id", "label"), 3).select(*_big("replicate", "row_id", "label", "w"))
 
 
+@register("p4_one_side_sample_lineitem")
+def _p4(spark, sf):
+    """P4 on the distance of a line's price from the mean: large ones stay, a tenth
+    of all are drawn from the others (the cut is an approximate quantile: rows check)."""
+    from classyard.functions.hashing import hash_id
+    from classyard.operators.samplers import one_side_sample
+    from classyard.sources.standins import LINE_KEY
+    from classyard.sources.tables import read_table
+    li = read_table(spark, sf, "lineitem")
+    mean = li.agg(F.avg("l_extendedprice")).first()[0] or 0.0
+    g = li.select(hash_id(*LINE_KEY).alias("row_id"), (F.col("l_extendedprice") - mean).alias("g"))
+    return one_side_sample(g, "g").select("row_id", "w")
+
+
+@register("s1_csv_scan_events", "SELECT event_id, event_type, value, props FROM events")
+def _s1(spark, sf):
+    """Events written as header CSV files to the shared folder and scanned with a
+    declared schema; quotes, commas and nulls come back."""
+    import uuid
+    from classyard.session import checkpoint_dir
+    from classyard.sources.tables import read_csv, read_table
+    path = f"{checkpoint_dir(spark).rstrip('/')}/events-csv-{uuid.uuid4().hex}"
+    cols = read_table(spark, sf, "events").select("event_id", "event_type", "value", "props")
+    cols.write.option("header", True).option("escape", '"').csv(path)
+    return read_csv(spark, path, cols.schema.simpleString()[7:-1].replace(":", " "), escape='"')
+
+
+@register("f4_f5_drop_fill_events", "SELECT event_id, event_type, coalesce(value, 0.0) AS value FROM events")
+def _f45(spark, sf):
+    """F4 drops columns (absent names are ignored), F5 fills numeric nulls with 0."""
+    from classyard.operators.prep import drop_columns, fill_zero
+    from classyard.sources.tables import read_table
+    ev = read_table(spark, sf, "events")
+    return fill_zero(drop_columns(ev, [c for c in ev.columns if c not in ("event_id", "event_type", "value")] + ["absent"]), ["value"])
+
+
+@register("f8_assemble_line", "WITH " + O.prep_ctes("line") + f""",
+x AS (SELECT row_id, [{", ".join(O.feats("line"))}] AS v FROM line_prep WHERE split = 'test')
+SELECT row_id, CAST(j AS BIGINT) AS j, round(v[j + 1], 6) AS x FROM x, unnest(range({len(O.feats("line"))})) AS u(j)""")
+def _f8(spark, sf):
+    """F8: features in one vector, in order."""
+    from pyspark.ml.functions import vector_to_array
+    from classyard.operators.prep import assemble
+    p = prepared(spark, sf, "line")
+    v = assemble(p.test(), p.features).select("row_id", F.posexplode(vector_to_array("features")).alias("j", "x"))
+    return v.select("row_id", *_big("j"), _r("x"))
+
+
 @register("s2_concat_sources", """SELECT event_type, count(*) AS n FROM (
   SELECT event_id, event_type FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, event_type FROM events WHERE event_type <> 'view')
   GROUP BY event_type""")
@@ -533,7 +593,7 @@ def _s5(spark, sf):
 ROWS_MODELS = ["extra_tree", "logreg_elasticnet", "linear_svc", "sgd_modified_huber", "sgd_log", "sgd_hinge", "ridge", "lda", "qda", "elm", "rbf_sampler_ridge", "decision_tree", "random_forest", "bagging_dt",
                "perceptron", "passive_aggressive", "nystroem_sgd", "gaussian_process", "label_spreading",
                "som_classifier", "bagging_knn", "logreg", "extra_trees", "balanced_random_forest", "balanced_bagging",
-               "figs", "rgf"]
+               "figs", "rgf", "adaboost"]
 
 for _m in ROWS_MODELS:
     def _rows(spark, sf, m=_m):

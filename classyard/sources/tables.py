@@ -12,10 +12,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
     """Header CSV.  An explicit schema avoids the inference pass; hex-like
-    payload columns must be declared as string so they are never re-typed."""
-    r = spark.read.option("header", True)
+    payload columns must be declared as string so they are never re-typed.
+    ``options``: the reader's (quote, escape, sep ...)."""
+    r = spark.read.option("header", True).options(**options)
     return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
 
 
