@@ -40,6 +40,7 @@ PARTS_1 = 3                     # partitions for lengths that differ by one (one
 MIN_LENGTH, MIN_COUNT = 7, 2
 RATIO = 10                      # a form is so many times as frequent
 SLIP = 31                       # one run in so many loses a code point
+TASK_WORDS = 30_000             # words whose signatures one task makes
 
 
 # --- words ------------------------------------------------------------------
@@ -135,7 +136,8 @@ def variant_groups(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     word: the most frequent near word if it is ``ratio`` times as frequent, and
     the last word that forms lead to."""
     words = stored(words.select("word", "n"), "spelling-words")
-    pairs = near_pairs(words)
+    # a word makes many signatures: spread the small table before they are made
+    pairs = near_pairs(words.repartition(-(-words.count() // TASK_WORDS) or 1, "word"))
     both = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("nb").alias("near_n")),
                                          F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("na").alias("near_n")))))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
