@@ -37,8 +37,8 @@ def op2_url_logreg(spark, sf_dir):
 
 
 def op7_tool_links(spark, sf_dir):
-    from classyard.llm.tool_chat import chat_links
-    return chat_links(read(spark, sf_dir, "conversations"))
+    from classyard.llm.tool_chat import chat_rows
+    return chat_rows(read(spark, sf_dir, "conversations"))
 
 
 def op8_suffix_runs(spark, sf_dir):

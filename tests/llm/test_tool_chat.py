@@ -2,6 +2,7 @@ import json
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from classyard.llm import tool_chat as T
 
@@ -54,10 +55,44 @@ def test_empty_and_conversations_with_nulls(spark):
     assert got == [("", "unidentified"), ("", "unidentified"), ("1:0", "invalid")]
 
 
-def test_query_matches_sql(spark):
-    path = "/root/testdata/sf0.001/conversations.parquet"
+def against_sql(frame, messages):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}'")
-    want = con.execute(T.ORACLE_SQL).fetchdf().sort_values("call_id").reset_index(drop=True)
-    got = T.chat_links(spark.read.parquet(path)).toPandas()[list(want.columns)].sort_values("call_id").reset_index(drop=True)
-    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+    con.register("conversations", messages)
+    want = con.execute(T.ORACLE_SQL).fetchdf()
+    got = T.chat_rows(frame).toPandas()[list(want.columns)]
+    assert got.n_calls.sum() + got.n_results.sum() + (got.status == "message").sum() == frame.count()
+    order = ["conv_id", "call_id", "status", "json"]
+    pd.testing.assert_frame_equal(*[x.astype({"conv_id": "float", "level": "float"}).astype({"call_id": object, "parent_id": object, "tool": object})
+                                    .fillna({"call_id": "", "parent_id": "", "tool": ""}).sort_values(order).reset_index(drop=True)
+                                    for x in (got, want)], check_dtype=False)
+    return got
+
+
+def test_query_matches_sql(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    against_sql(frame, frame.toPandas())
+
+
+def test_every_message_is_accounted_for(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a c"), (1, 1, "assistant", "y"), (1, 1, "assistant", "x"),
+            (1, 2, "user", "é " * 20), (1, 2, "user", "zz"), (2, 1, "assistant", None), (None, 0, "user", "q"), (None, 1, "assistant", "r"),
+            (3, None, "user", "s"), (4, 0, "system", 's "1"'), (4, 0, "system", 's "1"'), (4, None, None, None), (None, 3, "tool", "t"),
+            (5, 0, "user", "long " * 30000), (5, 1, "assistant", "l" * 200000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    table = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    got = against_sql(frame.withColumns({c: F.lit(c) for c in ("call_id", "n_calls", "status", "k")}), table)
+    assert got.status.value_counts().to_dict() == {"message": 4, "unidentified": 3, "ok": 2, "unanswered": 1, "orphan": 1}
+    first = got[got.call_id == "1:0"].iloc[0]
+    assert (first.n_calls, first.n_results) == (3, 2) and json.loads(first.json)["result"] == "x"
+    assert got[got.call_id == "2:0"].conv_id.tolist() == [2]
+
+
+def test_identifiers_of_one_conversation(spark):
+    good = '{"query" : "x", "limit":3}'
+    calls = spark.createDataFrame([(c, "call_0", None, "search", good) for c in (1, 2, None)] + [(2, "call_1", "call_0", "search", good), (1, "call_2", "call_1", "search", good)],
+                                  "conv_id long, call_id string, parent_id string, tool string, arguments string")
+    results = spark.createDataFrame([(1, "call_0", "one"), (2, "call_0", "two"), (2, "call_0", "two"), (None, "call_0", "none"), (1, "call_1", "lost")],
+                                    "conv_id long, call_id string, content string")
+    got = {(r.conv_id, r.call_id): (r.status, r.level, json.loads(r.json)["result"], r.n_calls, r.n_results) for r in T.linked(calls, results, within=True).collect()}
+    assert got == {(1, "call_0"): ("ok", 0, "one", 1, 1), (2, "call_0"): ("ok", 0, "two", 1, 2), (None, "call_0"): ("ok", 0, "none", 1, 1),
+                   (2, "call_1"): ("unanswered", 1, None, 1, 0), (1, "call_2"): ("unanswered", 0, None, 1, 0), (1, "call_1"): ("orphan", None, "lost", 0, 1)}
