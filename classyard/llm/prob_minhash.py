@@ -16,9 +16,13 @@ one centre only, the member that meets most others in all its buckets.  Where
 members of a bucket then remain in different components, buckets of up to SMALL
 nodes try the pairs between the components, larger ones compare all members with
 the best one outside the first centre's component; this goes on, linear in the
-members, until a round finds no new link.  The members of larger buckets that
-are still of different components then meet by their rarest shingles: all pairs
-of them that can be similar enough are tried, whatever buckets they share.
+members, until a round finds no new link.  Members of larger buckets that are
+still of different components then meet inside tasks: buckets that share members
+are a family, a family is cut into blocks, and each pair of blocks goes to one task,
+which counts common shingles along posting lists.  A pair is never a row there; only
+links that join two components leave the task, so rows grow with the members (the
+counting in a task with the square of its bounded block).  Families of more than
+BANDS blocks are taken bucket by bucket, which moves less than all their blocks would.
 
 Texts with one to four words have one shingle of all of them; null or blank
 texts have none and are classes of their own.  Repeated rows are members of
@@ -30,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classyard.llm.common import stored
@@ -43,6 +47,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 6            # finds a pair of similarity 0.8 with probability 0.9998
 PLACES = BANDS * ROWS
 SMALL = 12                     # members of a bucket whose open pairs are all tried
+BLOCK = 1024                   # nodes, and bytes of text, that a block of a family has on average
+BLOCK_BYTES = 8 << 20
 
 _ID_BITS = 44                  # of a shingle's hash
 
@@ -184,27 +190,76 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return stored(joined.mapInArrow(run, "a long, b long"), "near-links")
 
 
-def rarest(texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, shingle), stored: of each node its shingles in the order of their
-    number of nodes, up to a share 1 - similarity of its weight.  The common
-    shingles of two nodes hold at least their probability Jaccard similarity of
-    the weight of either, since a term 1 / sum_e max(a_e / a_d, b_e / b_d) is at
-    most a_d / sum_e a_e.  So the first common one of a similar pair is among
-    these of both.  Shingles of one node only join nothing and are left out."""
-    def run(batches):
-        for b in batches:
-            node = b.column(0).to_numpy()
-            for lo, hi, t in text_slices(b.column(1), 1_000_000):
-                doc, ids, count = shingles(t)
-                total = np.bincount(doc, count, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[lo:hi][doc]), pa.array(ids.astype(np.int64)), pa.array(count / total[doc])], ["node", "shingle", "share"])
-    every = stored(texts.select("node", "text").mapInArrow(run, "node long, shingle long, share double"), "near-shingles")
-    common = stored(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "near-common")
-    ranked = every.join(common.hint("merge"), "shingle", "left").withColumn("nodes", F.coalesce("nodes", F.lit(1)))
-    order = Window.partitionBy("node").orderBy("nodes", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    return stored(ranked.withColumn("before", F.coalesce(F.sum("share").over(order), F.lit(0.0)))
-                  .where((F.col("before") <= 1 - similarity + 1e-6) & (F.col("nodes") > 1)).select("node", "shingle"), "near-rarest")
+def block_links(doc, ids, count, label, side, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of text numbers that are similar enough and join two components, of
+    ``shingles`` (doc, ids, count) with a component each.  ``side``: None for all pairs,
+    else a number for each text, and only texts of different numbers are compared.
+
+    Where the common shingles of a pair have equal counts in both, with sum C, its
+    probability Jaccard similarity is C / (A + B - C); any other pair whose common
+    shingles hold enough of either weight (a term 1 / sum_e max(a_e / a_d, b_e / b_d) is
+    at most a_d / sum_e a_e) is computed by the definition."""
+    n, label, out = len(label), np.array(label), []
+    _, slot, freq = np.unique(ids, return_inverse=True, return_counts=True)
+    total = np.bincount(doc, count, n)
+    every = np.searchsorted(doc, np.arange(n + 1))
+    shared = freq[slot] > 1
+    d, s, c = doc[shared], slot[shared], count[shared]
+    order = np.argsort(s, kind="stable")
+    lists, list_count = d[order], c[order]
+    start = np.searchsorted(s[order], np.arange(len(freq)))
+    cut = np.searchsorted(d, np.arange(n + 1))
+    for i in range(n):
+        rest = (label != label[i]) & (np.arange(n) > i)
+        if side is not None:
+            rest &= side != side[i]
+        mine = slice(cut[i], cut[i + 1])
+        if cut[i] == cut[i + 1] or not rest.any():
+            continue
+        size = freq[s[mine]]
+        at = np.arange(size.sum()) + np.repeat(start[s[mine]] - (np.cumsum(size) - size), size)
+        other, theirs, own = lists[at], list_count[at], np.repeat(c[mine], size)
+        com_a, com_b = np.bincount(other, own, n), np.bincount(other, theirs, n)
+        unequal = np.bincount(other, own != theirs, n) > 0
+        enough = similarity - 1e-9
+        found = rest & np.where(unequal, (com_a >= enough * total[i]) & (com_b >= enough * total),
+                                com_a >= enough * (total[i] + total - com_a))
+        for j in np.flatnonzero(found).tolist():
+            if label[j] == label[i]:
+                continue
+            x, y = (slice(every[k], every[k + 1]) for k in (i, j))
+            if unequal[j] and probability_jaccard(ids[x], count[x], ids[y], count[y]) < enough:
+                continue
+            out.append((i, j))
+            label[label == label[j]] = label[i]
+    return out
+
+
+def family_links(texts: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b), stored, between components of nodes that share a bucket.
+    ``texts``: (node, text); ``members``: (key, node, label) of buckets, stored."""
+    star = members.groupBy("key").agg(F.min("node").alias("least"))
+    family = components(members.join(star, "key").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    node = stored(members.select("node", F.col("label").alias("component")).distinct().join(family, "node")
+                  .join(texts.select("node", F.octet_length("text").alias("bytes")), "node"), "near-rest")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    sized = stored(node.join(node.groupBy("label").agg(blocks), "label"), "near-families")
+    wide = stored(members.select("key", "node").join(sized.where(F.col("blocks") > BANDS).select("node", "component", "bytes"), "node"), "near-wide")
+    wide = wide.join(wide.groupBy("key").agg(blocks), "key").select(F.lit(1).alias("kind"), F.col("key").alias("g"), "node", "component", "blocks")
+    dealt = sized.where(F.col("blocks") <= BANDS).select(F.lit(0).alias("kind"), F.col("label").alias("g"), "node", "component", "blocks").unionByName(wide)
+    dealt = (dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("kind", "g", "node", "component", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        names = table["node"].to_numpy()
+        one = table["lo"][0] == table["hi"][0]
+        pairs = block_links(*shingles(table["text"].to_pylist()), table["component"].to_numpy(),
+                            None if one else table["own"].to_numpy(), similarity)
+        return pa.table({"a": pa.array([names[i] for i, _ in pairs], pa.int64()), "b": pa.array([names[j] for _, j in pairs], pa.int64())})
+    return stored(dealt.join(texts.select("node", "text").hint("merge"), "node").groupBy("kind", "g", "lo", "hi")
+                  .applyInArrow(run, "a long, b long"), "near-links")
 
 
 def classes(rows: DataFrame, sketch: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -247,17 +302,11 @@ def classes(rows: DataFrame, sketch: DataFrame, similarity: float = SIMILARITY)
             break
         links = links.unionByName(new)
         label = components(links)
-    # members of large buckets that no centre has linked: every pair that can be similar
-    rest = stored(open_.where(F.col("n") > SMALL).select("node", "label").distinct(), "near-rest")
+    # members of large buckets that no centre has linked
+    rest = stored(open_.where(F.col("n") > SMALL).select("key", "node", "label"), "near-rest")
     if rest.isEmpty():
         return label
-    rare = stored(rarest(texts.join(rest.select("node"), "node"), similarity).join(rest, "node"), "near-rare")
-    mixed = rare.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
-    rare = stored(rare.join(mixed, "shingle"), "near-rare")
-    pairs = (rare.join(rare.select("shingle", F.col("node").alias("other"), F.col("label").alias("other_label")), "shingle")
-             .where("label <> other_label and node < other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    new = verified(texts, pairs, similarity)
+    new = family_links(texts, rest, similarity)
     return label if new.isEmpty() else components(links.unionByName(new))
 
 

@@ -114,14 +114,44 @@ def test_unlinked_families_in_large_buckets(spark):
     assert got == {k: smallest[c] for k, c in enumerate(want)}
 
 
-def test_rarest_shingles_meet_in_every_similar_pair(spark):
-    rng = random.Random(5)
-    texts = [words(rng, 150, 60) for _ in range(6)]
-    texts += [edited(rng, texts[k % 6], 0.01 + 0.004 * (k % 5)) for k in range(24)]
-    rows = N.rarest(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), N.SIMILARITY).collect()
-    rare = defaultdict(set)
-    for r in rows:
-        rare[r.node].add(r.shingle)
+def family(rng, n):
+    texts = [words(rng, 150, 60) + " again and again the same line" * (k % 3) for k in range(6)] + ["a b", "a b", "", "x"]
+    return texts + [edited(rng, texts[k % 6], 0.01 + 0.004 * (k % 5)) for k in range(n)]
+
+
+def joined(n, links, label):
+    root = list(label)
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    first = {}
+    return [first.setdefault(r, k) for k, r in enumerate(root)]
+
+
+def test_block_links_join_what_all_pairs_join():
+    texts = family(random.Random(5), 40)
+    n, sets = len(texts), [multiset(t) for t in texts]
+    pairs = [(a, b) for b in range(n) for a in range(b) if slow_similarity(sets[a], sets[b]) >= N.SIMILARITY - 1e-9]
+    side = np.arange(n) % 3
+    for label in (list(range(n)), [k // 2 * 2 for k in range(n)]):
+        got = N.block_links(*N.shingles(texts), label, None)
+        assert got and set(got) <= set(pairs) and joined(n, got, label) == joined(n, pairs, label)
+        cross = N.block_links(*N.shingles(texts), label, side)
+        assert joined(n, cross, label) == joined(n, [(a, b) for a, b in pairs if side[a] != side[b]], label)
+
+
+def test_blocks_and_wide_families_lose_nothing(spark, monkeypatch):
+    texts = family(random.Random(9), 60)
     sets = [multiset(t) for t in texts]
-    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if slow_similarity(sets[a], sets[b]) >= N.SIMILARITY]
-    assert pairs and all(rare[a] & rare[b] for a, b in pairs)
+    n = len(texts)
+    pairs = [(a, b) for b in range(n) for a in range(b) if slow_similarity(sets[a], sets[b]) >= N.SIMILARITY - 1e-9]
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    # bucket 1 holds all, bucket 2 the even ones; node 0 and 6 are linked already
+    rows = [(1, k, 0 if k == 6 else k) for k in range(n)] + [(2, k, 0 if k == 6 else k) for k in range(0, n, 2)]
+    members = spark.createDataFrame(rows, "key long, node long, label long")
+    label = [0 if k == 6 else k for k in range(n)]
+    want = joined(n, pairs, label)
+    for block, bands in ((1024, 28), (16, 28), (16, 2)):      # one block; a grid of blocks; bucket by bucket
+        monkeypatch.setattr(N, "BLOCK", block)
+        monkeypatch.setattr(N, "BANDS", bands)
+        got = [(r.a, r.b) for r in N.family_links(frame, members, N.SIMILARITY).collect()]
+        assert set(got) <= {p for p in pairs} and joined(n, got, label) == want
