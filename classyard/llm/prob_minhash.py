@@ -11,18 +11,15 @@ similarity of their shingles (for sets this is the ordinary Jaccard
 similarity).  Classes are the connected components of the verified links.
 
 Documents with equal multisets are one node from the start (64-bit
-fingerprints).  Within a bucket of a band every member is first compared with
-one centre only, the member that meets most others in all its buckets.  Where
-members of a bucket then remain in different components, buckets of up to SMALL
-nodes try the pairs between the components, larger ones compare all members with
-the best one outside the first centre's component; this goes on, linear in the
-members, until a round finds no new link.  Members of larger buckets that are
-still of different components then meet inside tasks: buckets that share members
-are a family, a family is cut into blocks, and each pair of blocks goes to one task,
-which counts common shingles along posting lists.  A pair is never a row there; only
-links that join two components leave the task, so rows grow with the members (the
-counting in a task with the square of its bounded block).  Families of more than
-BANDS blocks are taken bucket by bucket, which moves less than all their blocks would.
+fingerprints).  Every other node is first compared with one centre only: of the
+centres of its buckets (the members that meet most others in all their buckets) the
+one that meets most.  Buckets whose members are then of different components meet
+inside tasks: buckets that share members are a family, a family is cut into blocks,
+and each pair of blocks goes to one task, which counts common shingles along posting
+lists.  A pair is never a row there; only links that join two components leave the
+task, so rows grow with the members (the counting in a task with the square of its
+bounded block).  Families of more than BANDS blocks are taken bucket by bucket, which
+moves less than all their blocks would.
 
 Texts with one to four words have one shingle of all of them; null or blank
 texts have none and are classes of their own.  Repeated rows are members of
@@ -46,7 +43,6 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 6            # finds a pair of similarity 0.8 with probability 0.9998
 PLACES = BANDS * ROWS
-SMALL = 12                     # members of a bucket whose open pairs are all tried
 BLOCK = 1024                   # nodes, and bytes of text, that a block of a family has on average
 BLOCK_BYTES = 8 << 20
 
@@ -209,8 +205,11 @@ def block_links(doc, ids, count, label, side, similarity: float = SIMILARITY) ->
     lists, list_count = d[order], c[order]
     start = np.searchsorted(s[order], np.arange(len(freq)))
     cut = np.searchsorted(d, np.arange(n + 1))
-    for i in range(n):
-        rest = (label != label[i]) & (np.arange(n) > i)
+    # members of the largest component are told apart from others only
+    names, many = np.unique(label, return_counts=True)
+    largest = label == names[many.argmax()] if n else np.zeros(0, bool)
+    for i in np.flatnonzero(~largest).tolist() if n and many.max() > 1 else range(n):
+        rest = (label != label[i]) & (largest & (many.max() > 1) | (np.arange(n) > i))
         if side is not None:
             rest &= side != side[i]
         mine = slice(cut[i], cut[i + 1])
@@ -230,7 +229,7 @@ def block_links(doc, ids, count, label, side, similarity: float = SIMILARITY) ->
             x, y = (slice(every[k], every[k + 1]) for k in (i, j))
             if unequal[j] and probability_jaccard(ids[x], count[x], ids[y], count[y]) < enough:
                 continue
-            out.append((i, j))
+            out.append((min(i, j), max(i, j)))
             label[label == label[j]] = label[i]
     return out
 
@@ -275,35 +274,15 @@ def classes(rows: DataFrame, sketch: DataFrame, similarity: float = SIMILARITY)
     texts = stored(rows.select("row", F.col("doc.text").cast("string").alias("text"))
                    .join(stored(first, "near-first").hint("merge"), "row").select("node", "meets", "text"), "near-texts")
     inside = stored(inside.join(size, "key").join(texts.select("node", "meets"), "node"), "near-members")
-    centre = inside.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
-    tried = stored(inside.join(centre, "key").where("node <> centre")
-                   .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "near-pairs")
-    links = verified(texts, tried, similarity)
+    centre = inside.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("c"))
+    best = inside.join(centre, "key").where("node <> c.node").groupBy("node").agg(F.max("c").alias("c"))
+    pairs = stored(best.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), "near-pairs")
+    links = verified(texts, pairs, similarity)
     label = components(links)
-    while True:
-        # buckets whose members are not all of one component
-        open_ = stored(inside.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-open")
-        best = F.max(F.struct("meets", "node", "label"))
-        split = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), best.alias("c")).where("lo < hi")
-        open_ = stored(open_.join(split.select("key", F.col("c.label").alias("first")), "key"), "near-split")
-        # large buckets: all members against the best one outside the first centre's component
-        other = (open_.where((F.col("n") > SMALL) & (F.col("label") != F.col("first"))).groupBy("key").agg(best.alias("c")))
-        large = open_.join(other, "key").where("label <> c.label").select("node", F.col("c.node").alias("other"))
-        few = open_.where(F.col("n") <= SMALL).select("key", "node", "label")
-        small = (few.join(few.select("key", F.col("node").alias("other"), F.col("label").alias("other_label")), "key")
-                 .where("label <> other_label and node < other").select("node", "other"))
-        pairs = stored(small.unionByName(large).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-                       .distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            break
-        new = verified(texts, pairs, similarity)
-        tried = tried.unionByName(pairs)
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        label = components(links)
-    # members of large buckets that no centre has linked
-    rest = stored(open_.where(F.col("n") > SMALL).select("key", "node", "label"), "near-rest")
+    # buckets whose members are not all of one component
+    open_ = stored(inside.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-open")
+    split = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rest = stored(open_.join(split, "key"), "near-rest")
     if rest.isEmpty():
         return label
     new = family_links(texts, rest, similarity)
