@@ -111,3 +111,39 @@ def test_split_and_model_deterministic_across_partitionings(spark):
     p1 = S.NearestCentroid().fit(df, Ctx(feats, 3)).predict(df).toPandas().sort_values("row_id").p.to_numpy()
     p2 = S.NearestCentroid().fit(df.repartition(5), Ctx(feats, 3)).predict(df.repartition(3)).toPandas().sort_values("row_id").p.to_numpy()
     assert (p1 == p2).all()
+
+
+def test_knn_computes_few_exact_distances():
+    """Bounds by one matrix product leave few pairs to compute exactly, in a first round
+    and with a known k-th distance; the k best equal a full sort."""
+    rng = np.random.default_rng(3)
+    r, x = rng.normal(size=(6000, 30)), rng.normal(size=(50, 30))
+    full = np.round(knn._squares(x, r), knn.ROUND)
+    want = np.argsort(full, axis=1, kind="stable")[:, :5]
+    kth = np.take_along_axis(full, want, 1)[:, -1]
+    for known in (np.full(50, np.inf), kth):
+        i, j, d2 = knn._candidates(x, r, knn.Screen(r), known, 5)
+        assert len(i) < 50 * 6000 / 50 and (d2 == full[i, j]).all()
+        rows, dist, ids, _ = knn._k_best(i, d2, j, j, 5)
+        assert (ids.reshape(50, 5) == want).all()
+
+
+def test_knn_model_of_cells_is_small():
+    """What every task receives grows with the pivots, not with their square."""
+    import pickle
+    rng = np.random.default_rng(4)
+    cells = knn.Cells(rng.normal(size=(2000, 4)), 2_000_000)
+    own, r = cells.nearest(cells.pivots)
+    cells.measured(r, np.full(2000, 700))
+    assert (own == np.arange(2000)).all() and len(pickle.dumps(cells)) < 1_000_000
+    # buckets hold neighbouring cells: a row's near cells lie in few of them
+    near = cells.needed(cells.pivots, own, np.full(2000, 0.2 ** 2))
+    assert np.mean([len(set(cells.unit_bucket[n])) for n in near]) < cells.unit_bucket.max() / 2
+
+
+def test_knn_rows_of_small_cells_have_a_bound():
+    """A row with fewer than k rows in its cell does not visit every cell."""
+    x = np.concatenate([np.full((1, 2), 0.0), np.full((1, 2), 1.0), np.full((1, 2), 90.0)])
+    cells = knn.Cells(x, 60)
+    cells.measured(np.zeros(3), np.array([2, 30, 28]))
+    assert np.allclose(cells.reach(cells.pivots[:1] * 0, 5), 2.0)
