@@ -147,3 +147,20 @@ def test_knn_rows_of_small_cells_have_a_bound():
     cells = knn.Cells(x, 60)
     cells.measured(np.zeros(3), np.array([2, 30, 28]))
     assert np.allclose(cells.reach(cells.pivots[:1] * 0, 5), 2.0)
+
+
+def test_gradient_passes_read_packed_rows(spark):
+    """Few rows of blocks move in a pass; loss and gradient equal plain NumPy."""
+    from classyard.operators.models import linear_iter as L
+    df, pdf = fixture(spark, seed=7)
+    feats = ["f0", "f1", "f2"]
+    blocks = L.packed(df.coalesce(2), feats)
+    assert blocks.count() <= 2
+    W = np.random.default_rng(1).normal(size=(3, 4))
+    loss, grad = L.grad_pass(blocks, feats, 3, W, "log", np.array([1.0, 2.0, 0.5]))
+    x, y = pdf[feats].to_numpy(), pdf.label.to_numpy()
+    sign, sw = 2 * np.eye(3)[y] - 1, np.array([1.0, 2.0, 0.5])[y][:, None]
+    z = sign * (x @ W[:, :3].T + W[:, 3])
+    g = -1 / (1 + np.exp(z)) * sign * sw
+    assert np.allclose(loss, (np.logaddexp(0, -z) * sw).sum(0))
+    assert np.allclose(grad, np.column_stack([g.T @ x, g.sum(0)]))
