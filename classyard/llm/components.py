@@ -7,22 +7,36 @@ from pyspark.sql import functions as F
 from classyard.llm.common import stored
 
 
+def _edges(pairs: DataFrame) -> DataFrame:
+    """Each edge once, smaller node first, none from a node to itself."""
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the smallest node of each
-    component.  Smallest labels spread along edges and labels are halved by
-    pointer jumping, so rounds grow with the logarithm of the diameter; every
-    round is a join and an aggregate, and its labels are stored."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                  .where("a <> b"), "cc-edges")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                   .select("node", F.least("node", "m").alias("label")), "cc-labels")
+    component.  In a round every node moves to its smallest neighbour, if that is
+    smaller, and on along those moves to their end (pointer doubling); edges between
+    nodes that are not yet one go on to the next round under their new names.  So an edge
+    is joined once and only what is left of it again; all but the nodes that are smaller
+    than their neighbours are gone after a round, so rounds grow with the logarithm."""
+    left, moves = stored(_edges(edges), "cc-edges"), []
     while True:
-        near = (both.join(label.select(F.col("node").alias("b"), "label"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        spread = stored(label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "cc-spread")
-        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = stored(spread.join(jump, "label", "left").select(
-            "node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "cc-labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        label = new.select("node", "label")
+        near = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
+        move = stored(near.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "cc-moves")
+        while True:
+            jump = move.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            far = stored(move.join(jump, "label").select("node", "label", "far"), "cc-moves")
+            move = far.select("node", F.col("far").alias("label"))
+            if far.where("label <> far").isEmpty():
+                break
+        moves.append(move)
+        to = lambda x: move.select(F.col("node").alias(x), F.col("label").alias(f"to_{x}"))
+        left = stored(_edges(left.join(to("b"), "b").join(to("a"), "a").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), "cc-edges")
+        if left.isEmpty():
+            break
+    # where a node's last move leads, from the last round back
+    label = moves.pop()
+    while moves:
+        far = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        label = stored(moves.pop().join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "cc-labels")
+    return label
