@@ -164,3 +164,35 @@ def test_gradient_passes_read_packed_rows(spark):
     g = -1 / (1 + np.exp(z)) * sign * sw
     assert np.allclose(loss, (np.logaddexp(0, -z) * sw).sum(0))
     assert np.allclose(grad, np.column_stack([g.T @ x, g.sum(0)]))
+
+
+def test_knn_models_share_one_search(spark, monkeypatch):
+    """Both votes from one neighbour table equal those of two searches; ties and equal rows included."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 4, (160, 2)).astype(float)
+    rows = [(i, int(rng.integers(0, 3)), *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, label int, a double, b double")
+    tr, te = df.where("row_id < 110"), df.where("row_id >= 110").unionByName(df.where("row_id = 120"))
+    models = {"five": knn.KNN(5), "fifteen": knn.KNN(15, weighted=True)}
+    want = {n: sorted(map(tuple, m.fit(tr, Ctx(["a", "b"], 3)).predict(te).collect())) for n, m in models.items()}
+    searches, search = [], knn.neighbours
+    monkeypatch.setattr(knn, "neighbours", lambda *a, **k: searches.append(a[3]) or search(*a, **k))
+    both = knn.predictions(tr, te, ["a", "b"], models)
+    assert searches == [15]
+    assert {n: sorted(map(tuple, both.select("row_id", "y", f"{n}.p").collect())) for n in models} == want
+
+
+def test_leaderboard_searches_neighbours_once_a_table(spark, monkeypatch):
+    from classyard.plans import leaderboard as L
+    from classyard.plans import queries_base as B
+    monkeypatch.setattr(B, "_PRED", {})
+    monkeypatch.setattr(L, "DATASETS", ["evt"])
+    searches, search = [], knn.neighbours
+    monkeypatch.setattr(knn, "neighbours", lambda *a, **k: searches.append(a[3]) or search(*a, **k))
+    shared = L.lb_predictions(spark, "/root/testdata/sf0.001")
+    assert searches == [15]
+    shared = sorted(map(tuple, shared.collect()))
+    monkeypatch.setattr(B, "_PRED", {})
+    monkeypatch.setattr(L, "knn_predictions", lambda *a: None)
+    assert sorted(map(tuple, L.lb_predictions(spark, "/root/testdata/sf0.001").collect())) == shared
+    assert searches == [15, 5, 15]
