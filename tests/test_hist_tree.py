@@ -197,3 +197,47 @@ def test_full_depth_trees_equal_plain_search_wherever_cut(table, kw, monkeypatch
     want = np.mean([plain_gini(codes(x, fm.edges), y, w, 42, t, kw["max_features"], kw.get("random_threshold")) for t in range(3)], axis=0)
     for got in found:
         assert np.allclose(got, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_class_sums_equal_channels_one_by_one(weighted):
+    rng = np.random.default_rng(2)
+    n, d, nb, K, nodes = 500, 4, 9, 3, 2
+    B, y, at = rng.integers(0, nb, (n, d)), rng.integers(0, K, n), rng.integers(-1, nodes, n)
+    w = rng.random(n) * (rng.random(n) < 0.7) if weighted else None
+    live = np.flatnonzero(w > 0) if weighted else None
+    got = np.zeros((nodes, d, nb, K + 1))
+    H.add_classes(got, at, B, y, w, live, [0, 2, 3])
+    want = np.zeros_like(got)
+    for i in range(n):
+        if at[i] >= 0 and (not weighted or w[i] > 0):
+            for f in (0, 2, 3):
+                want[at[i], f, B[i, f], y[i]] += w[i] if weighted else 1
+                want[at[i], f, B[i, f], -1] += 1
+    assert (got == want).all()
+
+
+def test_tasks_follow_cores_then_rows():
+    """A pass sends its histograms once a task: 350,000 rows were 175 tasks on any cluster."""
+    assert H.tasks_of(350_000, 400, 12) == 12
+    assert H.tasks_of(7_000, 400, 12) == 4
+    assert H.tasks_of(350_000, 5, 12) == 5
+    assert H.tasks_of(6_000_000, 400, 12) == 30
+    assert H.tasks_of(0, 0, 12) == 1
+
+
+def test_cyclic_rounds_fold_one_feature(table, monkeypatch):
+    """A round of the additive booster reads the histogram of its feature (and of the
+    first, for totals) only, and is the same as from all histograms."""
+    df, _, _ = table
+    kw = dict(n_rounds=4, depth=2, cyclic=True, lam=0.0, min_child_weight=0.0, min_child_samples=2)
+
+    def fit():
+        fm = H.HistGBM(**kw)
+        got = fm.fit(df, Ctx(FEATS, 3))
+        return {r.row_id: r.prob for r in got.proba(df).collect()}, got.importances, [fm._folded(r) for r in range(4)]
+    few, gains, folded = fit()
+    assert folded == [[0], [0, 1], [0, 2], [0]]
+    monkeypatch.setattr(H.HistGBM, "_folded", lambda self, r: list(range(self._d)))
+    every, all_gains, _ = fit()
+    assert few == every and (gains == all_gains).all()
