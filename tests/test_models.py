@@ -196,3 +196,46 @@ def test_leaderboard_searches_neighbours_once_a_table(spark, monkeypatch):
     monkeypatch.setattr(L, "knn_predictions", lambda *a: None)
     assert sorted(map(tuple, L.lb_predictions(spark, "/root/testdata/sf0.001").collect())) == shared
     assert searches == [15, 5, 15]
+
+
+def test_knn_cells_are_chosen_by_blocks_of_rows(monkeypatch):
+    """Near rows share one choice of cells: few of all (row, pivot) bounds are computed, the
+    cells are those of a search through all of them, and rows that are not finite or lie far away keep theirs."""
+    rng = np.random.default_rng(6)
+    x = rng.uniform(size=(20_000, 3)) * [60, 9, 5]
+    x[:4] = [[np.nan, 0, 0], [np.inf, 1, 1], [1e9, 0, 0], [-1e9, 5, 5]]
+    cells = knn.Cells(x[4:2004].copy(), len(x))
+    bounds, plain = [0], knn.Screen.__call__
+
+    def counted(self, rows):
+        bounds[0] += len(rows) * (self.M.shape[1])
+        return plain(self, rows)
+    monkeypatch.setattr(knn.Screen, "__call__", counted)
+    cell, dist = cells.nearest(x)
+    assert bounds[0] < len(x) * len(cells.pivots) / 4
+    at = np.r_[2:300, 9_000:9_100]
+    d2 = knn._squares(x[at], cells.pivots)
+    assert (cell[at] == d2.argmin(axis=1)).all() and (dist[at] == np.sqrt(d2.min(axis=1))).all()
+    assert (cell[:2] == 0).all() and np.isnan(dist[:2]).all()
+    radius, rows = np.zeros(len(cells.pivots)), np.bincount(cell[2:], minlength=len(cells.pivots))
+    np.maximum.at(radius, cell[4:], dist[4:])
+    cells.measured(radius, rows)
+    kth = rng.uniform(size=len(x)) * 0.3
+    kth[:5] = [np.inf, np.nan, 1.0, 1.0, np.inf]
+    got = np.zeros((len(x), len(cells.pivots)), bool)
+    bounds[0] = 0
+    for r, c, need in cells.visited(x, cell, kth):
+        got[np.ix_(r, c)] |= need
+    assert bounds[0] < len(x) * len(cells.pivots) / 4
+    for s in range(0, len(x), 500):
+        assert (got[s:s + 500] == cells.needed(x[s:s + 500], cell[s:s + 500], kth[s:s + 500])).all()
+
+
+def test_knn_visits_are_found_once(spark, monkeypatch):
+    """The cells of test rows are stored, for the counts of buckets and for the join."""
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(knn, "CELL_ROWS", 12)
+    df, _ = fixture(spark, n=420)
+    nb = knn.neighbours(df.where("row_id % 4 <> 0"), df.where("row_id % 4 = 0"), ["f0", "f1", "f2"], 3)
+    plan = nb._jdf.queryExecution().optimizedPlan().toString()
+    assert nb.count() == 105 * 3 and plan.count("MapInArrow") == 1 + plan.count("InMemoryRelation")   # train rows only
