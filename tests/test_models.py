@@ -239,3 +239,40 @@ def test_knn_visits_are_found_once(spark, monkeypatch):
     nb = knn.neighbours(df.where("row_id % 4 <> 0"), df.where("row_id % 4 = 0"), ["f0", "f1", "f2"], 3)
     plan = nb._jdf.queryExecution().optimizedPlan().toString()
     assert nb.count() == 105 * 3 and plan.count("MapInArrow") == 1 + plan.count("InMemoryRelation")   # train rows only
+
+
+def test_bagging_knn_searches_once_for_all_replicates(spark, monkeypatch):
+    """One list of neighbours serves all replicates and gives what plain replicates give; a row with
+    more ties than the lists hold is searched by replicate, and only such rows are."""
+    from pyspark.sql import functions as F
+
+    from classyard.operators.models import ensembles
+    from classyard.operators.samplers import bootstrap
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(700, 2)), 2)
+    x[:400] = x[0] + 9                                   # ties beyond the longer list
+    pdf = pd.DataFrame(x, columns=["f0", "f1"])
+    pdf.insert(0, "label", rng.integers(0, 3, 700).astype("int32"))
+    pdf.insert(0, "row_id", rng.permutation(700).astype("int64") - 300)
+    df = spark.createDataFrame(pdf)
+    tr, te = df.where("row_id % 9 <> 0"), df.where("row_id % 9 = 0")
+    calls, plain = [], ensembles.knn.neighbours
+
+    def counted(train, test, features, k, **kw):
+        calls.append((k, kw.get("extra_group"), test.select("row_id").distinct().count()))
+        return plain(train, test, features, k, **kw)
+    monkeypatch.setattr(ensembles.knn, "neighbours", counted)
+    got = {r["row_id"]: r["p"] for r in ensembles.BaggingKNN(4, 5).fit(tr, Ctx(["f0", "f1"], 3)).predict(te).collect()}
+    tied = len(set(pdf[(pdf.row_id % 9 == 0) & (pdf.f0 == x[0, 0])].row_id))
+    n_te = int((pdf.row_id % 9 == 0).sum())
+    assert [c[1] for c in calls] == [None, None, "replicate"] and 0 < tied < n_te
+    assert calls[0][2] == n_te and calls[1][2] < n_te and calls[2][2] == tied
+    boot = bootstrap(tr, 4).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w")))).withColumn("id", F.xxhash64("row_id", "copy")).toPandas()
+    votes = {}
+    for _, r in pdf[pdf.row_id % 9 == 0].iterrows():
+        v = np.zeros(3, int)
+        for _, b in boot.groupby("replicate"):
+            d2 = np.round(((b[["f0", "f1"]].to_numpy() - r[["f0", "f1"]].to_numpy(float)) ** 2).sum(axis=1), 10)
+            v += np.bincount(b.label.to_numpy()[np.lexsort((b.id.to_numpy(), d2))[:5]], minlength=3)
+        votes[int(r.row_id)] = int(v.argmax())
+    assert got == votes
