@@ -75,14 +75,15 @@ def run_models(spark: SparkSession, prep: Prepared, specs: list[ModelSpec],
     return pred, run_df.withColumn("n_test_samples", F.lit(n_test).cast("long"))
 
 
-def result_records(pred: DataFrame | None, runs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Join run records with E1-E6 into the result-record table (ok + failed)."""
+def result_records(pred: DataFrame | None, runs: DataFrame, classes: DataFrame, tables: dict | None = None) -> DataFrame:
+    """Join run records with E1-E6 into the result-record table (ok + failed).
+    ``tables``: what ``ev.evaluate`` made of the predictions, if that ran before."""
     from classyard.sources.results import RESULT_SCHEMA
     cols = [c.split(" ")[0] for c in RESULT_SCHEMA.split(", ")]
     if pred is None:
         ok = None
     else:
-        e = ev.evaluate(pred, classes)
+        e = tables or ev.evaluate(pred, classes)
         pc = (e["per_class"].groupBy("dataset", "model")
               .agg(F.array_sort(F.collect_list(F.struct("label", "class", "precision", "recall", "f1", "support"))).alias("a"))
               .select("dataset", "model",
