@@ -94,3 +94,16 @@ def test_letter_shares_count_every_letter(spark):
         t = texts[r["i"]]
         low = None if t is None else t.lower()
         assert list(r)[1:] == [None if t is None else low.count(c) / len(low) if low else 0.0 for c in LETTERS]
+
+
+def test_parts_of_a_round_are_dealt_by_number(spark, conf):
+    """Two buckets of few bytes and much work are not put into one task."""
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    df = _points(spark, 40)
+    at = (F.col("row_id") % 2).alias("bucket")
+    te = df.select("row_id", F.col("label").alias("y"), "a", "b", at.alias("cell"), at.alias("mine"), at,
+                   F.lit(float("inf")).alias("kth"), F.lit(3.0 * knn.TASK_PAIRS / 40).alias("work"))
+    found = knn._meet(te, df.select("row_id", "label", "a", "b", at.alias("cell"), at), 3, ["a", "b"], [], None, first=True)
+    assert found.rdd.getNumPartitions() >= 8             # two buckets in two parts or more
+    rows = found.select("row_id", F.size("nb_row").alias("n"), F.forall("nb_row", lambda x: x % 2 == F.col("row_id") % 2).alias("own")).collect()
+    assert sorted(r["row_id"] for r in rows) == list(range(40)) and all(r["n"] == 3 and r["own"] for r in rows)
