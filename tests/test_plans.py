@@ -43,3 +43,27 @@ def test_split_joins_cut_table_by_broadcast(spark):
     df = label_encode(rd.raw, "cls", ["click", "error", "purchase", "signup", "view"]).drop("cls")
     p = plan(stratified_split(df))
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+
+
+def test_bagging_knn_is_fitted_on_all_train_rows(spark, monkeypatch):
+    from dataclasses import replace
+
+    from classyard.operators.models.base import Estimator, Fitted
+    from classyard.operators.models.registry import REGISTRY
+    from classyard.operators.prep import Prepared
+    from classyard.plans import queries
+    seen = []
+
+    class Counts(Estimator, Fitted):
+        def fit(self, train, ctx):
+            seen.append(train.count())
+            return self
+
+        def predict(self, df):
+            return df.select("row_id", F.col("label").alias("y"), F.col("label").alias("p"))
+    n = 40_100
+    df = spark.range(n + 3).selectExpr("id AS row_id", f"IF(id < {n}, 'train', 'test') AS split", "CAST(id % 2 AS INT) AS label", "CAST(id AS DOUBLE) AS f0")
+    monkeypatch.setattr(queries, "prepared", lambda *a: Prepared("lang", df, ["a", "b"], ["f0"]))
+    monkeypatch.setitem(REGISTRY, "bagging_knn", replace(REGISTRY["bagging_knn"], build=Counts))
+    assert queries.Q["bagging_knn_lang"](spark, "").count() == 3
+    assert seen == [n]
