@@ -110,6 +110,12 @@ def inserted_signatures(words: DataFrame, longer: bool) -> DataFrame:
     return _with_digests(words, PARTS_1).select("word", "n", F.substring("word", F.lit(1), h).alias("prefix"), F.inline(F.array(*rows)))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """Never broadcast: Spark judges a table by the bytes of its Parquet files, which
+    says nothing of the signatures made from it, and little of its rows in memory."""
+    return df.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, na, b, nb), each pair once: words that differ by exactly one inserted,
     deleted or replaced code point."""
@@ -123,10 +129,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     once = ((F.col("a_di") != F.col("b_di")) & ((F.col("a_dj") != F.col("b_dj")) | (F.col("a_i") == 0) & (F.col("a_j") == 1))
             | (F.col("a_di") == F.col("b_di")) & (F.col("a_dj") != F.col("b_dj")) & (F.col("a_i") == 0))
     first = (F.col("a_side") == 0) | (F.substring("a", F.lit(1), h) != F.substring("b", F.lit(1), h))
-    same = left.join(right, "key").where((F.col("a") < F.col("b")) & once & first).where(one).select("a", "na", "b", "nb")
+    same = left.join(_shuffled(right), "key").where((F.col("a") < F.col("b")) & once & first).where(one).select("a", "na", "b", "nb")
     left, right = named(inserted_signatures(words, False), "a", ["side", "prefix"]), named(inserted_signatures(words, True), "b", ["prefix"])
     first = (F.col("a_side") == 0) | (F.col("a_prefix") != F.col("b_prefix"))
-    return same.unionByName(left.join(right, "key").where(first).where(one).select("a", "na", "b", "nb"))
+    return same.unionByName(left.join(_shuffled(right), "key").where(first).where(one).select("a", "na", "b", "nb"))
 
 
 # --- forms and roots --------------------------------------------------------
@@ -141,19 +147,19 @@ def variant_groups(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     both = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("nb").alias("near_n")),
                                          F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("na").alias("near_n")))))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    found = words.join(best, "word", "left")
+    found = words.join(_shuffled(best), "word", "left")
     is_form = -F.col("best.less") >= ratio * F.col("n")
     found = stored(found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("best.near")).alias("form"),
                                 F.when(is_form, -F.col("best.less")).alias("form_n")), "spelling-forms")
     roots = found.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:
         ahead = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        step = stored(roots.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"),
+        step = stored(roots.join(_shuffled(ahead), "root", "left").select("word", F.coalesce("further", "root").alias("root"),
                                                                F.col("further").isNotNull().alias("moved")), "spelling-roots")
         roots = step.select("word", "root")
         if step.where("moved").isEmpty():
             break
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(_shuffled(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def corpus_variants(docs: DataFrame) -> DataFrame:

@@ -81,6 +81,21 @@ def test_each_pair_comes_once(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in words for b in words if a < b and near(a, b)}
 
 
+def test_words_are_not_broadcast(spark, monkeypatch):
+    """Signatures of a small file are many rows: no join may send one side to all."""
+    plans, stored = [], S.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+    monkeypatch.setattr(S, "stored", seen)
+    docs = [(k, "letters lettersx letterss " * 4) for k in range(40)]
+    out = S.corpus_variants(spark.createDataFrame(docs, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 10 ** 6
+    assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_edges(spark):
     assert S.corpus_variants(empty_docs(spark)).count() == 0
     docs = edge_docs(spark)
