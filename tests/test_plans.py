@@ -45,7 +45,8 @@ def test_split_joins_cut_table_by_broadcast(spark):
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
-def test_bagging_knn_is_fitted_on_all_train_rows(spark, monkeypatch):
+def _counting(monkeypatch, keys, n):
+    """Stand-ins of registry models that note how many train rows they are given, on ``n`` of them."""
     from dataclasses import replace
 
     from classyard.operators.models.base import Estimator, Fitted
@@ -61,9 +62,25 @@ def test_bagging_knn_is_fitted_on_all_train_rows(spark, monkeypatch):
 
         def predict(self, df):
             return df.select("row_id", F.col("label").alias("y"), F.col("label").alias("p"))
-    n = 40_100
-    df = spark.range(n + 3).selectExpr("id AS row_id", f"IF(id < {n}, 'train', 'test') AS split", "CAST(id % 2 AS INT) AS label", "CAST(id AS DOUBLE) AS f0")
-    monkeypatch.setattr(queries, "prepared", lambda *a: Prepared("lang", df, ["a", "b"], ["f0"]))
-    monkeypatch.setitem(REGISTRY, "bagging_knn", replace(REGISTRY["bagging_knn"], build=Counts))
-    assert queries.Q["bagging_knn_lang"](spark, "").count() == 3
-    assert seen == [n]
+
+    def prepared(spark, sf, ds):
+        df = spark.range(n + 3).selectExpr("id AS row_id", f"IF(id < {n}, 'train', 'test') AS split", "CAST(id % 2 AS INT) AS label", "CAST(id AS DOUBLE) AS f0")
+        return Prepared("lang", df, ["a", "b"], ["f0"])
+    monkeypatch.setattr(queries, "prepared", prepared)
+    for key in keys:
+        monkeypatch.setitem(REGISTRY, key, replace(REGISTRY[key], build=Counts))
+    return queries.Q, seen
+
+
+def test_bagging_knn_is_fitted_on_all_train_rows(spark, monkeypatch):
+    Q, seen = _counting(monkeypatch, ["bagging_knn"], 40_100)
+    assert Q["bagging_knn_lang"](spark, "").count() == 3
+    assert seen == [40_100]
+
+
+def test_family_panel_is_fitted_on_all_train_rows(spark, monkeypatch):
+    from classyard.session import checkpoint_dir
+    checkpoint_dir(spark)
+    Q, seen = _counting(monkeypatch, ["random_forest", "logreg", "knn5", "nearest_centroid"], 15_100)
+    assert Q["i8_family_panel_lang"](spark, "").count() == 4
+    assert seen == [15_100] * 4
