@@ -12,12 +12,13 @@ lead to.
    all of theirs (``channels`` tells why no pair is lost).  A task sends a shingle
    at most twice per slice of its texts, however frequent it is.
 3. Groups.  Shingles that are left have a global order, rare ones first.  Linked
-   nodes share one of the first floor(n / 10) + 1, so nodes are grouped by connected
-   components over those that are not alone.
+   nodes share one of the first floor(n / 10) + 1, in the smaller set even one of the first
+   floor(n / 19) + 1, and their sizes are near, so nodes are grouped by connected components
+   over those that are not alone.
 4. Tries.  A group's sets, in one global order, are stored in a trie whose paths
    share tokens.  Each set walks the trie once: the overlap of a path is summed up
-   once for all sets below it, and a subtree is left out when the tokens that
-   remain, on either side, cannot reach the overlap that the sizes ask for, or when
+   once for all sets below it, and a subtree is left out when no set below shares one of
+   the rarest tokens of the walker (``_Rare``), when the tokens that remain, on either side, cannot reach the overlap that the sizes ask for, or when
    all below is known to be in the walker's component.  Overlaps are exact.
 5. Groups beyond ``GROUP_SHINGLES`` are never held by one task.  First they are
    dealt into blocks by hash, each with some centres of the whole group: families
@@ -33,6 +34,7 @@ doc_id and text are read.
 """
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import groupby
 
 import numpy as np
@@ -53,6 +55,7 @@ LEAN = 0.22                     # so are sets with no larger share of sampled sh
 SLICE = 4_000_000               # bytes of text that send a shingle at most twice
 GROUP_SHINGLES = 2_000_000      # of a group that one task joins
 GROUP_NODES = 20_000
+BAND = 1.12                     # sizes of a link differ by 10 / 9 at most: two bands next to each other
 CENTRES = 32
 
 
@@ -223,8 +226,9 @@ def live_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(node, channel, key): of each node's keys in the global order, rare ones
-    first, those among the first floor(n / 10) + 1 that another node has."""
+    """(node, channel, key, band, indexed): of each node's keys in the global order, rare
+    ones first, those among the first floor(n / 10) + 1 that another node has; ``indexed``
+    ones are among the first floor(n / 19) + 1."""
     rows = sets.select("node", F.lit(0).alias("channel"), F.explode("keys0").alias("key")).unionByName(
         sets.select("node", F.lit(1).alias("channel"), F.explode("keys1").alias("key")))
     common = rows.groupBy("channel", "key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -233,14 +237,23 @@ def prefixes(sets: DataFrame) -> DataFrame:
              .join(sets.select("node", "n", "size0", "size1"), "node"))
     alone = F.when(F.col("channel") == 0, F.col("size0")).otherwise(F.col("size1")) - F.size("keys")
     take = (F.floor(F.col("n") / 10) + 1 - alone).cast("int")
-    return (lists.withColumn("take", take).where("take > 0")
-            .select("node", "channel", F.explode(F.slice("keys", F.lit(1), F.col("take"))).alias("e")).select("node", "channel", "e.key"))
+    lists = lists.withColumn("alone", alone).withColumn("take", take).where("take > 0")
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int").alias("band")
+    return (lists.select("node", "channel", "n", "alone", band, F.posexplode(F.slice("keys", F.lit(1), F.col("take"))).alias("at", "e"))
+            .select("node", "channel", "e.key", "band", (F.col("at") + F.col("alone") <= F.floor(F.col("n") / 19)).alias("indexed")))
 
 
 def grouped(prefix: DataFrame) -> DataFrame:
-    """(node, label): connected components of nodes over shared keys."""
-    hubs = prefix.groupBy("channel", "key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    edges = prefix.join(hubs, ["channel", "key"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    """(node, label): connected components of nodes over shared keys.
+
+    Of the keys of a linked pair the first one in the global order is an indexed one of the
+    smaller set, which misses no more than a nineteenth of its shingles in the larger one.
+    The larger set is of the same band of sizes or of the next one.  So all nodes of two
+    bands that have a key are one with a node that has it indexed in the lower band."""
+    hubs = prefix.where("indexed").groupBy("channel", "key", "band").agg(F.min("node").alias("hub"))
+    near = hubs.select("channel", "key", "hub", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    edges = (prefix.select("node", "channel", "key", "band").join(near, ["channel", "key", "band"]).where("node <> hub")
+             .select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     return components(edges)
 
 
@@ -305,6 +318,27 @@ class Trie:
         return out
 
 
+class _Rare:
+    """Which sets share one of each other's floor(n / 10) + 1 rarest tokens; linked sets do.
+    Sets are numbered in the trie's order."""
+
+    def __init__(self, rare: list[np.ndarray], width: int):
+        self.rare = rare
+        owner = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+        token = np.concatenate(rare)
+        order = np.argsort(token, kind="stable")                # ascending numbers under each token
+        self.owner = owner[order]
+        self.start = np.searchsorted(token[order], np.arange(width + 1))
+
+    def after(self, q: int, most: int) -> np.ndarray | None:
+        """Numbers beyond ``q`` that share one with it, ascending; None if that means to look at more than ``most``."""
+        lo, hi = self.start[self.rare[q]], self.start[self.rare[q] + 1]
+        if (hi - lo).sum() > most:
+            return None
+        found = np.unique(np.concatenate([self.owner[a:b] for a, b in zip(lo.tolist(), hi.tolist())] or [self.owner[:0]]))
+        return found[found > q]
+
+
 def join_sets(sets: list[np.ndarray], sizes: list[int], parts: list[int] | None = None) -> np.ndarray:
     """Component number of each set (of all shingles) under Jaccard >= 0.9;
     ``parts``: numbers of components that are known already."""
@@ -315,25 +349,34 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], parts: list[int] | None
     width = int((df > 1).sum())                                 # tokens of one set cannot overlap
     ranks = rank[inverse]
     cut = np.cumsum([0] + [len(s) for s in sets])
-    short = []
-    for a, b in zip(cut[:-1], cut[1:]):
+    short, rare = [], []
+    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
         r = np.sort(ranks[a:b])
-        short.append(r[:np.searchsorted(r, width)])
+        shared = np.searchsorted(r, width)
+        short.append(r[:shared])
+        rare.append(r[max(0, len(r) - sizes[k] // 10 - 1):shared])
     trie = Trie(short, sizes)
+    near = _Rare([rare[k] for k in trie.order], width)
     label = np.arange(n) if parts is None else np.unique(np.asarray(parts)[trie.order], return_inverse=True)[1]
     uniform = [False] * len(trie.lo)
     present = np.zeros(width + 1, np.uint8)
     run = np.zeros(len(trie.tokens) + 1, np.int32)
+    bounds = trie.bounds.tolist()
     for q in range(n):
         mine, size = trie.sets[q], trie.sizes[q]
         if uniform[0] and label[0] == label[q]:
             continue
+        met = near.after(q, len(trie.tokens) // 4)              # None: too many to name them
+        if met is not None:
+            met = met[label[met] != label[q]].tolist()
+            if not met:
+                continue
         present[mine] = 1
-        np.cumsum(present[trie.tokens], out=run[1:])
-        hits = np.diff(run[trie.bounds]).tolist()               # of each edge
         # of the walker's tokens, those up to the last of each edge
-        upto = np.concatenate([np.cumsum(present, dtype=np.int32), [0]])[trie.last].tolist()
-        present[mine] = 0
+        upto = np.concatenate([np.cumsum(present, dtype=np.int32), [0]])[trie.last].tolist() if met is None else None
+        if met is None:
+            np.cumsum(present[trie.tokens], out=run[1:])
+            hits = np.diff(run[trie.bounds]).tolist()           # of each edge
         total = len(mine)
         stack = [(0, 0)]
         while stack:
@@ -341,12 +384,21 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], parts: list[int] | None
             if trie.hi[v] <= q + 1:
                 continue                                        # these have walked already
             lo, hi = trie.lo[v], trie.hi[v]
+            if met is not None:
+                first = bisect_left(met, lo)
+                if first == len(met) or met[first] >= hi:
+                    continue                                    # none below shares a rare token
             if not uniform[v]:
                 uniform[v] = bool((label[lo:hi] == label[lo]).all())
             if uniform[v] and label[lo] == label[q]:
                 continue
-            overlap += hits[v]
-            depth, passed = trie.end[v], upto[v]
+            if met is None:
+                overlap += hits[v]
+                passed = upto[v]
+            else:
+                overlap += int(np.count_nonzero(present[trie.tokens[bounds[v]:bounds[v + 1]]]))
+                passed = int(np.searchsorted(mine, trie.last[v], side="right"))
+            depth = trie.end[v]
             # what remains on either side, against the overlap that the sizes ask for
             if 19 * (overlap + min(total - passed, trie.longest[v] - depth)) < 9 * (size + trie.least[v]):
                 continue
@@ -356,6 +408,7 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], parts: list[int] | None
                 if k > q and label[k] != label[q] and 19 * overlap >= 9 * (size + trie.sizes[k]):
                     label[label == label[k]] = label[q]
             stack.extend([(c, overlap) for c in trie.kids[v]])
+        present[mine] = 0
     out = np.empty(n, np.int64)
     out[trie.order] = label
     return out
@@ -419,11 +472,11 @@ def _large(large: DataFrame, sets: DataFrame, prefix: DataFrame) -> DataFrame:
     parts = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # keys that still stand in several components
     keys = prefix.join(large.select("node"), "node").join(parts.select("node", F.col("label").alias("known")), "node", "left").select(
-        "node", "channel", "key", F.coalesce("known", "node").alias("part"))
+        "node", "channel", "key", "band", "indexed", F.coalesce("known", "node").alias("part"))
     keys = stored(keys, "trie-open")
     still = keys.groupBy("channel", "key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
     keys = keys.join(still.select("channel", "key"), ["channel", "key"])
-    again = grouped(keys.select("node", "channel", "key")).join(keys.select("node", "part").distinct(), "node")
+    again = grouped(keys).join(keys.select("node", "part").distinct(), "node")
     small, grid, _ = _sized(stored(again.select("node", "label", "part"), "trie-again"), sets)
     grid = grid.withColumn("blocks", _blocks(F.col("weight"), F.col("members"))).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))

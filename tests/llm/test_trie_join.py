@@ -98,6 +98,39 @@ def test_groups_beyond_one_task(spark, monkeypatch):
     assert result(spark, rows) == plain(rows)
 
 
+def test_sets_of_other_sizes_are_not_grouped(spark):
+    """A short text that stands in long ones shares its rarest shingles with them, but no link."""
+    short = [f"x{j}" for j in range(30)]
+    passage = [f"p{j}" for j in range(60)]
+    texts = [short, short[:-1] + ["y"], short + passage, short + passage[:-1] + ["z"], *[passage[:-1] + [f"e{k}"] for k in range(4)]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = T.document_sets(docs)
+    live = T.live_sets(docs, T.screened(sets))
+    label = {r["doc_id"]: r["label"] for r in T.grouped(T.prefixes(live)).join(live.select("node", "doc_id"), "node").collect()}
+    assert label[0] == label[1] and label[2] == label[3] and label[0] != label[2]
+    got = {r["doc_id"]: r["component_id"] for r in T.linked(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 4}
+
+
+def test_walkers_meet_only_sets_with_a_rare_token_in_common(monkeypatch):
+    """Sets that share a frequent part, each with rare tokens of one other set only."""
+    seen = []
+    count = np.count_nonzero
+    rng = np.random.default_rng(4)
+    common = np.arange(100, dtype=np.uint64)
+    sets = []
+    for pair in range(150):
+        own = np.arange(40, dtype=np.uint64) + np.uint64(1000 * (pair + 1))
+        sets += [np.concatenate([common, own]), np.concatenate([common, own[:-1]])]
+    sets = [sets[k] for k in rng.permutation(len(sets))]
+    monkeypatch.setattr(T.np, "count_nonzero", lambda x: seen.append(len(x)) or count(x))
+    cumsum = np.cumsum
+    monkeypatch.setattr(T.np, "cumsum", lambda x, *a, **k: seen.append(len(x)) or cumsum(x, *a, **k))
+    label = T.join_sets(sets, [len(s) for s in sets])
+    assert len(set(label.tolist())) == 150
+    assert sum(seen) < 20 * sum(len(s) for s in sets)         # not every set against all tokens
+
+
 def test_join_sets_equals_definition():
     rng = np.random.default_rng(2)
     for trial in range(30):
