@@ -100,3 +100,46 @@ def test_voting_and_stacking_run_and_learn(spark):
     for model in (ensembles.VotingSoft(8, 4), ensembles.Stacking(folds=2, n_trees=8, n_rounds=4)):
         got = {r.row_id: r.p for r in model.fit(tr, Ctx(["f0", "f1", "f2"], 3)).predict(te).collect()}
         assert len(got) == 100 and np.mean([got[i] == y[i] for i in got]) > 0.6
+
+
+def test_spreading_runs_the_search_once(spark, monkeypatch):
+    """The neighbour table has several readers; and equal to the plain iteration."""
+    import numpy as np
+    import pandas as pd
+
+    from classyard.operators.models import graph, knn
+    from classyard.operators.models.base import Ctx
+    from classyard.session import checkpoint_dir
+    checkpoint_dir(spark)
+    rng = np.random.default_rng(8)
+    n, k, K, alpha = 90, 4, 3, 0.2
+    x, y = rng.normal(size=(n, 2)), rng.integers(0, K, n).astype("int32")
+    df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "label": y, "f0": x[:, 0], "f1": x[:, 1]}))
+    seen, plain = spark.sparkContext.accumulator(0), knn.neighbours
+
+    def counted(*args, **kw):
+        nb = plain(*args, **kw)
+
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        return nb.mapInArrow(count, nb.schema)
+    monkeypatch.setattr(graph.knn, "neighbours", counted)
+    monkeypatch.setattr(graph, "PART_ROWS", 20, raising=False)
+    fm = graph.LabelSpreading(k=k, alpha=alpha).fit(df, Ctx(["f0", "f1"], K))
+    assert seen.value == n * k
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(axis=2), axis=1, kind="stable")[:, :k]
+    A = np.zeros((n, n))
+    A[np.repeat(np.arange(n), k), near.ravel()] = 1
+    np.fill_diagonal(A, 0)
+    deg = np.maximum(A.sum(axis=0), 1)
+    S, Y = A / np.sqrt(np.outer(deg, deg)), np.eye(K)[y]
+    V = Y
+    for it in range(30):
+        old, V = V, alpha * S @ V + (1 - alpha) * Y
+        if it % 5 == 4 and np.abs(V - old).sum() < 1e-3:
+            break
+    want = V[near].sum(axis=1).argmax(axis=1)
+    got = {r["row_id"]: r["p"] for r in fm.predict(df).collect()}
+    assert [got[i] for i in range(n)] == want.tolist()
